@@ -3,12 +3,20 @@
 from seriesforge.llm import line_dedup
 from seriesforge.llm.bpe import op9_bpe
 from seriesforge.llm.decontaminate import op5_decontaminate
+from seriesforge.llm.html_text import op10_html_text
 from seriesforge.llm.line_dedup import op8_line_dedup
 from seriesforge.llm.media import op2_media_telephony
 from seriesforge.llm.simhash import op4_simhash
+from seriesforge.llm.suffix_dedup import op7_suffix_dedup
 from seriesforge.llm.token_counts import op1_token_rollup
 from seriesforge.llm.toxicity import op6_toxicity
 from seriesforge.llm.unit_dedup import op3_unit_dedup
 
-QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_media_telephony, op3_unit_dedup, op4_simhash, op5_decontaminate, op6_toxicity, op8_line_dedup, op9_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_rollup, op2_media_telephony, op3_unit_dedup, op4_simhash, op5_decontaminate,
+        op6_toxicity, op7_suffix_dedup, op8_line_dedup, op9_bpe, op10_html_text,
+    )
+}
 ORACLE = {"op8_line_dedup": line_dedup.ORACLE_SQL}

@@ -189,7 +189,7 @@ def with_features(df: DataFrame, lexicon: Lexicon, carry: list[str]) -> DataFram
                 x = [own.features(t) if t else (0.0, 0.0, 0.0, 0.0) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(x, pa.list_(pa.float64()))], [*carry, "x"])
 
-    return df.select(*carry, "text").mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
 
 
 def fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> np.ndarray:
@@ -227,7 +227,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, weights: list[float], car
     z = F.lit(weights[0])
     for i, w in enumerate(weights[1:]):
         z = z + F.lit(w) * F.col("x")[i]
-    found = with_features(docs.withColumn("text", F.col("text").cast("string")), lexicon, carry)
+    found = with_features(docs.drop("score", "predicted", "x").withColumn("text", F.col("text").cast("string")), lexicon, carry)
     return found.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("x")
 
 
