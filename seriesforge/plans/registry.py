@@ -1,24 +1,6 @@
 """Every query that does not depend on the text subpackage, with its SQL."""
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from seriesforge.plans import catalog, statistics, streams  # noqa: F401  each registers its queries
+from seriesforge.plans.base import ORACLE, QUERIES
 
-from seriesforge.operators.dedup import canonical_rows
-from seriesforge.sources.tables import read_table
-
-
-def canonical_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that stand for their group of equal texts: best source first, then the least id."""
-    docs = read_table(spark, sf_dir, "documents")
-    rank = F.when(F.col("source") == "src0", 2).when(F.col("source") == "src1", 1).otherwise(0)
-    return canonical_rows(docs, [F.sha2("text", 256)], [rank, F.col("doc_id")], ["doc_id", "source", "lang"])
-
-
-QUERIES = {"canonical_dedup": canonical_dedup}
-ORACLE = {
-    "canonical_dedup": """
-        SELECT doc_id, source, lang, group_size FROM (
-            SELECT *, count(*) OVER (PARTITION BY text) AS group_size,
-                   row_number() OVER (PARTITION BY text ORDER BY CASE source WHEN 'src0' THEN 2 WHEN 'src1' THEN 1 ELSE 0 END, doc_id) AS n
-            FROM documents) WHERE n = 1""",
-}
+__all__ = ["ORACLE", "QUERIES"]

@@ -1,7 +1,17 @@
-"""Reading the driver's tables by any path that Spark can open."""
+"""Reading the driver's tables by any path that Spark can open, and cutting lineage in the shared folder."""
+
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seriesforge-"))
+    return df.checkpoint()
