@@ -24,8 +24,11 @@ RADIUS = 7
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lexicon, weights = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs, lexicon, weights, docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    # A column of the documents that has the name of a result is put aside meanwhile.
+    aside = {c: f"_own_{c}" for c in docs.columns if c in ("score", "predicted")}
+    named = docs.withColumnsRenamed(aside)
+    kept = toxicity.score_documents(named, lexicon, weights, named.columns).where("predicted = 0").drop("score", "predicted")
+    return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

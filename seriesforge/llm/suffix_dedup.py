@@ -15,8 +15,10 @@ greatest down: each suffix of a group points to its previous smaller suffix, and
 a new group behind their own, by how often they were pointed to. Then the groups' order is emitted in one pass
 along the same pointers. No suffix is renamed and nothing recurs; time is linear but for small sorts.
 
-A gram with more than `most` different contexts is not put into one task: its windows are digested (128 bits) and
-grouped over the cluster. Long texts are read in pieces that overlap by a window; the windows stay the same.
+A gram with more than `most` different contexts is not put into one task. A window has more than half of what it has
+beyond the gram to one side of it, so the gram grows to that side, its contexts are dealt anew by the longer gram, and
+those whose longer gram occurs once are done. After two such rounds the windows of what is still too many are digested
+(128 bits) and grouped over the cluster. Long texts are read in pieces that overlap by a window; the windows stay the same.
 
 Nulls: a null text is an empty one. A null doc_id ranks after all others and comes back as null. Rows that share a
 doc_id are documents of their own, in the order of a checksum of their text; equal rows are the same
@@ -297,6 +299,36 @@ def sorted_contexts(contexts: DataFrame, width: int, batch_bytes: int = 60_000)
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc long, v long, p int, e int")
 
 
+def narrowed(contexts: DataFrame, width: int) -> DataFrame:
+    """contexts: doc, v, p, off, g (length of the gram), bytes. Each becomes up to two, with the windows that reach far enough to the
+    left of the gram and the others; h is the digest of the longer gram."""
+    names = ["h", "doc", "v", "p", "off", "g", "bytes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                out: list[list] = [[] for _ in names]
+                for r in batch.slice(at, 500).to_pylist():
+                    text, off, g = r["bytes"], r["off"], r["g"]
+                    left = (width - g) // 2
+                    right = width - g - left + 1
+                    sides = []
+                    if off >= left:
+                        sides.append((0, text[: off - left + width], off - left, g + left))
+                    begin = max(0, off - left + 1)
+                    if len(text) - begin >= width:
+                        sides.append((begin, text[begin:], off - begin, g + right))
+                    for shift, part, o, n in sides:
+                        gram = part[o : o + n]
+                        for column, value in zip(out, (xxhash.xxh64_intdigest(gram, n) - (1 << 63), r["doc"], r["v"], r["p"] + shift, o, n, part)):
+                            column.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
+
+    found = stored(contexts.select("doc", "v", "p", "off", "g", "bytes").mapInArrow(run, "h long, doc long, v long, p int, off int, g int, bytes binary"), "narrowed")
+    return found.join(found.groupBy("h").agg(F.count(F.lit(1)).alias("u")).where("u > 1"), "h")
+
+
 def grouped_windows(contexts: DataFrame, width: int) -> DataFrame:
     """The same for grams with very many contexts: a row for each window, grouped by its digest."""
 
@@ -342,9 +374,15 @@ def repeated_spans(docs: DataFrame, width: int, gram: int, most: int) -> DataFra
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names)
 
-    texts = stored(docs.join(per_doc, ["doc", "v"]).mapInArrow(cut, "h long, u long, doc long, v long, p int, off int, bytes binary"), "bytes")
-    few, many = texts.where(F.col("u") <= most), texts.where(F.col("u") > most)
-    return again.unionByName(sorted_contexts(few.drop("u"), width)).unionByName(grouped_windows(many.drop("u", "h"), width))
+    texts = stored(docs.join(per_doc, ["doc", "v"]).mapInArrow(cut, "h long, u long, doc long, v long, p int, off int, bytes binary"), "bytes").withColumn("g", F.lit(gram))
+    few = None
+    for _ in range(2):
+        small = texts.where(F.col("u") <= most).select("h", "doc", "v", "p", "off", "bytes")
+        few = small if few is None else few.unionByName(small)
+        texts = narrowed(texts.where(F.col("u") > most), width)
+    few = few.unionByName(texts.where(F.col("u") <= most).select("h", "doc", "v", "p", "off", "bytes"))
+    many = texts.where(F.col("u") > most).select("doc", "v", "p", "bytes")
+    return again.unionByName(sorted_contexts(few, width)).unionByName(grouped_windows(many, width))
 
 
 def cut_documents(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -375,7 +413,7 @@ def cut_documents(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(per_doc, ["doc", "v"], "left").select("doc", "text", "spans").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 32, most: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 32, most: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept."""
     if width < 2 * gram:
         raise ValueError("a window holds two grams at least")

@@ -30,7 +30,8 @@ TOKEN = re.compile(r"[^\W_](?:[\w*@$!]*[\w])?")
 #: Words of saying, as a window before a quoted term holds them, in four languages.
 SAYING = frozenset("said says say wrote writes write called calls quoted quote quotes cited dit disait écrit appelé cite sagte sagt schrieb nannte zitiert dijo dice escribió llamó cita".split())
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’"}
-PRIOR = np.array([-4.0, 4.0, 2.5, 0.8, 0.5])
+#: Of the intercept and the four sums.
+PRIOR = np.array([-4.0, 4.0, 3.5, 0.8, 0.5])
 PREFIX = (4, 5, 6)
 
 
@@ -39,22 +40,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 class Lexicon:
-    """Terms with weights. `edits` holds for words of five letters and more; beginnings match as they are."""
+    """Terms with weights; beginnings match as they are. The trie holds the words of five letters and more in `spelled` (all, if not given)."""
 
-    def __init__(self, words: dict[str, float], prefixes: dict[str, float], clean: frozenset[str] = frozenset()):
+    def __init__(self, words: dict[str, float], prefixes: dict[str, float], clean: frozenset[str] = frozenset(), spelled: frozenset[str] | None = None):
         self.words, self.prefixes, self.clean = words, prefixes, clean
+        self.spelled = frozenset(w for w in (words if spelled is None else spelled) if len(w) >= 5)
         self.trie: dict = {}
-        for w, weight in words.items():
-            if len(w) >= 5:
-                node = self.trie
-                for c in w:
-                    node = node.setdefault(c, {})
-                node[""] = weight
-        long = [w for w in words if len(w) >= 5]
-        self.heads, self.tails = {w[:2] for w in long}, {w[-2:] for w in long}
-        self.most = max(map(len, long), default=0)
+        for w in sorted(self.spelled):
+            node = self.trie
+            for c in w:
+                node = node.setdefault(c, {})
+            node[""] = words[w]
+        # One edit leaves the first or the second half of a term as it is.
+        self.heads, self.tails = {w[: len(w) // 2] for w in self.spelled}, {w[len(w) // 2 :] for w in self.spelled}
+        self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+        self.most = max(map(len, self.spelled), default=0)
         self.seen: dict[str, tuple[bool, float] | None] = {}
 
+    def near(self, word: str) -> bool:
+        return any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)
+
     def misspelled(self, word: str) -> float:
         """The greatest weight of a term within one edit: automaton and trie are walked together."""
         n, masks = len(word), {}
@@ -85,7 +90,7 @@ class Lexicon:
         for n in PREFIX:
             if len(word) > n and (w := self.prefixes.get(word[:n])) is not None:
                 return True, w
-        if 4 <= len(word) <= self.most + 1 and (word[:2] in self.heads or word[-2:] in self.tails) and word not in self.clean:
+        if 4 <= len(word) <= self.most + 1 and word not in self.clean and self.near(word):
             if (w := self.misspelled(word)) > 0:
                 return False, w
         return None
@@ -141,45 +146,54 @@ def labelled(labels: DataFrame, docs: DataFrame, max_labelled: int) -> DataFrame
 
 
 def learn_lexicon(rows: DataFrame, max_terms: int, least_weight: float) -> Lexicon:
-    """Weights are smoothed log odds; a term needs a likelihood ratio beyond what the best of all candidates has by chance."""
+    """Weights are smoothed log odds over documents. A term needs three toxic documents and a likelihood ratio beyond what the best
+    of all candidates has by chance; for a beginning the ratio counts the different words of each document that have it."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
-    docs = rows.select("toxic", words.alias("w"))
+    docs = rows.select(F.monotonically_increasing_id().alias("row"), "toxic", words.alias("w"))
     starts = lambda n: F.transform(F.filter("w", lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
-    terms = docs.select("toxic", F.explode(F.array_distinct(F.concat("w", *map(starts, PREFIX)))).alias("term"))
-    counts = stored(terms.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "terms")
+    terms = docs.select("row", "toxic", F.explode(F.concat("w", *map(starts, PREFIX))).alias("term")).groupBy("row", "toxic", "term").agg(F.count(F.lit(1)).alias("k"))
+    of = lambda x: F.sum(F.when(F.col("toxic") == x, 1).otherwise(0))
+    pairs = lambda x: F.sum(F.when(F.col("toxic") == x, F.col("k")).otherwise(0))
+    counts = stored(terms.groupBy("term").agg(of(1).alias("t"), of(0).alias("c"), pairs(1).alias("tk"), pairs(0).alias("ck")), "terms")
     n = rows.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     toxic, clean = float(n["t"] or 0), float(n["c"] or 0)
     if not toxic or not clean:
         return Lexicon({}, {})
     share = toxic / (toxic + clean)
-    t, c = F.col("t").cast("double"), F.col("c").cast("double")
-    part = lambda x, q: F.when(x > 0, x * F.log(x / ((t + c) * q))).otherwise(0.0)
-    scored = counts.withColumn("weight", F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))).withColumn("ratio", part(t, share) + part(c, 1 - share))
+    t, c, tk, ck = (F.col(x).cast("double") for x in ("t", "c", "tk", "ck"))
+    part = lambda x, q: F.when(x > 0, x * F.log(x / ((tk + ck) * q))).otherwise(0.0)
+    scored = counts.withColumn("weight", F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))).withColumn("ratio", part(tk, share) + part(ck, 1 - share))
     candidates = max(2, counts.count())
-    best = scored.where((F.col("weight") >= least_weight) & (F.col("ratio") >= math.log(candidates))).orderBy(F.desc("ratio"), "term").limit(max_terms)
-    found = {r["term"]: r["weight"] for r in best.select("term", "weight").collect()}
+    best = scored.where((t >= 3) & (F.col("weight") >= least_weight) & (F.col("ratio") >= math.log(candidates))).orderBy(F.desc("ratio"), "term").limit(max_terms)
+    found = {r["term"]: (r["weight"], r["t"]) for r in best.select("term", "weight", "t").collect()}
     whole, begin = {k: v for k, v in found.items() if k[-1] != "*"}, {k[:-1]: v for k, v in found.items() if k[-1] == "*"}
-    return Lexicon(whole, begin)
+    # Where one word makes up most of a beginning, the beginning is none; where it is one of many, it is no term to be misspelled.
+    ruled = {w[:n] for w, (_, k) in whole.items() for n in PREFIX if w[:n] in begin and 2 * k >= begin[w[:n]][1]}
+    begin = {k: v for k, v in begin.items() if k not in ruled}
+    spelled = frozenset(w for w in whole if not any(w[:n] in begin for n in PREFIX))
+    return Lexicon({k: v[0] for k, v in whole.items()}, {k: v[0] for k, v in begin.items()}, spelled=spelled)
 
 
 def clean_neighbours(rows: DataFrame, lexicon: Lexicon, max_terms: int) -> frozenset[str]:
     """Words near a term that the labels show in clean documents: ordinary words, not misspellings."""
     if not lexicon.trie:
         return frozenset()
+    parts = lexicon.words, lexicon.prefixes, frozenset(), lexicon.spelled
     words = rows.where("toxic = 0").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Lexicon(*parts)
         for batch in batches:
-            found = [(w, n) for w, n in zip(batch.column("w").to_pylist(), batch.column("n").to_pylist()) if (hit := lexicon.look(w)) and not hit[0]]
+            found = [(w, n) for w, n in zip(batch.column("w").to_pylist(), batch.column("n").to_pylist()) if (hit := own.look(w)) and not hit[0]]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["w", "n"])
 
     return frozenset(r["w"] for r in words.mapInArrow(near, "w string, n long").orderBy(F.desc("n"), "w").limit(max_terms).collect())
 
 
-def with_features(df: DataFrame, lexicon: Lexicon, carry: list[str]) -> DataFrame:
-    """carry and x (array of four doubles) for each row."""
-    sent = df.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.prefixes, lexicon.clean))  # bounded by max_terms
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry) + ", x array<double>"
+def with_features(df: DataFrame, lexicon: Lexicon, carry: list[str], mark: str = "x") -> DataFrame:
+    """carry and `mark` (array of four doubles) for each row."""
+    sent = df.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.prefixes, lexicon.clean, lexicon.spelled))  # bounded by max_terms
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry) + f", `{mark}` array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(*sent.value)
@@ -187,7 +201,7 @@ def with_features(df: DataFrame, lexicon: Lexicon, carry: list[str]) -> DataFram
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 x = [own.features(t) if t else (0.0, 0.0, 0.0, 0.0) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(x, pa.list_(pa.float64()))], [*carry, "x"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(x, pa.list_(pa.float64()))], [*carry, mark])
 
     return df.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
 
@@ -215,7 +229,7 @@ def fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_terms: int = 4_000, least_weight: float = 2.5) -> tuple[Lexicon, list[float]]:
     rows = labelled(labels, docs, max_labelled)
     lexicon = learn_lexicon(rows, max_terms, least_weight)
-    lexicon = Lexicon(lexicon.words, lexicon.prefixes, clean_neighbours(rows, lexicon, max_terms))
+    lexicon = Lexicon(lexicon.words, lexicon.prefixes, clean_neighbours(rows, lexicon, max_terms), lexicon.spelled)
     found = with_features(rows, lexicon, ["toxic"]).collect()  # max_labelled rows at most
     if not found:
         return lexicon, PRIOR.tolist()
@@ -223,12 +237,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_te
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, weights: list[float], carry: list[str]) -> DataFrame:
-    """carry, score, predicted for each row of docs."""
+    """carry, score, predicted for each row of docs; columns of the docs called score or predicted are replaced."""
     z = F.lit(weights[0])
+    mark = "_x"
+    while mark in docs.columns:
+        mark += "_"
     for i, w in enumerate(weights[1:]):
-        z = z + F.lit(w) * F.col("x")[i]
-    found = with_features(docs.drop("score", "predicted", "x").withColumn("text", F.col("text").cast("string")), lexicon, carry)
-    return found.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("x")
+        z = z + F.lit(w) * F.col(mark)[i]
+    found = with_features(docs.withColumn("text", F.col("text").cast("string")), lexicon, [c for c in carry if c not in ("score", "predicted")], mark)
+    return found.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(mark)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
