@@ -3,18 +3,25 @@
 Fingerprints: 64 bits over word shingles, each hashed by XXH64 with seed 42; a bit is set if more than half of
 the hashes have it. Equal fingerprints are one row before any comparison, so copies cost nothing further.
 
-Search is exact for a radius r. The fingerprint's bits fall into r + 1 bands; under a band's mask, Hamming
-distance is a metric of its own, and two fingerprints within r have distance 0 in at least one of them. Seen
-from any vantage point their distances then differ by 0, so in that metric the shards of a vantage-point tree do
-not overlap: they are the fingerprints with equal bits in the band. (With the full distance as the top metric,
-three quarters of evenly spread fingerprints lie within 4 of any median, and each level would halve a shard but
-send 1.7 copies of the rest.) Within a shard, a vantage-point tree over the full distance is joined with
-itself: the ball of radius r around a vantage point is linked at once, the rest is split at the median
-distance, and of the two sides only the boundary layers that the triangle bound leaves are compared.
+Search goes by shards and a tree in each. The fingerprint's bits fall into bands; under a band's mask, Hamming
+distance is a metric of its own. Seen from any vantage point, two fingerprints that agree in a band have equal
+distances there, so in that metric the shards of a vantage-point tree do not overlap: they are the fingerprints
+with equal bits in the band. (With the full distance as the top metric, three quarters of evenly spread
+fingerprints lie within 4 of any median, and each level would halve a shard but send 1.7 copies of the rest.)
+Within a shard, a vantage-point tree over the full distance is joined with itself: the ball of radius r around a
+vantage point is linked at once, the rest is split at the median distance, and of the two sides only the boundary
+layers that the triangle bound leaves are compared.
+
+64 bits with r + 1 bands: two fingerprints within r agree in one band at least, so the search is exact. That is the
+query's form. A similarity of 0.8 means 10 of 64 bits on the average, up to 14; so few bits neither tell such pairs
+from others nor leave bands of any use. keep_one therefore takes WIDE words of 64 bits, each with hashes of its own,
+in bands of 16 bits. A sixth of all bits is its radius, where the expected similarity is 0.76; a pair of similarity
+0.8 agrees in one of the 48 bands with a probability of 0.97, one of 0.9 with more than 0.999.
 
 A shard of more than `shard` fingerprints is cut into pieces, and each pair of pieces becomes one task's work,
 so no task holds more than 2 * shard fingerprints. A shard returns its links as a spanning forest, never as all
-pairs; components over all shards then take the least label of their neighbours until nothing changes.
+pairs (but for shards of up to LEAF fingerprints); components over all shards then take the least label of their
+neighbours until nothing changes. Wide fingerprints are known by a hash of 64 bits.
 
 Nulls: a null or empty text has no words, and fingerprint zero. A null doc_id takes part in linking but is never
 the id of a component, unless all of its ids are null (then null). Repeated rows get equal rows. Extra columns
@@ -22,6 +29,7 @@ are not read; keep_one keeps them.
 """
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +40,10 @@ from pyspark.sql import functions as F
 from seriesforge.llm.common import read_table, stored, text_or_empty
 
 BITS = 64
+#: Words of a wide fingerprint, and bits of its bands.
+WIDE, BAND = 12, 16
+#: Shards of up to so many fingerprints are compared whole, many shards at once.
+LEAF = 8
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -48,27 +60,37 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
     return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
 
 
-def fingerprint(text: str, size: int = 4) -> int:
+def fingerprint(text: str, size: int = 4, words: int = 1) -> np.ndarray:
+    """So many unsigned words of 64 bits. The first is over the hashes themselves, each other one over hashes derived from them."""
     h = shingle_hashes(text, size)
-    if not len(h):
-        return 0
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), 8192):
-        counts += np.unpackbits(h[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
+    counts = np.zeros(BITS * words, np.int64)
+    shift = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 255):  # so many bits add up in one byte
+        own = h[at : at + 255, None] + shift
+        if words > 1:
+            own = np.concatenate([own[:, :1], mixed(own[:, 1:])], axis=1)
+        counts += np.unpackbits(own.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(h)).view(">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def fingerprints(docs: DataFrame, size: int = 4, words: int = 1) -> DataFrame:
+    """doc_id, fp: the fingerprint as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                fp = np.array([fingerprint(t, size) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                fp = np.stack([fingerprint(t, size, words) for t in part.column("text").to_pylist()]).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, fp.size + 1, words, dtype=np.int32)), pa.array(fp.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp array<long>")
 
 
 class Forest:
@@ -94,18 +116,27 @@ class Forest:
                 self.up[b] = a
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of each row of a from each row of b."""
+    out = np.zeros((len(a), len(b)), np.int16)
+    for k in range(a.shape[1]):
+        out += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return out
+
+
 def link(points: np.ndarray, radius: int, forest: Forest, leaf: int = 96) -> None:
-    """Joins every two points within the radius, by a vantage-point tree joined with itself."""
+    """points: a row of words each. Joins every two points within the radius, by a vantage-point tree joined with itself."""
+    points = points.reshape(len(points), -1)
     stack = [np.arange(len(points))]
     while stack:
         own = stack.pop()
         if len(own) <= leaf:
             if len(own) > 1:
-                near = np.bitwise_count(points[own][:, None] ^ points[own][None, :]) <= radius
+                near = apart(points[own], points[own]) <= radius
                 for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
                     forest.union(int(own[i]), own[near[i]].tolist())
             continue
-        d = np.bitwise_count(points[own] ^ points[own[0]])
+        d = apart(points[own[:1]], points[own])[0]
         ball = d <= radius
         forest.union(int(own[0]), own[ball].tolist())
         # The ball is one component now: each point beyond it needs one witness in it at most.
@@ -119,7 +150,7 @@ def link(points: np.ndarray, radius: int, forest: Forest, leaf: int = 96) -> Non
             if low.all():  # all at one distance: split by number, every pair of sides is compared
                 low = np.arange(len(rest)) < len(rest) // 2
             a, b = rest[low], rest[~low]
-            near_a, near_b = dr[low] + radius >= dr[~low].min(initial=255), dr[~low] <= dr[low].max(initial=0) + radius
+            near_a, near_b = dr[low] + radius >= dr[~low].min(initial=np.iinfo(np.int16).max), dr[~low] <= dr[low].max(initial=0) + radius
             cross(points, a[near_a], dr[low][near_a], b[near_b], dr[~low][near_b], radius, forest, False)
             stack += [a, b]
 
@@ -137,69 +168,79 @@ def cross(points: np.ndarray, a: np.ndarray, da: np.ndarray, b: np.ndarray, db:
         lo, hi = np.searchsorted(db, da[at] - radius), np.searchsorted(db, da[min(at + step, len(a)) - 1] + radius, "right")
         if lo >= hi:
             continue
-        near = np.bitwise_count(points[rows][:, None] ^ points[b[lo:hi]][None, :]) <= radius
+        near = apart(points[rows], points[b[lo:hi]]) <= radius
         for i in np.flatnonzero(near.any(axis=1)).tolist():
             found = b[lo:hi][near[i]]
             forest.union(int(rows[i]), found[:1].tolist() if one else found.tolist())
 
 
-def band_of(bands: int) -> list[tuple[int, int]]:
-    """Shift and width of each band."""
-    edges = [BITS * i // bands for i in range(bands + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
-
-
-def spanning_links(fps: DataFrame, radius: int, shard: int) -> DataFrame:
-    """fps: distinct fp. Gives u, v with u > v (as signed longs): enough links to connect whatever the radius connects."""
-    cells = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (s, w) in enumerate(band_of(radius + 1))])
-    placed = fps.select("fp", F.explode(cells).alias("cell")).select("fp", "cell.*")
-    large = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("g", F.ceil(F.col("n") / shard).cast("int"))
-    sized = placed.join(large.drop("n"), ["band", "value"])
+def bands_of(words: int, radius: int) -> list[tuple[int, int, int]]:
+    """Word, shift and width of each band."""
+    if words > 1:
+        return [(k, at, BAND) for k in range(words) for at in range(0, BITS, BAND)]
+    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
+    return [(0, a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def links_of(sizes: np.ndarray, node: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shards of those sizes one behind the other: the nodes of each link."""
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    small = np.repeat(sizes <= LEAF, sizes)
+    u, v = [], []
+    for step in range(1, min(LEAF, len(of))):
+        i = np.flatnonzero(small[:-step] & (of[step:] == of[:-step]))
+        i = i[np.bitwise_count(points[i] ^ points[i + step]).sum(axis=1) <= radius]
+        u.append(node[i])
+        v.append(node[i + step])
+    for s in np.flatnonzero(sizes > LEAF).tolist():
+        own, a = points[edges[s] : edges[s + 1]], edges[s]
+        forest = Forest(len(own))
+        link(own, radius, forest)
+        root = np.array([forest.root(i) for i in range(len(own))])
+        i = np.flatnonzero(root != np.arange(len(own)))
+        u.append(node[a + i])
+        v.append(node[a + root[i]])
+    none = np.empty(0, np.int64)
+    u, v = np.concatenate([none, *u]), np.concatenate([none, *v])
+    return np.maximum(u, v), np.minimum(u, v)
+
+
+def spanning_links(fps: DataFrame, words: int, radius: int, shard: int) -> DataFrame:
+    """fps: node, fp. Gives u, v with u > v: enough links to connect whatever the radius connects in a shard."""
+    cells = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("fp")[k], s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (k, s, w) in enumerate(bands_of(words, radius))])
+    counts = fps.select(F.explode(cells).alias("cell")).groupBy("cell.band", "cell.value").agg(F.count(F.lit(1)).alias("n"))
+    # Written, so that Spark knows how few there are when it plans the join.
+    large = stored(counts.where(F.col("n") > shard).select("band", "value", F.ceil(F.col("n") / shard).cast("int").alias("g")), "large")
+    placed = fps.select("node", "fp", F.explode(cells).alias("cell")).select("node", "fp", "cell.*").join(large, ["band", "value"], "left")
     # One piece meets itself and each other piece; a shard that is small enough has one piece.
-    own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-    partners = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = sized.select("band", "value", "fp", F.explode(partners).alias("p")).select("band", "value", "p.i", "p.j", "fp")
+    g = F.coalesce("g", F.lit(1))
+    own = F.pmod(F.xxhash64("node"), g).cast("int")
+    partners = F.transform(F.sequence(F.lit(0), g - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = placed.select("band", "value", "node", "fp", F.explode(partners).alias("p")).select("band", "value", "p.i", "p.j", "node", "fp")
     keys = ["band", "value", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of their shard; a shard may go over several batches."""
-        held: list[np.ndarray] = []
-        last = None
-        out: list[tuple[int, int]] = []
-
-        def close() -> None:
-            points = np.concatenate(held).view(np.uint64)
-            if len(points) > 1:
-                forest = Forest(len(points))
-                link(points, radius, forest)
-                signed = points.view(np.int64).tolist()
-                for i in range(len(points)):
-                    if (r := forest.root(i)) != i:
-                        a, b = signed[i], signed[r]
-                        out.append((max(a, b), min(a, b)))
-
-        for batch in batches:
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            fp = batch.column("fp").to_numpy()
-            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-            edges = [0, *change.tolist(), len(fp)]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
-                    continue
-                key = tuple(int(c[a]) for c in columns)
-                if key != last and held:
-                    close()
-                    held = []
-                held.append(fp[a:b])
-                last = key
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
-                out = []
-        if held:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
-
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "u long, v long")
+        """Rows come in order of their shard; the last shard of a batch may go on in the next one."""
+        held = None
+        for batch in chain(batches, [None]):
+            now = held
+            if batch is not None:
+                key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], axis=1)
+                now = (key, batch.column("node").to_numpy(), batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(-1, words))
+                if held is not None:
+                    now = tuple(np.concatenate(x) for x in zip(held, now))
+            if now is None or not len(now[0]):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], (now[0][1:] != now[0][:-1]).any(axis=1)]))
+            end = len(now[0]) if batch is None else int(starts[-1])
+            held = tuple(x[end:] for x in now)
+            if end:
+                sizes = np.diff(np.append(starts[starts < end], end))
+                u, v = links_of(sizes, now[1][:end], now[2][:end], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "u long, v long")
 
 
 def components(links: DataFrame, least: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -228,26 +269,30 @@ def components(links: DataFrame, least: DataFrame, most_rounds: int = 60) -> Dat
     return now.join(labels, "root").select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, shard: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, words: int = 1, shard: int = 20_000) -> DataFrame:
     """doc_id, fp, component_id for each row of docs."""
-    prints = stored(fingerprints(docs, size), "fp")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("label")), "fps")
-    links = stored(spanning_links(distinct.select("fp"), radius, shard), "found")
-    found = components(links, distinct.select(F.col("fp").alias("node"), "label"))
-    of = distinct.join(found.select(F.col("node").alias("fp"), F.col("label").alias("least")), "fp", "left").select("fp", F.coalesce("least", "label").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    node = F.col("fp")[0] if words == 1 else F.xxhash64("fp")
+    prints = stored(fingerprints(docs, size, words).select("doc_id", "fp", node.alias("node")), "fp")
+    distinct = stored(prints.groupBy("node").agg(F.min("doc_id").alias("label"), F.any_value("fp").alias("fp")), "fps")
+    links = stored(spanning_links(distinct.select("node", "fp"), words, radius, shard), "found")
+    labels = distinct.select("node", "label")
+    found = components(links, labels)
+    of = labels.join(found.withColumnRenamed("label", "least"), "node", "left").select("node", F.coalesce("least", "label").alias("component_id"))
+    return prints.join(of, "node").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, words: int = WIDE) -> DataFrame:
+    """docs with the least doc_id of each group of similar texts; rows of one doc_id stay together, and so do rows with a null doc_id."""
+    found = near_duplicates(docs, size, BITS * words // 6, words)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def hex_of(fp: str = "fp"):
-    return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 4) -> DataFrame:
-    """docs with the least doc_id of each component; rows of one doc_id stay together, and so do rows with a null doc_id."""
-    found = near_duplicates(docs, size, radius)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The first word as 16 lowercase digits."""
+    return F.lower(F.lpad(F.hex(F.col(fp)[0]), 16, "0"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", hex_of().alias("fingerprint"), "component_id")
+    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_of().alias("fingerprint"), "component_id")
