@@ -2,7 +2,7 @@
 
 toxicity        documents scored 0.5 or more go
 line_dedup      lines within one edit of an earlier line go; documents that lose all their lines go
-simhash         of each group of near-duplicates (five-word shingles) the least doc_id stays
+simhash         of each group of near-duplicates (five-word shingles, similarity 0.8) the least doc_id stays
 decontaminate   documents that hold a benchmark item go
 bpe             adds ids, the token ids of the text, and n_tokens
 
@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from seriesforge.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from seriesforge.llm.common import read_table, stored
 
-#: Texts within so many of 64 bits are near-duplicates.
-RADIUS = 7
-
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lexicon, weights = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
@@ -37,7 +34,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, size=5, radius=RADIUS)
+    return simhash.keep_one(docs, size=5)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
