@@ -243,6 +243,14 @@ def spanning_links(fps: DataFrame, words: int, radius: int, shard: int) -> DataF
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "u long, v long")
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """The same groups by fewer links: each node keeps the one to its least neighbour, to which its other neighbours are linked
+    instead. A node has one link for each shard that it is in at most, or LEAF, so a list of them is short."""
+    near = links.groupBy("u").agg(F.collect_set("v").alias("vs")).select("u", "vs", F.array_min("vs").alias("m"))
+    moved = F.transform(F.filter("vs", lambda v: v != F.col("m")), lambda v: F.struct(v.alias("u"), F.col("m").alias("v")))
+    return near.select(F.explode(F.concat(F.array(F.struct("u", F.col("m").alias("v"))), moved)).alias("e")).select("e.u", "e.v").distinct()
+
+
 def components(links: DataFrame, least: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links: u, v. least: node, label (to be made the least in each component). Gives node, label for the nodes that have links.
 
@@ -274,7 +282,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, words: int
     node = F.col("fp")[0] if words == 1 else F.xxhash64("fp")
     prints = stored(fingerprints(docs, size, words).select("doc_id", "fp", node.alias("node")), "fp")
     distinct = stored(prints.groupBy("node").agg(F.min("doc_id").alias("label"), F.any_value("fp").alias("fp")), "fps")
-    links = stored(spanning_links(distinct.select("node", "fp"), words, radius, shard), "found")
+    links = stored(thinned(spanning_links(distinct.select("node", "fp"), words, radius, shard)), "found")
     labels = distinct.select("node", "label")
     found = components(links, labels)
     of = labels.join(found.withColumnRenamed("label", "least"), "node", "left").select("node", F.coalesce("least", "label").alias("component_id"))
