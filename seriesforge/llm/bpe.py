@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -134,11 +135,17 @@ class Bpe:
         return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def loaded(path: str) -> Bpe:
+    """One encoder for each Python worker: Spark gives a worker many tasks, and what it has met stays in its bounded tables."""
+    return Bpe(path)
+
+
 def with_bpe(df: DataFrame, path: str, f: Callable[[Bpe, pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 200) -> DataFrame:
-    """mapInArrow in slices of `rows` rows, with one encoder for each task."""
+    """mapInArrow in slices of `rows` rows, with one encoder for each worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
+        bpe = loaded(path)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield f(bpe, batch.slice(at, rows))
