@@ -10,6 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Fixed value: magnitudes that no row's error goes below when it is weighted.
+FLOOR = 0.005
+
 
 def wls(a: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     r = np.sqrt(w)
@@ -50,8 +53,8 @@ def robust_lines(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 
 def solve_ensemble(star: np.ndarray, frame: np.ndarray, mag: np.ndarray, sigma: np.ndarray, clip: float = 4.0, passes: int = 2, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """mag = M[star] + Z[frame] by alternating weighted means, frames' zero points of mean zero; rows beyond clip sigmas go after each pass."""
-    keep, w = np.isfinite(mag), 1 / sigma**2
+    """mag = M[star] + Z[frame] by alternating weighted means, frames' zero points of mean zero; after each pass, rows beyond clip times the rms of all residuals go."""
+    keep, w = np.isfinite(mag), 1 / (sigma**2 + FLOOR**2)
     ns, nf = star.max() + 1, frame.max() + 1
     M, Z = np.zeros(ns), np.zeros(nf)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -66,11 +69,14 @@ def solve_ensemble(star: np.ndarray, frame: np.ndarray, mag: np.ndarray, sigma:
                 Z = np.where(np.isfinite(new), new, 0.0)
                 if moved < 1e-10:
                     break
-            r = mag - M[star] - Z[frame]
-            scale = 1.4826 * np.nanmedian(np.abs(r[keep] - np.nanmedian(r[keep])))
-            if p == passes or not scale > 0:
+            if p == passes:
+                break
+            # Of all residuals, not their median: one wild row moves its whole star and frame, which a median-based bound would drop.
+            r = np.abs(mag - M[star] - Z[frame])
+            inside = keep & (r <= clip * np.sqrt(np.mean(r[keep] ** 2)))
+            if inside.sum() == keep.sum():
                 break
-            keep &= np.abs(r) <= clip * scale
+            keep = inside
         Z = np.where(wf > 0, Z, np.nan)
         M = np.where(ws > 0, M, np.nan)
     return M, Z, keep
