@@ -6,7 +6,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def session_counts(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
-    """key, start, stop, n of gap sessions; rows later than the watermark are left out. Works on streams and on tables."""
+    """key, start, stop, n of gap sessions; rows later than the watermark are left out. Works on streams and on tables.
+
+    Spark drops late rows by the watermark that held before the previous batch's rows were seen, so a late row may
+    still be counted in the one batch after the watermark passed it.
+    """
     zoned = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
     counted = zoned.groupBy(key, F.session_window("_ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
