@@ -14,21 +14,31 @@ layers that the triangle bound leaves are compared.
 
 64 bits with r + 1 bands: two fingerprints within r agree in one band at least, so the search is exact. That is the
 query's form. A similarity of 0.8 means 10 of 64 bits on the average, up to 14; so few bits neither tell such pairs
-from others nor leave bands of any use. keep_one therefore takes WIDE words of 64 bits, each with hashes of its own,
-in bands of 16 bits. A sixth of all bits is its radius, where the expected similarity is 0.76; a pair of similarity
-0.8 agrees in one of the 48 bands with a probability of 0.97, one of 0.9 with more than 0.999.
+from others nor leave bands of any use. keep_one takes WIDE words of 64 bits, each with hashes of its own, in bands of
+16 bits, and a sixth of all bits as its radius, where the expected similarity is 0.76; it misses pairs and links others
+around that. keep_one_similar, the pipeline's form, decides by the shingle sets themselves (exact Jaccard):
+
+1. A set is sorted by its hashes. Two sets of similarity t share a hash among the first n - ceil(t n) + 1 of each, for
+   texts of any length; these hashes are the keys, and only those of two sets or more go on.
+2. Under a key, a sketch of SKETCH words of 64 bits keeps apart what merely shares a passage. Its radius is 90 of 256 bits;
+   a similarity of 0.8 is 39 apart, 48 for the sets where it is most (4 and 5 shingles), so 6.7 standard deviations are left.
+   The links give candidate groups.
+3. The sets of each candidate group come together, and all pairs in it are counted by an inverted index. What has the
+   similarity is linked; components of those links are the groups.
 
 A shard of more than `shard` fingerprints is cut into pieces, and each pair of pieces becomes one task's work,
 so no task holds more than 2 * shard fingerprints. A shard returns its links as a spanning forest, never as all
 pairs (but for shards of up to LEAF fingerprints); components over all shards then take the least label of their
-neighbours until nothing changes. Wide fingerprints are known by a hash of 64 bits.
+neighbours until nothing changes. Wide fingerprints and shingle sets are known by a hash of 64 bits. A candidate group of more than `piece`
+shingles is cut into pieces in the same way.
 
 Nulls: a null or empty text has no words, and fingerprint zero. A null doc_id takes part in linking but is never
 the id of a component, unless all of its ids are null (then null). Repeated rows get equal rows. Extra columns
-are not read; keep_one keeps them.
+are not read; keep_one and keep_one_similar keep them.
 """
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -42,6 +52,8 @@ from seriesforge.llm.common import read_table, stored, text_or_empty
 BITS = 64
 #: Words of a wide fingerprint, and bits of its bands.
 WIDE, BAND = 12, 16
+#: Words of the sketch of a shingle set, and the bits that two candidates may be apart.
+SKETCH, SKETCH_RADIUS = 4, 90
 #: Shards of up to so many fingerprints are compared whole, many shards at once.
 LEAF = 8
 
@@ -62,7 +74,10 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
 
 def fingerprint(text: str, size: int = 4, words: int = 1) -> np.ndarray:
     """So many unsigned words of 64 bits. The first is over the hashes themselves, each other one over hashes derived from them."""
-    h = shingle_hashes(text, size)
+    return majority(shingle_hashes(text, size), words)
+
+
+def majority(h: np.ndarray, words: int) -> np.ndarray:
     counts = np.zeros(BITS * words, np.int64)
     shift = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(h), 255):  # so many bits add up in one byte
@@ -206,41 +221,74 @@ def links_of(sizes: np.ndarray, node: np.ndarray, points: np.ndarray, radius: in
     return np.maximum(u, v), np.minimum(u, v)
 
 
-def spanning_links(fps: DataFrame, words: int, radius: int, shard: int) -> DataFrame:
-    """fps: node, fp. Gives u, v with u > v: enough links to connect whatever the radius connects in a shard."""
-    cells = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("fp")[k], s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (k, s, w) in enumerate(bands_of(words, radius))])
-    counts = fps.select(F.explode(cells).alias("cell")).groupBy("cell.band", "cell.value").agg(F.count(F.lit(1)).alias("n"))
-    # Written, so that Spark knows how few there are when it plans the join.
-    large = stored(counts.where(F.col("n") > shard).select("band", "value", F.ceil(F.col("n") / shard).cast("int").alias("g")), "large")
-    placed = fps.select("node", "fp", F.explode(cells).alias("cell")).select("node", "fp", "cell.*").join(large, ["band", "value"], "left")
-    # One piece meets itself and each other piece; a shard that is small enough has one piece.
-    g = F.coalesce("g", F.lit(1))
-    own = F.pmod(F.xxhash64("node"), g).cast("int")
-    partners = F.transform(F.sequence(F.lit(0), g - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = placed.select("band", "value", "node", "fp", F.explode(partners).alias("p")).select("band", "value", "p.i", "p.j", "node", "fp")
-    keys = ["band", "value", "i", "j"]
+def by_shard(keys: list[str], f: Callable[[np.ndarray, pa.RecordBatch], pa.RecordBatch]) -> Callable:
+    """Runs f(sizes, rows) over rows that come in order of their shard; the last shard of a batch may go on in the next one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of their shard; the last shard of a batch may go on in the next one."""
-        held = None
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in chain(batches, [None]):
-            now = held
+            if batch is not None and not batch.num_rows:
+                continue
             if batch is not None:
                 key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], axis=1)
-                now = (key, batch.column("node").to_numpy(), batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(-1, words))
-                if held is not None:
-                    now = tuple(np.concatenate(x) for x in zip(held, now))
-            if now is None or not len(now[0]):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], (now[0][1:] != now[0][:-1]).any(axis=1)]))
-            end = len(now[0]) if batch is None else int(starts[-1])
-            held = tuple(x[end:] for x in now)
-            if end:
-                sizes = np.diff(np.append(starts[starts < end], end))
-                u, v = links_of(sizes, now[1][:end], now[2][:end], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                changes = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+                if not held or (key[0] == last).all():
+                    if not len(changes):
+                        held.append(batch)
+                        last = key[0]
+                        continue
+                    end = int(changes[-1])
+                else:
+                    end = int(changes[-1]) if len(changes) else 0
+                now, held, last = [*held, batch.slice(0, end)], [batch.slice(end)], key[-1]
+            else:
+                now, held = held, []
+            rows = pa.Table.from_batches(now).combine_chunks().to_batches() if now else []
+            for part in rows:
+                key = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in keys], axis=1)
+                starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+                yield f(np.diff(np.append(starts, len(key))), part)
+
+    return run
+
+
+def pairs_of(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def dealt(rows: DataFrame, g, by: list[str]) -> DataFrame:
+    """One piece meets itself and each other piece; what is small enough has one piece. Rows come in order of `by`, i and j."""
+    g = F.coalesce(g, F.lit(1))
+    own = F.pmod(F.xxhash64("node"), g).cast("int")
+    partners = F.transform(F.sequence(F.lit(0), g - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    keys = [*by, "i", "j"]
+    return rows.withColumn("p", F.explode(partners)).select("*", "p.i", "p.j").drop("p", "g").repartition(*keys).sortWithinPartitions(*keys, "node")
+
+
+def links_in_cells(placed: DataFrame, cell: list[str], words: int, radius: int, shard: int, large: DataFrame) -> DataFrame:
+    """placed: node, fp and the columns of a cell. large: cells of over `shard` nodes with the number of their pieces, g."""
+    rows = placed.join(large, cell, "left").select(*cell, "node", "fp", "g")
+    by = by_shard([*cell, "i", "j"], lambda sizes, part: pairs_of(*links_of(sizes, part.column("node").to_numpy(), flat(part.column("fp")).reshape(-1, words), radius)))
+    return dealt(rows, F.col("g"), cell).mapInArrow(by, "u long, v long")
+
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "u long, v long")
+def large_cells(counts: DataFrame, cell: list[str], shard: int) -> DataFrame:
+    """Written, so that Spark knows how few there are when it plans the join."""
+    return stored(counts.where(F.col("n") > shard).select(*cell, F.ceil(F.col("n") / shard).cast("int").alias("g")), "large")
+
+
+def spanning_links(fps: DataFrame, words: int, radius: int, shard: int) -> DataFrame:
+    """fps: node, fp. Gives u, v with u > v: enough links to connect whatever the radius connects in a shard."""
+    cells = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("fp")[k], s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (k, s, w) in enumerate(bands_of(words, radius))])
+    cell = ["band", "value"]
+    counts = fps.select(F.explode(cells).alias("cell")).groupBy("cell.band", "cell.value").agg(F.count(F.lit(1)).alias("n"))
+    placed = fps.select("node", "fp", F.explode(cells).alias("cell")).select("node", "fp", "cell.*")
+    return links_in_cells(placed, cell, words, radius, shard, large_cells(counts, cell, shard))
 
 
 def thinned(links: DataFrame) -> DataFrame:
@@ -289,13 +337,135 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, words: int
     return prints.join(of, "node").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5, words: int = WIDE) -> DataFrame:
-    """docs with the least doc_id of each group of similar texts; rows of one doc_id stay together, and so do rows with a null doc_id."""
-    found = near_duplicates(docs, size, BITS * words // 6, words)
+def shingle_set(text: str, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def set_name(h: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+
+
+def prefix(n: int, least: float) -> int:
+    """Sets of the similarity share one of so many least hashes of each."""
+    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
+
+
+def sketches(docs: DataFrame, size: int, least: float) -> DataFrame:
+    """doc_id, t (a hash of the text), node, n, fp and keys of the shingle set of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingle_set(x, size) for x in part.column("text").to_pylist()]
+                columns = [pa.array([set_name(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64())]
+                columns += [lists([majority(h, SKETCH) for h in sets]), lists([h[: prefix(len(h), least)] for h in sets])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), *columns], ["doc_id", "t", "node", "n", "fp", "keys"])
+
+    text = text_or_empty()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, t long, node long, n long, fp array<long>, keys array<long>")
+
+
+def shared_only(sizes: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows in order of key and node: each node of a key once, if the key has another one."""
+    key, node = part.column("key").to_numpy(), part.column("node").to_numpy()
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    fresh &= (np.bincount(of[fresh], minlength=len(sizes)) > 1)[of]
+    return pa.RecordBatch.from_arrays([pa.array(key[fresh]), pa.array(node[fresh])], ["key", "node"])
+
+
+def similar(sizes: np.ndarray, node: np.ndarray, edges: np.ndarray, hashes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of those sizes one behind the other; row i has hashes[edges[i]:edges[i + 1]]. A spanning forest of the pairs of that similarity."""
+    u, v = [], []
+    for end, m in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
+        at = end - m
+        n = np.diff(edges[at : end + 1])
+        _, token = np.unique(hashes[edges[at] : edges[end]], return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        posting, first = np.repeat(np.arange(m), n)[order], np.searchsorted(token[order], np.arange(token.max(initial=-1) + 2))
+        forest, trees, own = Forest(m), m, edges[at : end + 1] - edges[at]
+        for i in range(m):
+            if trees == 1:
+                break
+            mine = token[own[i] : own[i + 1]]
+            if not len(mine):
+                continue
+            both = np.bincount(np.concatenate([posting[first[k] : first[k + 1]] for k in mine.tolist()]), minlength=m)
+            for j in np.flatnonzero(both >= least * (n + n[i] - both) - 1e-9).tolist():
+                if forest.root(i) != forest.root(j):
+                    forest.union(i, [j])
+                    trees -= 1
+                    u.append(node[at + i])
+                    v.append(node[at + j])
+    u, v = np.array(u, np.int64), np.array(v, np.int64)
+    return np.maximum(u, v), np.minimum(u, v)
+
+
+def similar_links(docs: DataFrame, of: DataFrame, size: int, least: float, piece: int) -> DataFrame:
+    """of: t, node, n, grp. Links of the similarity between the nodes of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = lists([shingle_set(x, size) for x in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("t", "node", "grp", "g")] + [sets], ["t", "node", "grp", "g", "hashes"])
+
+    text = text_or_empty()
+    groups = of.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / piece)).cast("int").alias("g"))
+    wanted = stored(of.join(groups, "grp").select("t", "node", "grp", "g"), "wanted")
+    source = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(wanted, "t")
+    # Texts with equal hashes that are not equal have other names; copies are one row.
+    sets = source.mapInArrow(run, "t long, node long, grp long, g int, hashes array<long>").dropDuplicates(["t", "node"])
+
+    def found(sizes: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        column = part.column("hashes")
+        edges = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return pairs_of(*similar(sizes, part.column("node").to_numpy(), edges, flat(column), least))
+
+    return dealt(sets.drop("t"), F.col("g"), ["grp"]).mapInArrow(by_shard(["grp", "i", "j"], found), "u long, v long").distinct()
+
+
+def similar_texts(docs: DataFrame, size: int, least: float = 0.8, shard: int = 20_000, piece: int = 2_000_000) -> DataFrame:
+    """doc_id, component_id for each row of docs: components of the pairs whose shingle sets have that similarity or more."""
+    prints = stored(sketches(docs, size, least), "sketch")
+    keyed = prints.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    shared = stored(keyed.mapInArrow(by_shard(["key"], shared_only), "key long, node long"), "shared")
+    distinct = stored(prints.groupBy("node").agg(F.min("doc_id").alias("label"), F.any_value("t").alias("t"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp")), "sets")
+    large = large_cells(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), ["key"], shard)
+    candidates = links_in_cells(shared.join(distinct.select("node", "fp"), "node"), ["key"], SKETCH, SKETCH_RADIUS, shard, large)
+    groups = components(stored(thinned(candidates), "candidates"), distinct.select("node", F.col("node").alias("label")))
+    of = distinct.select("node", "t", "n").join(groups.select("node", F.col("label").alias("grp")), "node")
+    links = stored(thinned(similar_links(docs, of, size, least, piece)), "found")
+    labels = distinct.select("node", "label")
+    found = components(links, labels)
+    ids = labels.join(found.withColumnRenamed("label", "least"), "node", "left").select("node", F.coalesce("least", "label").alias("component_id"))
+    return prints.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+
+
+def least_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of one doc_id stay together, and so do rows with a null doc_id."""
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def keep_one(docs: DataFrame, size: int = 5, words: int = WIDE) -> DataFrame:
+    """docs with the least doc_id of each group of near fingerprints."""
+    return least_of_each(docs, near_duplicates(docs, size, BITS * words // 6, words))
+
+
+def keep_one_similar(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with the least doc_id of each group of similar texts."""
+    return least_of_each(docs, similar_texts(docs, size, least))
+
+
 def hex_of(fp: str = "fp"):
     """The first word as 16 lowercase digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)[0]), 16, "0"))

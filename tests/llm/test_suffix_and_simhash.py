@@ -183,3 +183,56 @@ def test_similarity_of_four_fifths(spark):
 
 def test_fingerprints_of_nothing(empty):
     assert H.near_duplicates(empty).count() == 0
+
+
+def test_kept_by_exact_similarity(spark):
+    """Of changed texts of 5 to 404 words, those of similarity 0.8 or more go, and those below it (0.78 at the most) stay."""
+    rows, gone, k = [], set(), 0
+    for n, below, at_least in ((5, [(1, 1)], [(0, 1), (1, 0)]), (10, [(0, 3)], [(0, 2), (1, 0)]), (30, [(0, 7)], [(0, 6), (3, 3)]), (400, [(100, 11), (113, 0)], [(100, 0), (50, 30)])):
+        for good, changes in ((False, below), (True, at_least)):
+            for added, cut in changes:
+                for _ in range(5):
+                    k += 2
+                    words = [f"w{k}x{i}" for i in range(n + 4)]
+                    rows += [(k, " ".join(words)), (k + 1, " ".join(words[cut:] + [f"y{k}x{i}" for i in range(added)]))]
+                    sets = [{tuple(r[1].split()[i : i + 5]) for i in range(len(r[1].split()) - 4)} for r in rows[-2:]]
+                    similarity = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+                    assert (similarity >= 0.8) is good and (good or n < 30 or similarity > 0.76)
+                    gone |= {k + 1} if good else set()
+    kept = {r["doc_id"] for r in H.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {r[0] for r in rows} - kept == gone
+
+
+def test_pieces_give_the_same_groups(spark):
+    """A group in many pieces, and keys over the shard, link what whole ones link."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(40):
+        own = list(base)
+        for at in rng.permutation(200)[: k // 4]:
+            own[at] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in rows]
+    forest = H.Forest(len(rows))
+    for i in range(len(rows)):
+        forest.union(i, [j for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    want = sorted((i, forest.root(i)) for i in range(len(rows)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard, piece in ((20_000, 2_000_000), (4, 1000)):
+        assert sorted(tuple(r) for r in H.similar_texts(df, 5, 0.8, shard, piece).collect()) == want
+
+
+def test_similar_texts_with_nulls(messy, empty):
+    rows = [tuple(r) for r in messy.collect()]
+    sets = [set(H.shingle_hashes(r[1] or "", 5).tolist()) for r in rows]
+    forest = H.Forest(len(rows))
+    for i, a in enumerate(sets):
+        forest.union(i, [j for j, b in enumerate(sets) if a == b or len(a & b) >= 0.8 * len(a | b) > 0])
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[forest.root(i)] = min(least.get(forest.root(i), r[0]), r[0])
+    want = [(r[0], least.get(forest.root(i))) for i, r in enumerate(rows)]
+    assert sorted(map(repr, (tuple(r) for r in H.similar_texts(messy, 5).collect()))) == sorted(map(repr, want))
+    assert H.keep_one_similar(empty).count() == 0
