@@ -1,7 +1,8 @@
 """A training corpus from the documents table: five stages, each written and read again as the next one's documents.
 
 toxicity        documents scored 0.5 or more go
-line_dedup      lines within one edit of an earlier line go; documents that lose all their lines go
+line_dedup      lines that repeat an earlier line go, and so do lines of 20 code points or more within one edit of an earlier one;
+                documents that lose all their lines go
 simhash         of each group of near-duplicates (five-word shingles, similarity 0.8) the least doc_id stays
 decontaminate   documents that hold a benchmark item go
 bpe             adds ids, the token ids of the text, and n_tokens
@@ -29,7 +30,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.remove_lines(docs, line_dedup.repeated_lines(docs))
+    left = line_dedup.remove_lines(docs, line_dedup.repeated_lines(docs, exact_chars=1))
     return left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 

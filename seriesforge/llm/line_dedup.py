@@ -16,7 +16,8 @@ equals it or differs from it by one inserted, deleted or replaced code point. Al
 
 Nulls: null and empty texts have no lines. Rows with a null doc_id have no rank; they are neither compared
 nor changed. Rows that share a doc_id have equal ranks, so equal lines of theirs at the same number stay.
-Lines shorter than min_chars always stay. Extra columns are kept by remove_lines.
+Lines shorter than min_chars stay, but exact repeats of those that have `exact_chars` and are not blank go, where that is
+given; they have no keys, for within one edit short lines would meet by chance. Extra columns are kept by remove_lines.
 """
 
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ def part_keys(line: str, m: int) -> Iterator[tuple[int, int, int]]:
                 yield signed(xxhash.xxh64_intdigest(f"{m} {g} {i} {line[:a]}\n{line[b:]}")), a, b
 
 
-def lines_of(docs: DataFrame, min_chars: int, rows: int = 500) -> DataFrame:
+def lines_of(docs: DataFrame, min_chars: int, exact_chars: int | None = None, rows: int = 500) -> DataFrame:
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     names = ["doc_id", "line_no", "d1", "d2", "keys"]
 
@@ -55,9 +56,10 @@ def lines_of(docs: DataFrame, min_chars: int, rows: int = 500) -> DataFrame:
                 part, out = batch.slice(at, rows), [[] for _ in names]
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     for no, line in enumerate(text.split("\n")):
-                        if len(line) >= min_chars:
+                        near = len(line) >= min_chars
+                        if near or (exact_chars is not None and len(line) >= exact_chars and line.strip()):
                             d = xxhash.xxh3_128_intdigest(line)
-                            for column, value in zip(out, (doc, no, signed(d >> 64), signed(d & (1 << 64) - 1), [k for k, _, _ in part_keys(line, 2)])):
+                            for column, value in zip(out, (doc, no, signed(d >> 64), signed(d & (1 << 64) - 1), [k for k, _, _ in part_keys(line, 2)] if near else [])):
                                 column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
@@ -148,12 +150,12 @@ def near_earlier(candidates: DataFrame) -> DataFrame:
     return verified.groupBy("d1", "d2").agg(F.min("near").alias("near"))
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16, exact_chars: int | None = None) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, edits: each line that goes, and the earliest line within the bound."""
     if min_chars < 3:
         raise ValueError("min_chars is 3 at least: below, two parts of a line can be empty")
     parts = max(2, min(parts, min_chars - 1))
-    lines = stored(lines_of(docs, min_chars), "line")
+    lines = stored(lines_of(docs, min_chars, exact_chars), "line")
     rank = F.struct("doc_id", "line_no")
     grouped = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no", "keys")).alias("f"), F.max(rank).alias("last"))
     first = stored(grouped.select("d1", "d2", "f.doc_id", "f.line_no", "f.keys", F.col("last").alias("last")), "first")

@@ -41,6 +41,18 @@ def test_near_lines_of_all_kinds(spark):
     assert {tuple(r) for r in L.repeated_lines(df).collect()} == brute_lines(rows, 20)
 
 
+def test_short_lines_by_exact_repeats(spark):
+    """Short lines go if they repeat, and only then; blank ones stay. The pipeline's stage takes them all."""
+    import corpus_pipeline
+
+    rows = [(1, "Yes.\nA line that has more than twenty letters\n\n", 0), (2, "Yes.\nYes!\n\n  \n好的", 0), (3, "  \n好的\nA line that has more than twenty letterz", 0), (4, "Yes.", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    found = {tuple(r) for r in L.repeated_lines(df, exact_chars=1).collect()}
+    assert found == {(2, 0, 1, 0, 0), (3, 1, 2, 4, 0), (3, 2, 1, 1, 1), (4, 0, 1, 0, 0)}
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, df, "").collect()}
+    assert left == {1: rows[0][1], 2: "Yes!\n\n  \n好的"}
+
+
 def test_removed_lines(messy):
     gone = L.repeated_lines(messy)
     cut = {}
