@@ -32,3 +32,15 @@ def messy(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def fixture_dir(spark, messy, tmp_path_factory):
+    """A folder of small tables for whole queries."""
+    path = str(tmp_path_factory.mktemp("tables"))
+    messy.write.parquet(f"{path}/documents.parquet")
+    labels = [(i, i % 2, int(i % 3 == 0)) for i in range(12)] + [(None, 1, 1), (3, 1, None), (999, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    texts = [r.text for r in messy.where("doc_id < 3").orderBy("doc_id").collect()]
+    spark.createDataFrame([(0, texts[0]), (1, "nothing of it stands anywhere in these documents at all"), (2, "漢字 façade"), (3, None), (None, texts[1])], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path

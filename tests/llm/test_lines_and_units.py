@@ -1,3 +1,5 @@
+import random
+
 from seriesforge.llm import line_dedup as L
 from seriesforge.llm import unit_dedup as U
 
@@ -53,6 +55,71 @@ def test_short_lines_by_exact_repeats(spark):
     assert left == {1: rows[0][1], 2: "Yes!\n\n  \n好的"}
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_lines_within_two_edits(spark):
+    rng, rows = random.Random(6), []
+    bank = ["".join(rng.choices("abc ", k=rng.randint(9, 16))) for _ in range(12)]
+    for i in range(90):
+        x = list(rng.choice(bank))
+        for _ in range(rng.randint(0, 3)):
+            q = rng.randrange(len(x))
+            x[q : q + 1] = rng.choice([[], [x[q], rng.choice("abc")], [rng.choice("abc ")]])
+        rows.append((i, "".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for edits in (1, 2):
+        want = set()
+        for d, x in rows:
+            near = [(e, 0, edit_distance(x, y)) for e, y in rows if len(x) >= 8 and len(y) >= 8 and edit_distance(x, y) <= edits]
+            if near and min(near)[0] != d:
+                want.add((d, 0, min(near)[0], 0, min(near)[2]))
+        assert {tuple(r) for r in L.repeated_lines(df, 8, edits=edits).collect()} == want
+
+
+def test_hot_lines_give_the_same(spark, monkeypatch):
+    """A line, a part and a variant with a great share of all rows are dealt over several tasks."""
+    from functools import partial
+
+    from seriesforge.llm import common
+
+    rows = [(i, f"the same line for all of them\nprice of the article no {i % 10}\nown line {i * 7919} of this one") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(L, "hot_join", partial(common.hot_join, pieces=7, least=3))
+    assert {tuple(r) for r in L.repeated_lines(df).collect()} == brute_lines(rows, 20)
+
+
+def test_own_columns_of_any_name(spark):
+    rows = [(1, "a line that is long enough to count", 1, "x"), (2, "a line that is long enough to count\nand one more", 2, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _GONE_ string")
+    left = L.remove_lines(df, L.repeated_lines(df))
+    assert left.columns == df.columns and sorted(map(tuple, left.collect())) == [rows[0], (2, "and one more", 2, "y")]
+
+
+def test_query_matches_brute_force_and_sql(spark, fixture_dir):
+    """All non-blank lines take part in exact repeats, those of 20 code points in near ones."""
+    import duckdb
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{fixture_dir}/documents.parquet").collect()]
+    lines = sorted({(d, n, x) for d, t, *_ in rows if d is not None and t for n, x in enumerate(t.split("\n")) if len(x) >= 20 or x.strip(L.BLANK)})
+    want = set()
+    for d, n, x in lines:
+        e, m, same = min((e, m, x == y) for e, m, y in lines if x == y or min(len(x), len(y)) >= 20 and distance_at_most_one(x, y))
+        if (e, m) != (d, n):
+            want.add((d, n, e, m, 0 if same else 1))
+    found = L.op8_line_dedup(spark, fixture_dir)
+    assert {tuple(r) for r in found.collect()} == want
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{fixture_dir}/documents.parquet/*.parquet'")
+    assert {tuple(r) for r in c.execute(L.ORACLE_SQL).fetchall()} == want
+
+
 def test_removed_lines(messy):
     gone = L.repeated_lines(messy)
     cut = {}
