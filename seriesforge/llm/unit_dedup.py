@@ -1,96 +1,155 @@
-"""Line and sentence hashing: the earliest occurrence of a unit stays, the others are cut out, offsets kept.
+"""Line, sentence and stretch hashing: the earliest occurrence of a unit stays, the others are cut out, offsets kept.
 
-A line is a unit if it has `min_line_words` words, and so is a sentence of a line that has
-`min_sentence_words`. Units are normalised (lower case, one space between words) and digested to 128 bits.
-Digests are grouped over the whole corpus; rank is (doc_id, start). A sentence inside a line that goes is
-not listed again.
+Units are lines that are not blank, sentences of `min_sentence_words` words inside a line, and stretches: a line is cut
+after each word whose hash (with the next word) is the least of `reach` words to either side, so that a passage is cut alike
+wherever it stands, and what a line repeats of a longer one is found as well; stretches have more than `reach` words.
+A character of a script without spaces (Chinese, Japanese, Thai and others of such kind) counts as a word.
 
-Nulls: a null or empty text has no units; rows with a null doc_id have no rank, so they are neither
-compared nor changed. Rows that share a doc_id have equal ranks, so what they repeat of each other at the same
-offset stays. Extra columns are kept by remove_units and not read.
+Units are normalised (lower case, one space between words) and digested to 128 bits, whatever their kind. Digests are
+grouped over the whole corpus; rank is (doc_id, start). A unit inside another one that goes is not listed again. A digest
+with a great share of all units is dealt over several tasks.
+
+Nulls: a null or empty text has no units, and an empty table gives none; rows with a null doc_id have no rank, so they are
+neither compared nor changed. Rows that share a doc_id (repeated rows) have equal ranks, so what they repeat of each other
+at the same offset stays. Texts of any length are taken whole; a document's own units are held at once. Extra columns,
+whatever their names, are kept by remove_units and not read; one called `kept` is replaced.
 """
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import read_table
+from seriesforge.llm.common import free_name, hot_join, read_table, stored
+
+#: Scripts that are written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Chinese characters.
+LONE = "฀-໿ༀ-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
+WORD = re.compile(f"[{LONE}]|[^\\s{LONE}]+")
+ENDS = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+KINDS = ("line", "sentence", "stretch")
+UNIT = "doc_id long, start int, stop int, kind byte, d1 long, d2 long"
+
 
-SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?=\s|$)|[.!?]+(?!\s)[^.!?]*)*[.!?]*\s*")
-ENDS = re.compile(r"(?<=[.!?])\s+")
-UNIT = "doc_id long, start int, stop int, line boolean, d1 long, d2 long"
+def cuts_of(words: list[str], reach: int) -> np.ndarray:
+    """Numbers of the words that a cut follows: local minima of the hashes of two neighbouring words."""
+    if len(words) < 2 * reach + 2:
+        return np.empty(0, np.int64)
+    c = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
+    h = (c[:-1] * np.uint64(0x9E3779B1) + c[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(11)
+    around = np.lib.stride_tricks.sliding_window_view(h, 2 * reach + 1)
+    least = around.min(axis=1)
+    own = h[reach : len(h) - reach]
+    # Of equal ones none is a cut: where words repeat, no place stands out.
+    return np.flatnonzero((own == least) & ((around == least[:, None]).sum(axis=1) == 1)) + reach
 
 
-def units_of(text: str, min_line_words: int, min_sentence_words: int) -> Iterator[tuple[int, int, bool, str]]:
-    """start, stop, whether it is a line, normalised unit."""
+def units_of(text: str, min_sentence_words: int, reach: int) -> Iterator[tuple[int, int, int, str]]:
+    """start, stop, number of the kind, normalised unit."""
     at = 0
     for line in text.split("\n"):
-        words = line.lower().split()
-        if len(words) >= min_line_words:
-            yield at, at + len(line), True, " ".join(words)
-            if len(words) > min_sentence_words:
-                begin, pieces = 0, 0
-                cuts = [m.span() for m in ENDS.finditer(line)]
-                if cuts:
-                    for stop, after in [*cuts, (len(line), len(line))]:
-                        own = line[begin:stop].lower().split()
-                        pieces += 1
-                        if len(own) >= min_sentence_words:
-                            yield at + begin, at + stop, False, " ".join(own)
-                        begin = after
+        spans = [m.span() for m in WORD.finditer(line)]
+        if spans:
+            words = [line[a:b].lower() for a, b in spans]
+            yield at, at + len(line), 0, " ".join(words)
+            starts = [a for a, _ in spans]
+            if len(words) > min_sentence_words and (ends := [m.span() for m in ENDS.finditer(line)]):
+                first = np.searchsorted(starts, [0] + [b for _, b in ends])
+                last = np.append(first[1:], len(words))
+                for i, j in zip(first.tolist(), last.tolist()):
+                    if j - i >= min_sentence_words and j - i < len(words):
+                        yield at + spans[i][0], at + spans[j - 1][1], 1, " ".join(words[i:j])
+            cuts = cuts_of(words, reach)
+            if len(cuts):
+                edges = [0, *(cuts + 1).tolist(), len(words)]
+                for i, j in zip(edges, edges[1:]):
+                    yield at + spans[i][0], at + spans[j - 1][1], 2, " ".join(words[i:j])
         at += len(line) + 1
 
 
-def units(docs: DataFrame, min_line_words: int = 3, min_sentence_words: int = 8, rows: int = 500) -> DataFrame:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
-    names = ["doc_id", "start", "stop", "line", "d1", "d2"]
+def units(docs: DataFrame, min_sentence_words: int, reach: int, rows: int = 200) -> DataFrame:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.int64()]
+    names = ["doc_id", "start", "stop", "kind", "d1", "d2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part, out = batch.slice(at, rows), [[] for _ in names]
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    for start, stop, line, unit in units_of(text, min_line_words, min_sentence_words):
+                    for start, stop, kind, unit in units_of(text, min_sentence_words, reach):
                         d = xxhash.xxh3_128_intdigest(unit)
-                        for column, value in zip(out, (doc, start, stop, line, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63))):
+                        for column, value in zip(out, (doc, start, stop, kind, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63))):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''").mapInArrow(run, UNIT)
 
 
-def repeated_units(docs: DataFrame, min_line_words: int = 3, min_sentence_words: int = 8) -> DataFrame:
-    """doc_id, start, stop, line, keep_doc_id, keep_start: each unit that goes, and the earliest one that stays for it."""
-    found = units(docs, min_line_words, min_sentence_words)
-    first = (
-        found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("keep"), F.max(F.struct("doc_id", "start")).alias("last"))
-        .where("keep <> last").select("d1", "d2", "keep")
-    )
-    gone = found.join(first, ["d1", "d2"]).where("struct(doc_id, start) <> keep")
+def outermost(spans: list[dict]) -> list[dict]:
+    """Spans that lie in no other one; of equal ones the first kind stays."""
+    out, end = [], -1
+    for s in sorted(spans, key=lambda s: (s["start"], -s["stop"], s["kind"])):
+        if s["stop"] > end:
+            out.append(s)
+            end = s["stop"]
+    return out
+
+
+def repeated_units(docs: DataFrame, min_sentence_words: int = 8, reach: int = 6) -> DataFrame:
+    """doc_id, start, stop, kind, keep_doc_id, keep_start: each unit that goes, and the earliest one that stays for it."""
+    found = stored(units(docs, min_sentence_words, reach), "units")
+    rank = F.struct("doc_id", "start")
+    first = found.groupBy("d1", "d2").agg(F.min(rank).alias("keep"), F.max(rank).alias("last"), F.count(F.lit(1)).alias("n")).where("keep <> last").select("d1", "d2", "keep", "n")
+    gone = hot_join(found, stored(first, "repeated"), ["d1", "d2"], "n", ["doc_id", "start"]).where("struct(doc_id, start) <> keep")
     # The spans of one document come together; their number is bounded by its length.
-    per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop", "line", "keep")).alias("spans"))
-    outer = F.filter("spans", lambda s: s["line"])
-    own = F.filter("spans", lambda s: s["line"] | ~F.exists("lines", lambda l: (l["start"] <= s["start"]) & (s["stop"] <= l["stop"])))
-    return (
-        per_doc.withColumn("lines", outer).select("doc_id", F.explode(own).alias("s"))
-        .select("doc_id", "s.start", "s.stop", "s.line", F.col("s.keep.doc_id").alias("keep_doc_id"), F.col("s.keep.start").alias("keep_start"))
-    )
+    per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop", "kind", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))).alias("spans"))
+    names = ["start", "stop", "kind", "keep_doc_id", "keep_start"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                rows = [(r["doc_id"], s) for r in batch.slice(at, 200).to_pylist() for s in outermost(r["spans"])]
+                columns = [pa.array([d for d, _ in rows], pa.int64())]
+                columns += [pa.array([KINDS[s[c]] if c == "kind" else s[c] for _, s in rows], pa.string() if c == "kind" else pa.int64() if c == "keep_doc_id" else pa.int32()) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names])
+
+    return per_doc.mapInArrow(run, "doc_id long, start int, stop int, kind string, keep_doc_id long, keep_start int")
 
 
 def remove_units(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs with their text cut, and `kept`: the pieces that stay as (start, stop) of the original text."""
-    spans = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
-    edges = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["stop"]))
-    starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length("text")))
-    kept = F.filter(F.transform(F.arrays_zip(edges.alias("start"), starts.alias("stop")), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))), lambda s: s["start"] < s["stop"])
-    whole = F.when(F.length("text") > 0, F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("stop"))))
-    joined = docs.drop("kept").join(spans, "doc_id", "left").withColumn("kept", F.when(F.col("_spans").isNull(), whole).otherwise(kept))
-    cut = F.array_join(F.transform("kept", lambda s: F.substring(F.col("text"), s["start"] + 1, s["stop"] - s["start"])), "")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).drop("_spans")
+    rest = docs.drop("kept").withColumn("text", F.col("text").cast("string"))
+    mark = free_name(docs, "_spans")
+    spans = gone.groupBy(F.col("doc_id").alias(f"{mark}id")).agg(F.collect_set(F.struct("start", "stop")).alias(mark))
+    joined = rest.join(spans, rest["doc_id"] == spans[f"{mark}id"], "left").drop(f"{mark}id")
+    names, kept_type = rest.columns, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts, kept = part.column("text").to_pylist(), []
+                for i, cut in enumerate(part.column(mark).to_pylist()):
+                    text, own, end = texts[i] or "", [], 0
+                    for a, b in sorted((s["start"], s["stop"]) for s in cut or ()):
+                        a, b = min(a, len(text)), min(b, len(text))
+                        if a > end:
+                            own.append({"start": end, "stop": a})
+                        end = max(end, b)
+                    if end < len(text):
+                        own.append({"start": end, "stop": len(text)})
+                    if texts[i] is not None:
+                        texts[i] = "".join(text[s["start"] : s["stop"]] for s in own)
+                    kept.append(own if texts[i] is not None else None)
+                columns = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, kept_type)], [*names, "kept"])
+
+    schema = rest.withColumn("kept", F.lit(None).cast("array<struct<start: int, stop: int>>")).schema
+    return joined.mapInArrow(run, schema)
 
 
 def op3_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

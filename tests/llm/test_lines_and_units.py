@@ -144,33 +144,95 @@ def test_no_lines(empty):
     assert L.remove_lines(empty, L.repeated_lines(empty)).count() == 0
 
 
+def slow_units(text):
+    """Lines, sentences of 8 words and stretches between local minima, word by word."""
+    import zlib
+
+    at = 0
+    for line in text.split("\n"):
+        spans, q = [], 0
+        lone = lambda c: "\u0e00" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff"
+        while q < len(line):
+            if line[q].isspace():
+                q += 1
+            else:
+                e = q + 1
+                while not lone(line[q]) and e < len(line) and not line[e].isspace() and not lone(line[e]):
+                    e += 1
+                spans.append((q, e))
+                q = e
+        if spans:
+            word = lambda i: line[spans[i][0] : spans[i][1]].lower()
+            unit = lambda i, j, kind: (at + spans[i][0], at + spans[j - 1][1], kind, " ".join(word(k) for k in range(i, j)))
+            n = len(spans)
+            yield at, at + len(line), "line", " ".join(word(k) for k in range(n))
+            if n > 8:
+                begin = 0
+                for k in range(n):
+                    if k == n - 1 or line[spans[k][1] - 1] in ".!?" and spans[k][1] < spans[k + 1][0] or line[spans[k][1] - 1] in "。！？":
+                        if 8 <= k + 1 - begin < n:
+                            yield unit(begin, k + 1, "sentence")
+                        begin = k + 1
+            c = [zlib.crc32(word(k).encode()) for k in range(n)]
+            h = [((c[k] * 0x9E3779B1 + c[k + 1]) * 0xD6E8FEB86659FD93 % 2**64) >> 11 for k in range(n - 1)]
+            edges = [0] + [k + 1 for k in range(6, len(h) - 6) if all(h[k] < h[m] for m in range(k - 6, k + 7) if m != k)] + [n]
+            if len(edges) > 2:
+                for i, j in zip(edges, edges[1:]):
+                    yield unit(i, j, "stretch")
+        at += len(line) + 1
+
+
 def brute_units(rows):
-    units = sorted({(d, a, b, line, u) for d, t, *_ in rows if d is not None and t for a, b, line, u in U.units_of(t, 3, 8)})
+    units = sorted({(d, *u) for d, t, *_ in rows if d is not None and t for u in slow_units(t)})
     first = {}
     for d, a, _, _, u in units:
         first.setdefault(u, (d, a))
-    gone = {(d, a, b, line, *first[u]) for d, a, b, line, u in units if first[u] != (d, a)}
-    lines = [(d, a, b) for d, a, b, line, *_ in gone if line]
-    return {g for g in gone if g[3] or not any(d == g[0] and a <= g[1] and g[2] <= b for d, a, b in lines)}
+    gone = [(d, a, b, kind, *first[u]) for d, a, b, kind, u in units if first[u] != (d, a)]
+    order = ["line", "sentence", "stretch"]
+    inside = lambda g, h: g != h and g[0] == h[0] and h[1] <= g[1] and g[2] <= h[2] and ((g[1], g[2]) != (h[1], h[2]) or order.index(h[3]) < order.index(g[3]))
+    return {g for g in gone if not any(inside(g, h) for h in gone)}
 
 
 def test_units_match_brute_force(messy):
     rows = [tuple(r) for r in messy.collect()]
     found = [tuple(r) for r in U.repeated_units(messy).collect()]
-    assert set(found) == brute_units(rows) and len(found) == len(set(found))
+    assert set(found) == brute_units(rows) and len(found) == len(set(found)) and {f[3] for f in found} >= {"line"}
+
+
+def test_query_of_units_matches_brute_force(spark, fixture_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{fixture_dir}/documents.parquet").collect()]
+    assert {tuple(r) for r in U.op3_unit_dedup(spark, fixture_dir).collect()} == brute_units(rows)
+
+
+def test_passages_set_into_other_text(spark):
+    """A passage of 60 words without sentence or line ends, set into other words, has whole stretches in common."""
+    rng, rows = random.Random(12), []
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    for k in range(40):
+        passage = words(60)
+        rows += [(2 * k, f"{words(30)} {passage} {words(25)}"), (2 * k + 1, f"{words(11)} {passage} {words(40)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = U.repeated_units(df).collect()
+    cut = {}
+    for r in gone:
+        text = rows[r.doc_id][1][r.start : r.stop]
+        assert text in rows[r.keep_doc_id][1]
+        cut[r.doc_id] = cut.get(r.doc_id, 0) + len(text.split())
+    assert set(cut) == {2 * k + 1 for k in range(40)} and sum(cut.values()) > 40 * 60 * 0.5
 
 
 def test_units_inside_lines_are_found(spark):
     passage = "One two three four five six seven eight nine ten. " * 2
-    df = spark.createDataFrame([(1, "Before it. " + passage + "after."), (2, "Other words. " + passage + "more of them."), (3, "Nothing of it at all.")], "doc_id long, text string")
+    own = "Nothing of it at all."
+    df = spark.createDataFrame([(1, "Before it. " + passage + "after.", 1), (2, "Other words. " + passage + "more of them.", 2), (3, own, 3), (4, None, 4)], "doc_id long, text string, _spans int")
     gone = U.repeated_units(df)
     assert {r.doc_id for r in gone.collect()} == {1, 2}  # the second time in document 1, both times in document 2
     left = {r.doc_id: r for r in U.remove_units(df, gone).collect()}
-    assert left[2].text == "Other words. more of them." or "One two" not in left[2].text
-    assert left[3].text == "Nothing of it at all." and [tuple(k) for k in left[3].kept] == [(0, 21)]
+    assert "One two" not in left[2].text and left[2]._spans == 2 and left[4].text is None and left[4].kept is None
+    assert left[3].text == own and [tuple(k) for k in left[3].kept] == [(0, 21)]
     for r in left.values():
         text = dict((x.doc_id, x.text) for x in df.collect())[r.doc_id]
-        assert r.text == "".join(text[k.start : k.stop] for k in r.kept)
+        assert text is None or r.text == "".join(text[k.start : k.stop] for k in r.kept)
 
 
 def test_units_of_nothing(empty):
