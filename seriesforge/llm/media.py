@@ -1,12 +1,14 @@
 """Telephony audio columns.
 
-mu-law and A-law bytes expand through 256-entry tables (ITU-T G.711), IMA ADPCM blocks are decoded
-by numpy with one lane per block: all blocks of a batch advance together, one nibble at a time. PCM is
-resampled linearly and stored as little-endian 16-bit samples.
-
-Nulls: a null payload is an empty one; an empty one decodes to no samples. Media without a RIFF/WAVE
-head, or of another codec, decode to null PCM and keep their row. Extra columns pass through; one called
-like an output column is replaced.
+mu-law and A-law bytes expand through 256-entry tables (ITU-T G.711), IMA ADPCM blocks are decoded by numpy with one lane
+per block: all blocks of a batch advance together, one nibble at a time. PCM is resampled linearly, below the old rate
+behind a running mean as wide as the step, rounded half up, and stored as little-endian 16-bit samples.
+
+Nulls: a null text is an empty one, an empty payload decodes to no samples; a null file, and one without a RIFF/WAVE head, with a
+head cut off, of another codec, without channels or with a sample rate of zero, decodes to null PCM and keeps its row. Of several
+channels of G.711 the mean is taken; ADPCM of several channels gives null PCM. An ADPCM block that the file's end cuts off is left out.
+An empty table gives an empty one, repeated rows give equal rows. Texts and files of any length are taken whole, `rows` of them at a
+time. Extra columns, whatever their names, pass through decode_telephony and are not read elsewhere; one called like an output column is replaced.
 """
 
 import hashlib
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import read_table, stored, text_or_empty
+from seriesforge.llm.common import dropped, read_table, stored, text_or_empty
 
 MU_LAW, A_LAW, IMA_ADPCM = 7, 6, 0x11
 #: Fixed values of the IMA ADPCM format: how the step index moves by a nibble's magnitude.
@@ -95,33 +97,36 @@ def wave(payload: bytes, codec: int, rate: int, block: int = 1) -> bytes:
     return struct.pack("<4sI", b"RIFF", len(body)) + body
 
 
-def unwave(media: bytes | None) -> tuple[int, int, int, bytes] | None:
-    """Codec, rate, block size and payload; None if it isn't such a file."""
+def unwave(media: bytes | None) -> tuple[int, int, int, int, bytes] | None:
+    """Codec, channels, rate, block size and payload; None if it isn't such a file."""
     if media is None or len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         return None
     at, form = 12, None
     while at + 8 <= len(media):
         tag, n = struct.unpack_from("<4sI", media, at)
-        if tag == b"fmt " and n >= 16:
-            codec, _, rate, _, block, _ = struct.unpack_from("<HHIIHH", media, at + 8)
-            form = codec, rate, block
+        if tag == b"fmt " and n >= 16 and at + 24 <= len(media):
+            codec, channels, rate, _, block, _ = struct.unpack_from("<HHIIHH", media, at + 8)
+            form = codec, channels, rate, block
         if tag == b"data" and form:
-            return (*form, media[at + 8 : at + 8 + n])
+            return (*form, media[at + 8 : at + 8 + n]) if form[1] and form[2] else None
         at += 8 + n + (n & 1)
     return None
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation; as many samples as fit in the same time."""
+    """As many samples as fit in the same time, each the straight line between its neighbours, rounded half up."""
     n = len(pcm) * to // rate
     if not n or rate == to:
         return pcm[:n].astype("<i2")
-    if to % rate == 0:  # the common case of doubling and the like, without a search
-        k = to // rate
-        x = pcm.astype(np.int32)
-        ahead = np.append(x[1:], x[-1])
-        return np.stack([(x * (k - j) + ahead * j) // k for j in range(k)], axis=1).ravel().astype("<i2")
-    return np.round(np.interp(np.arange(n) * (rate / to), np.arange(len(pcm)), pcm)).astype("<i2")
+    x = pcm.astype(np.int64)
+    wide = -(-rate // to)
+    if wide > 1:  # a mean over one step of the new rate, so that what it cannot hold does not fold back
+        sums = np.concatenate([[0], np.cumsum(np.concatenate([x, np.full(wide - 1, x[-1])]))])
+        x = (sums[wide:] - sums[:-wide]) / wide
+    place = np.arange(n, dtype=np.int64) * rate
+    at, rest = place // to, place % to
+    ahead = x[np.minimum(at + 1, len(x) - 1)]
+    return np.floor((x[at] * (to - rest) + ahead * rest) / to + 0.5).clip(-32768, 32767).astype("<i2")
 
 
 def decode_batch(found: list) -> list[np.ndarray | None]:
@@ -131,16 +136,15 @@ def decode_batch(found: list) -> list[np.ndarray | None]:
     for i, x in enumerate(found):
         if x is None:
             continue
-        codec, _, block, payload = x
-        if codec == MU_LAW:
-            out[i] = MU[np.frombuffer(payload, np.uint8)]
-        elif codec == A_LAW:
-            out[i] = A[np.frombuffer(payload, np.uint8)]
-        elif codec == IMA_ADPCM and block > 4:
+        codec, channels, _, block, payload = x
+        if codec in (MU_LAW, A_LAW):
+            pcm = (MU if codec == MU_LAW else A)[np.frombuffer(payload[: len(payload) // channels * channels], np.uint8)]
+            out[i] = pcm if channels == 1 else np.floor(pcm.reshape(-1, channels).mean(axis=1) + 0.5).astype(np.int16)
+        elif codec == IMA_ADPCM and block > 4 and channels == 1:
             groups.setdefault(block, []).append(i)
     for block, members in groups.items():
-        whole = [len(found[i][3]) // block for i in members]
-        joined = b"".join(found[i][3][: n * block] for i, n in zip(members, whole))
+        whole = [len(found[i][4]) // block for i in members]
+        joined = b"".join(found[i][4][: n * block] for i, n in zip(members, whole))
         pcm = adpcm_blocks(np.frombuffer(joined, np.uint8).reshape(-1, block))
         for i, piece in zip(members, np.split(pcm, np.cumsum(whole)[:-1])):
             out[i] = piece.ravel()
@@ -150,70 +154,80 @@ def decode_batch(found: list) -> list[np.ndarray | None]:
 def decode_telephony(df: DataFrame, media: str, rate: int = 16000, pcm: str = "pcm", rows: int = 256) -> DataFrame:
     """Adds the binary column `pcm`: the file in column `media` as 16-bit samples at `rate`; null where it can't be read."""
     rest = df.drop(pcm)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + f", `{pcm}` binary"
+    schema = rest.withColumn(pcm, F.lit(None).cast("binary")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 found = [unwave(x) for x in part.column(media).to_pylist()]
-                done = [None if p is None else resample(p, x[1], rate).tobytes() for x, p in zip(found, decode_batch(found))]
+                done = [None if p is None else resample(p, x[2], rate).tobytes() for x, p in zip(found, decode_batch(found))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], [*part.schema.names, pcm])
 
     return rest.mapInArrow(run, schema)
 
 
-def encode_media(docs: DataFrame, codec: int = MU_LAW, rate: int = 8000, rows: int = 256) -> DataFrame:
-    """doc_id, n_bytes, media: each text's bytes, filled up by zeros to a positive multiple of 64, as 8-bit samples of a WAVE file."""
+def codec_of(payload: bytes) -> tuple[int, int]:
+    """Codec and block size by the payload's checksum: a third of all payloads each."""
+    return ((MU_LAW, 1), (A_LAW, 1), (IMA_ADPCM, 64))[zlib.crc32(payload) % 3]
+
+
+def encode_media(docs: DataFrame, codec: int | None = None, rate: int = 16000, rows: int = 256) -> DataFrame:
+    """doc_id, n_bytes, media: each text's bytes, filled up by zeros to a positive multiple of 64, as the samples (8-bit codes, or ADPCM
+    blocks of 64 bytes) of a WAVE file. Without a codec the payload's checksum chooses one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 raw = part.column("text").cast(pa.binary()).to_pylist()
-                files = [wave(x + bytes(-len(x) % 64 or (0 if x else 64)), codec, rate) for x in raw]
+                filled = [x + bytes(-len(x) % 64 or (0 if x else 64)) for x in raw]
+                kinds = [codec_of(x) if codec is None else (codec, 64 if codec == IMA_ADPCM else 1) for x in filled]
+                files = [wave(x, c, rate, block) for x, (c, block) in zip(filled, kinds)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def media_features(df: DataFrame, rate: int = 16000, rows: int = 256) -> DataFrame:
-    """Digests of the stored file and of the payload in it, and a feature string of the decoded sound.
+def sound(pcm: bytes | None) -> str:
+    """Samples, mean power, peak and sign changes of 16-bit PCM, and its checksum."""
+    if pcm is None:
+        return "none"
+    s = np.frombuffer(pcm, "<i2")
+    wide, sign = s.astype(np.int64), s < 0
+    power, peak = int(np.dot(wide, wide)) // max(1, len(s)), int(np.abs(wide).max(initial=0))
+    return f"n={len(s)};power={power};peak={peak};turns={int(np.count_nonzero(sign[1:] != sign[:-1]))};pcm={zlib.crc32(pcm):08x}"
+
 
-    The feature has the codec, the count, loudness, peak and sign changes of the PCM resampled to `rate`,
-    its CRC, and the CRC of the same payload read as 64-byte ADPCM blocks and as A-law.
-    """
+def media_features(df: DataFrame, rows: int = 256) -> DataFrame:
+    """Digests of the stored file in `media` and of the payload in it, and a feature string: codec and rate, and the sound in `pcm`.
+    A row whose file can't be read has null payload fields."""
+    codecs = {MU_LAW: "mulaw", A_LAW: "alaw", IMA_ADPCM: "adpcm"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                files = part.column("media").to_pylist()
-                found = [unwave(x) for x in files]
-                pcm = decode_batch(found)
-                blocks = decode_batch([x and (IMA_ADPCM, x[1], 64, x[3]) for x in found])
                 out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-                for file, x, p, b in zip(files, found, pcm, blocks):
-                    payload = x[3]
-                    s = resample(p, x[1], rate)
-                    wide = s.astype(np.int64)
-                    sign = s < 0
-                    out["payload_bytes"].append(len(payload))
-                    out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                    out["tail_crc32"].append(zlib.crc32(payload[-64:]))
-                    out["media_bytes"].append(len(file))
-                    out["media_sha256"].append(hashlib.sha256(file).hexdigest())
-                    power = int(np.dot(wide, wide)) // max(1, len(s))
-                    out["feature"].append(
-                        f"mulaw;n={len(s)};power={power};peak={max(int(wide.max()), -int(wide.min()))};turns={int(np.count_nonzero(sign[1:] != sign[:-1]))};"
-                        f"pcm={zlib.crc32(s):08x};alaw={zlib.crc32(A[np.frombuffer(payload, np.uint8)]):08x};adpcm={zlib.crc32(np.ascontiguousarray(b)):08x}"
-                    )
+                for file, pcm in zip(part.column("media").to_pylist(), part.column("pcm").to_pylist()):
+                    x = unwave(file)
+                    payload = x and x[4]
+                    out["payload_bytes"].append(None if x is None else len(payload))
+                    out["payload_sha256"].append(None if x is None else hashlib.sha256(payload).hexdigest())
+                    out["tail_crc32"].append(None if x is None else zlib.crc32(payload[-64:]))
+                    out["media_bytes"].append(None if file is None else len(file))
+                    out["media_sha256"].append(None if file is None else hashlib.sha256(file).hexdigest())
+                    out["feature"].append(f"{'none' if x is None else codecs.get(x[0], 'other')};{'rate=' + str(x[2]) if x else ''};{sound(pcm)}")
                 kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *[pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()]], ["doc_id", "n_bytes", *out])
 
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op2_media_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a mu-law file in a stored table, read back, digested and decoded."""
-    return media_features(stored(encode_media(read_table(spark, sf_dir, "documents")), "media"))
+    """Each document as a telephony file in a stored table; read back, decoded and resampled to 8000 samples a second; files and PCM stored
+    side by side, read back and digested."""
+    media = stored(encode_media(read_table(spark, sf_dir, "documents")), "media")
+    decoded = stored(decode_telephony(media, "media", 8000), "pcm")
+    dropped(media)
+    return media_features(decoded)

@@ -51,14 +51,14 @@ def test_no_documents(empty):
 
 
 def test_media_fields(messy):
-    rows = M.media_features(M.encode_media(messy)).collect()
+    rows = M.media_features(M.decode_telephony(M.encode_media(messy), "media", 8000)).collect()
     assert len(rows) == messy.count()
     texts = {(r.doc_id, len((r.text or "").encode())): (r.text or "").encode() for r in messy.collect()}
     for r in rows:
         raw = texts[(r.doc_id, r.n_bytes)]
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.media_bytes == len(payload) + 58
+        assert r.media_bytes == len(payload) + (60 if r.feature.startswith("adpcm") else 58)
 
 
 def test_tables_of_g711():
@@ -66,6 +66,83 @@ def test_tables_of_g711():
     assert M.A[0xD5] == 8 and M.A[0x55] == -8 and M.A[0xAA] == 32256 and M.A[0x2A] == -32256
 
 
+def slow_g711(code, law):
+    """By the segments of the recommendation: sign, three bits of the segment, four of the step."""
+    if law == "mu":
+        code ^= 0xFF
+        sign, segment, step = code >> 7, code >> 4 & 7, code & 15
+        value = (2 * step + 33) * 2**segment - 33
+        return -4 * value if sign else 4 * value
+    code ^= 0x55
+    sign, segment, step = code >> 7, code >> 4 & 7, code & 15
+    value = 2 * step + 1 if segment == 0 else (2 * step + 33) * 2 ** (segment - 1)
+    return 8 * value if sign else -8 * value
+
+
+def test_all_codes_of_g711():
+    assert M.MU.tolist() == [slow_g711(c, "mu") for c in range(256)] and M.A.tolist() == [slow_g711(c, "a") for c in range(256)]
+
+
+def slow_resample(pcm, rate, to):
+    from fractions import Fraction as Q
+    from math import floor
+
+    wide = -(-rate // to)
+    x = [Q(sum(pcm[min(i + k, len(pcm) - 1)] for k in range(wide)), wide) for i in range(len(pcm))]
+    out = []
+    for i in range(len(pcm) * to // rate):
+        at = Q(i * rate, to)
+        a, b = x[floor(at)], x[min(floor(at) + 1, len(x) - 1)]
+        out.append(floor(a + (b - a) * (at - floor(at)) + Q(1, 2)))
+    return out
+
+
+def test_resampling():
+    rng = np.random.default_rng(3)
+    pcm = rng.integers(-32768, 32768, 97).astype(np.int16)
+    for rate, to in ((8000, 16000), (16000, 8000), (8000, 11025), (8000, 8000), (44100, 8000), (8000, 24000)):
+        got, want = M.resample(pcm, rate, to).tolist(), slow_resample(pcm.tolist(), rate, to)
+        assert len(got) == len(want) and max(abs(a - b) for a, b in zip(got, want)) <= (0 if rate in (8000, 16000) and to != 11025 else 1)
+
+
+def test_media_query_by_brute_force(spark, fixture_dir):
+    rows = {(r.doc_id, r.payload_sha256): r for r in M.op2_media_telephony(spark, fixture_dir).collect()}
+    docs = spark.read.parquet(f"{fixture_dir}/documents.parquet").collect()
+    codecs = set()
+    for d in docs:
+        raw = (d.text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        r = rows[(d.doc_id, hashlib.sha256(payload).hexdigest())]
+        kind = zlib.crc32(payload) % 3
+        if kind == 2:
+            pcm = [x for k in range(0, len(payload), 64) for x in slow_adpcm(payload[k : k + 64])]
+        else:
+            pcm = [slow_g711(c, "mu" if kind == 0 else "a") for c in payload]
+        s = slow_resample(pcm, 16000, 8000)
+        turns = sum((a < 0) != (b < 0) for a, b in zip(s, s[1:]))
+        feature = f"{['mulaw', 'alaw', 'adpcm'][kind]};rate=16000;n={len(s)};power={sum(x * x for x in s) // len(s)};peak={max(map(abs, s))};turns={turns};pcm={zlib.crc32(np.array(s, '<i2').tobytes()):08x}"
+        media = M.wave(payload, [M.MU_LAW, M.A_LAW, M.IMA_ADPCM][kind], 16000, [1, 1, 64][kind])
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == (len(raw), len(payload), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+        codecs.add(kind)
+    assert len(rows) <= len(docs) and codecs == {0, 1, 2}
+
+
+def test_malformed_media(spark):
+    import struct
+
+    good = M.wave(bytes(range(128)), M.MU_LAW, 8000)
+    stereo = good[:22] + struct.pack("<H", 2) + good[24:]
+    rows = [(1, good[:30]), (2, good[:24] + bytes(4) + good[28:]), (3, good[:22] + bytes(2) + good[24:]), (4, stereo), (5, good[:-100]), (6, None), (7, M.wave(bytes(100), M.IMA_ADPCM, 8000, 64)), (8, good[:20])]
+    df = spark.createDataFrame(rows, "id long, media binary")
+    got = {r.id: r.pcm for r in M.decode_telephony(df, "media", 8000).collect()}
+    assert [i for i in got if got[i] is None] == [1, 2, 3, 6, 8]
+    pairs = M.MU[:128].astype(int).reshape(-1, 2)
+    assert np.frombuffer(got[4], "<i2").tolist() == np.floor(pairs.mean(axis=1) + 0.5).tolist()
+    assert len(got[5]) == 2 * 28 and len(got[7]) == 2 * 121  # the second block is not whole
+    features = {r.doc_id: r for r in M.media_features(M.decode_telephony(df.selectExpr("id as doc_id", "id as n_bytes", "media"), "media")).collect()}
+    assert len(features) == 8 and features[6].feature == "none;;none" and features[6].media_bytes is None and features[4].payload_bytes == 128
+
+
 def slow_adpcm(block: bytes) -> list[int]:
     value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
     out = [value]
