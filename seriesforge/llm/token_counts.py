@@ -3,13 +3,18 @@
 A changelog says what became of each document: an insert has counts after the change only,
 a delete has counts before it only, a revision has both. Each change becomes one or two signed
 rows, and signed rows are added up by source, language and tokenizer version. A batch is one
-immutable folder of such partial totals; the rollup is the sum over the folders, so a batch that
-is committed again changes nothing, and batches may arrive in any order.
+immutable folder of such partial totals; the rollup is the sum over the committed folders, so a batch
+that is committed again changes nothing, and batches may arrive in any order. A batch is written beside
+the others and then renamed as a whole: where renaming is atomic (HDFS, local disks) one of two writers
+of the same batch wins and the other leaves nothing; what died half-way is read by nobody.
 
 Nulls: a null source or language is a group of its own, a null text has no tokens. An empty
-changelog commits an empty batch. Repeated rows count each time they occur. Extra columns are not read.
+changelog commits an empty batch; a rollup without batches has no rows. Repeated rows count each time
+they occur. Texts of any length are taken whole, `piece` of them at a time. Extra columns, whatever their
+names, are not read.
 """
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -88,33 +93,54 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _has(self, path: str) -> bool:
+    def _files(self):
         jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        return path().getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def batches(self) -> list[str]:
+        """Names of the committed batches: those whose folder has its marker."""
+        files, path = self._files()
+        return sorted(x.getPath().getParent().getName()[len("batch=") :] for x in files.globStatus(path("batch=*", "_SUCCESS")) or [])
 
     def committed(self, batch: str) -> bool:
-        return self._has(f"{self.path}/batch={batch}/_SUCCESS")
+        files, path = self._files()
+        return files.exists(path(f"batch={batch}", "_SUCCESS"))
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Writes the batch's totals once. A batch that failed half-way has no _SUCCESS and is written anew. Says whether it wrote."""
+        """Writes the batch's totals once, and says whether it did. A batch folder without its marker is replaced."""
+        if not re.fullmatch(r"[\w.-]+", batch):
+            raise ValueError("a batch's name has letters, digits, '_', '-' and '.'")
         if self.committed(batch):
             return False
+        files, path = self._files()
+        draft = f"_draft-{uuid.uuid4().hex}"
         (
             deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
             .where("docs <> 0 or tokens <> 0").coalesce(8)
-            .write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+            .write.parquet(f"{self.path}/{draft}")
         )
-        return True
+        target = path(f"batch={batch}")
+        if files.exists(target) and not self.committed(batch):
+            files.delete(target, True)
+        # Where another writer was first, the rename fails, or puts the draft into its folder, where no reader looks.
+        won = not files.exists(target) and files.rename(path(draft), target) and not files.exists(path(f"batch={batch}", draft))
+        for left in (path(draft), path(f"batch={batch}", draft)):
+            if files.exists(left):
+                files.delete(left, True)
+        return won
 
     def totals(self) -> DataFrame:
-        """The rollup now; a group without documents or tokens has no row."""
-        rows = self.spark.read.schema("source string, lang string, tokenizer string, docs long, tokens long").parquet(f"{self.path}/batch=*")
+        """The rollup of all committed batches now; a group without documents or tokens has no row."""
+        schema = "source string, lang string, tokenizer string, docs long, tokens long"
+        folders = [f"{self.path}/batch={b}" for b in self.batches()]
+        rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
-    def foreach_batch(self):
-        """For writeStream.foreachBatch: a micro-batch of changes that Spark replays is not counted twice."""
-        return lambda changes, epoch: self.commit(f"stream-{epoch}", signed_deltas(changes))
+    def foreach_batch(self, stream: str):
+        """For writeStream.foreachBatch: a micro-batch of changes that Spark replays is not counted twice. `stream` names the stream and
+        its checkpoint; one that starts anew with a new checkpoint takes a new name, as its batches are numbered from zero again."""
+        return lambda changes, epoch: self.commit(f"{stream}-{epoch}", signed_deltas(changes))
 
 
 def change_feed(docs: DataFrame, gone: DataFrame, tokenizers: dict[str, str | None]) -> DataFrame:

@@ -194,6 +194,54 @@ def test_half_written_batch_is_written_anew(spark, tmp_path):
     assert r.commit("b", T.signed_deltas(d)) and [tuple(x) for x in r.totals().collect()] == [("s", "en", "w", 1, 3)]
 
 
+def test_readers_see_whole_batches_only(spark, tmp_path):
+    schema = "source string, lang string, tokenizer string, n_before long, n_after long"
+    d = T.signed_deltas(spark.createDataFrame([("s", "en", "w", None, 3)], schema))
+    r = T.Rollup(spark, str(tmp_path / "r"))
+    assert r.totals().count() == 0 and r.batches() == []
+    assert r.commit("a", d)
+    # What another writer left half-way, with files but without the marker.
+    d.withColumn("docs", d.docs * 100).write.parquet(str(tmp_path / "r" / "batch=b"))
+    (tmp_path / "r" / "batch=b" / "_SUCCESS").unlink()
+    assert r.batches() == ["a"] and [tuple(x) for x in r.totals().collect()] == [("s", "en", "w", 1, 3)]
+    assert r.commit("b", d) and r.batches() == ["a", "b"] and [tuple(x) for x in r.totals().collect()] == [("s", "en", "w", 2, 6)]
+    assert not r.commit("b", d) and not [x for x in (tmp_path / "r").rglob("_draft-*")]
+
+
+def test_two_streams_and_a_replay(spark, tmp_path):
+    schema = "source string, lang string, tokenizer string, n_before long, n_after long"
+    r = T.Rollup(spark, str(tmp_path / "r"))
+    for name in ("first", "second"):
+        spark.createDataFrame([("s", "en", "w", None, 3), ("s", "en", "w", 3, 5), ("s", "de", "w", 4, None)], schema).coalesce(1).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        start = lambda: stream.writeStream.foreachBatch(r.foreach_batch(name)).option("checkpointLocation", str(tmp_path / f"log-{name}")).trigger(availableNow=True).start().awaitTermination()  # noqa: B023, E731
+        start()
+        start()
+    r.foreach_batch("first")(spark.createDataFrame([("s", "en", "w", None, 3)], schema), 0)  # replayed
+    assert {tuple(x) for x in r.totals().collect()} == {("s", "en", "w", 2, 10), ("s", "de", "w", -2, -8)}
+
+
+def test_rollup_query_by_brute_force(spark, fixture_dir, library):
+    import re
+
+    toxic = {r.doc_id for r in spark.read.parquet(f"{fixture_dir}/labels.parquet").collect() if r.toxic == 1}
+    want: dict = {}
+    for r in spark.read.parquet(f"{fixture_dir}/documents.parquet").collect():
+        if r.doc_id is not None and r.doc_id in toxic:
+            continue
+        text = re.sub(T.EMAIL, "<EMAIL>", r.text or "")
+        plain = text.replace("<|endoftext|>", "<|endoftext |>")  # the rollup counts special tokens as ordinary text
+        ids = len(library.encode(plain, add_special_tokens=False).ids) if plain == text else None
+        for t, n in (("byte_bpe_50k", ids), ("words_1", len(text.encode().split()))):
+            k = (r.source, r.lang, t)
+            docs, tokens, known = want.get(k, (0, 0, True))
+            want[k] = docs + 1, tokens + (n or 0), known and n is not None
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in T.op1_token_rollup(spark, fixture_dir).collect()}
+    assert set(got) == set(want)
+    for k, (docs, tokens, known) in want.items():
+        assert got[k][0] == docs and (got[k][1] == tokens if known else got[k][1] > tokens)
+
+
 def test_bpe_counts(messy, library):
     paths = {"byte": public_tokenizers.path("byte_bpe_50k.tiktoken"), "words": None}
     got = T.count_tokens(messy.select("doc_id", "text").where("text is not null and text not like '%endoftext%'"), {"text": "n"}, paths).collect()
