@@ -46,6 +46,32 @@ def test_cuts_and_heap_agree(library):
         assert b"".join(bpe.cuts(word.encode())) == word.encode()
 
 
+def test_words_of_odd_characters(library):
+    """Characters that the two word patterns class differently: superscripts, fractions, numerals, separators, new letters."""
+    import regex
+
+    bpe = B.Bpe(PATH)
+    texts = ["x²y½ ³ Ⅷ ⅳa ①②", "a\x1cb\x1d c\x1e\x1f", "٣٤ ४५ 〇五", "naïve_façade __ _1_ a_b", "\u0958\u00a0\u2003 \u3000x", "it's we'll I'M 'tis ' d", "e\u0301 \u200d\u200b🙂🏽", "ªº ʰʱ ௧௨ \u0345", "  \n\n  a \t b  "]
+    for t in texts:
+        assert bpe.words(t) == regex.findall(B.WORDS, t)
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {"ignore_merges": True}}, {"added_tokens": {"lstrip": True}}])
+def test_other_tokenizers_are_refused(tmp_path, change):
+    import json
+
+    parts = json.load(open(PATH, encoding="utf-8"))
+    (key, value), = change.items()
+    if key == "added_tokens":
+        parts[key][0] |= value
+    else:
+        parts[key] = (parts[key] or {}) | value if key == "model" else value
+    (tmp_path / "t.json").write_text(json.dumps(parts))
+    with pytest.raises(ValueError, match=key if key != "model" else "ignore_merges"):
+        B.Bpe(str(tmp_path / "t.json"))
+
+
 def test_no_documents(empty):
     assert B.encode_documents(empty, PATH).count() == 0
 
