@@ -4,17 +4,22 @@ An item of n characters has an error budget k = n * rate. Cut into k + 1 pieces,
 unchanged in any text within k edits. So the pieces are searched exactly in every whole document (one
 Aho-Corasick pass), and around each hit Myers' bit-parallel distance decides whether the whole item is there.
 
-Texts and items are compared in lower case, with each run of other characters than letters and digits as one
-space. The items are the stated query set: they are taken in blocks of at most `block_chars` characters, and
-only one block at a time is sent to the executors.
+Items of under `fuzzy_chars` normalised characters have no error budget: they are searched exactly, as whole words (in
+scripts without spaces, as they stand), for within errors short items would meet by chance.
 
-Nulls: null or empty texts match nothing; null items, and items of fewer than `min_chars` normalised
-characters, are not searched; a null doc_id stays null in the result. Repeated rows give repeated rows. Extra
-columns are not read, and kept by keep_clean.
+Texts and items are compared in lower case, with each run of other characters than letters and digits as one space. The
+items are the stated query set: they are taken in blocks of at most `block_chars` characters, and only one block at a
+time is sent to the executors. Each block is one scan of the documents.
+
+Nulls: null or empty texts match nothing; null items, items without letters and digits, and items without an id are not
+searched; a null doc_id stays null in the result. Empty tables give no hits. Texts of any length are taken whole. Of several
+matches of an item in a document the one with fewest edits is returned, the first one met of equal ones; items with equal
+texts are all returned. Repeated rows give repeated rows. Extra columns, whatever their names, are not read, and kept by keep_clean.
 """
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +35,17 @@ def normal(text: str) -> str:
     return OTHER.sub(" ", text.lower()).strip()
 
 
+def lone(c: str) -> bool:
+    """Characters of scripts that are written without spaces."""
+    return "\u0e00" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff"
+
+
+def stands_alone(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] of a normalised text is made of whole words."""
+    before = a == 0 or text[a - 1] == " " or lone(text[a - 1]) or lone(text[a])
+    return before and (b == len(text) or text[b] == " " or lone(text[b]) or lone(text[b - 1]))
+
+
 def myers(pattern: str, peq: dict[str, int], text: str) -> tuple[int, int]:
     """Least edit distance between the pattern and any part of the text, and where such a part ends (the first one)."""
     m = len(pattern)
@@ -56,20 +72,20 @@ def myers(pattern: str, peq: dict[str, int], text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, fuzzy_chars: int):
         import ahocorasick
 
         self.items = []
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            k = int(len(text) * rate)
+            k = int(len(text) * rate) if len(text) >= fuzzy_chars else 0
             peq: dict[str, int] = {}
             for i, c in enumerate(text):
                 peq[c] = peq.get(c, 0) | 1 << i
             edges = [len(text) * j // (k + 1) for j in range(k + 2)]
             for a, b in zip(edges, edges[1:]):
                 places.setdefault(text[a:b], []).append((len(self.items), a))
-            self.items.append((item_id, text, k, peq))
+            self.items.append((item_id, text, k, peq if len(text) >= fuzzy_chars else None))
         self.found = ahocorasick.Automaton()
         for piece, where in places.items():
             self.found.add_word(piece, (len(piece), where))
@@ -85,6 +101,10 @@ class Matcher:
                 if best.get(item, (1,))[0] == 0:
                     continue
                 origin = end - n + 1 - at
+                if peq is None:
+                    if stands_alone(text, origin, origin + n):
+                        best[item] = 0, origin + n, origin
+                    continue
                 a, b = max(0, origin - k), min(len(text), origin + len(whole) + k)
                 if b - a < len(whole) - k or any(x <= a and b <= y for x, y in tried.get(item, ())):
                     continue
@@ -99,30 +119,41 @@ class Matcher:
         return [(self.items[i][0], edits, stop, a) for i, (edits, stop, a) in best.items()]
 
 
-def item_blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks whose size is known before they come to the driver."""
     usable = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = usable.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(2 * total / block_chars))
     for i in range(blocks):
         rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
-        yield sorted({(r["item_id"], t) for r in rows if len(t := normal(r["text"])) >= min_chars})
+        yield sorted({(r["item_id"], t) for r in rows if (t := normal(r["text"]))})
+
+
+_last: dict[str, Matcher] = {}
+
+
+def matcher(name: str, items: list[tuple[int, str]], rate: float, fuzzy_chars: int) -> Matcher:
+    """One matcher for each Python worker and block: Spark gives a worker many tasks."""
+    if name not in _last:
+        _last.clear()
+        _last[name] = Matcher(items, rate, fuzzy_chars)
+    return _last[name]
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars: int = 40, block_chars: int = 8_000_000) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, fuzzy_chars: int = 40, block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, item_id, edits, stop (of the match in the normalised text)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
     out = None
-    for items in item_blocks(benchmark, min_chars, block_chars):
-        sent = spark.sparkContext.broadcast(items)
+    for items in item_blocks(benchmark, block_chars):
+        sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, rate) if sent.value else None
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            own = matcher(name, sent.value, rate, fuzzy_chars) if sent.value else None
             for batch in batches:
-                for at in range(0, batch.num_rows if matcher else 0, 500):
+                for at in range(0, batch.num_rows if own else 0, 500):
                     part = batch.slice(at, 500)
-                    rows = [(doc, *hit[:3]) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()) for hit in matcher.search(normal(text))]
+                    rows = [(doc, *hit[:3]) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()) for hit in own.search(normal(text))]
                     columns = list(zip(*rows)) or [()] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "edits", "stop"])
 

@@ -84,7 +84,7 @@ def test_labels_that_teach_nothing(messy, empty, spark):
 def test_hits_match_brute_force(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 8)))
-    items = [(i, " ".join(word() for _ in range(25)) + ".") for i in range(8)] + [(90, None), (91, "tiny"), (None, "no id " * 20)]
+    items = [(i, " ".join(word() for _ in range(25)) + ".") for i in range(8)] + [(90, None), (91, "tiny"), (92, "Tiny, one"), (93, "好的"), (94, " !? "), (None, "no id " * 20)]
     docs = []
     for i in range(60):
         text = " ".join(word() for _ in range(40))
@@ -94,16 +94,18 @@ def test_hits_match_brute_force(spark):
                 x[rng.randrange(len(x))] = rng.choice("abcdefghijklm")
             text = f"{text} {''.join(x).upper() if i % 3 else ''.join(x)}\n{text[:50]}"
         docs.append((i, text))
-    docs += [(60, None), (61, ""), (None, items[0][1])]
+    docs += [(60, None), (61, ""), (None, items[0][1]), (62, "A TINY-ONE here"), (63, "tinyone"), (64, "那好的吧"), (65, "untiny tiny2")]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = set()
     for d, t in docs:
         for i, x in items:
+            if i is not None and x and t and 0 < len(n := D.normal(x)) < 40 and (n in D.normal(t).split() or f" {n} " in f" {D.normal(t)} " or n == "好的" and n in t):
+                want.add((d, i, 0))
             if i is not None and x and len(n := D.normal(x)) >= 40 and t:
                 e = edit_distance(n, D.normal(t), True)
                 if e <= int(len(n) * 0.08):
                     want.add((d, i, e))
-    assert len(want) > 10
+    assert len(want) > 10 and {(62, 91, 0), (62, 92, 0), (64, 93, 0)} == {w for w in want if w[1] > 90}
     for chars in (8_000_000, 300):
         got = {(r.doc_id, r.item_id, r.edits) for r in D.benchmark_hits(df, bench, block_chars=chars).collect()}
         assert got == want
@@ -111,6 +113,19 @@ def test_hits_match_brute_force(spark):
     assert sorted(map(repr, (r.doc_id for r in left.collect()))) == sorted(map(repr, (d for d, _ in docs if d is None or d not in {w[0] for w in want})))
 
 
+def test_query_of_hits_by_brute_force(spark, fixture_dir):
+    docs = [tuple(r)[:2] for r in spark.read.parquet(f"{fixture_dir}/documents.parquet").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{fixture_dir}/benchmark.parquet").collect()]
+    want = []
+    for d, t in docs:
+        for i, x in items:
+            if i is not None and x and t:
+                n, m = D.normal(x), D.normal(t)
+                e = edit_distance(n, m, True) if len(n) >= 40 and len(m) < 3000 else 0 if f" {n} " in f" {m} " else len(n)
+                want += [(d, i, e)] * (e <= (int(len(n) * 0.08) if len(n) >= 40 else 0))
+    assert want and sorted(map(repr, ((r.doc_id, r.item_id, r.edits) for r in D.op5_decontaminate(spark, fixture_dir).collect()))) == sorted(map(repr, want))
+
+
 def test_hits_of_nothing(messy, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.benchmark_hits(messy, none).count() == 0 and D.keep_clean(messy, D.benchmark_hits(messy, none)).count() == messy.count()
