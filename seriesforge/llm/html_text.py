@@ -7,12 +7,16 @@ and once back (sum-product), which gives the exact marginal of every element. Bl
 element is content with a marginal of at least one half are kept.
 
 The tables are counts over labelled pages: HTML in which data-label="1" or "0" on an element gives the state of it
-and, until the next such mark, of what is below it. `train` counts them on Spark for any table of such pages;
-`labelled_pages` makes the set that the query uses (region kinds and layouts drawn by a seeded generator).
+and, until the next such mark, of what is below it (on <html>, or as a comment at the head of a page, that of the root
+as well). `train` counts them on Spark for any table of such pages. The query takes two sets: `labelled_pages` (region
+kinds and layouts drawn by a seeded generator) and `by_landmarks`, at most `most` real pages whose own landmark elements
+(article, nav, footer and the like) say which parts are content.
 
 Nulls: a null or empty page, and one without content, has text "" and 0 characters; null ids and urls stay.
-Pages may end anywhere; open elements then end there. Pages are taken whole. Repeated rows give equal rows.
-Extra columns are not read.
+Pages may end anywhere: elements open there end there, and a tag that the end cuts off is no text. A page without markup is
+its own text. Where content and other are equally likely a block counts as content. Pages of any length are taken whole, in time
+proportional to it, `rows` of them at a time. An empty table gives an empty one. Repeated rows give equal rows. Extra columns,
+whatever their names, are not read.
 """
 
 import html as entities
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 
 from seriesforge.llm.common import read_table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+# Nothing in a tag is read twice: once a quoted value, or what stands outside of quotes, has matched, it is not tried another way.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<", re.S)
+ATTRIBUTE = re.compile(r"""(?<![\w:-])([a-zA-Z][\w:-]*+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
+ROOT_MARK = re.compile(r"<!--data-label=([01])-->")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
@@ -54,6 +60,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Elements in document order, parents first, and blocks of text in page order with the block element they belong to."""
     nodes, blocks = [Node("#root", -1)], []
     stack, held = [0], []
+    opened: Counter = Counter()
+    if m := ROOT_MARK.match(page):
+        nodes[0].mark = m.group(1)
     at = 0
 
     def block_of() -> int:
@@ -74,6 +83,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 blocks.append((i, text))
 
     def end_to(depth: int) -> None:
+        opened.subtract(nodes[i].tag for i in stack[depth:])
         del stack[depth:]
 
     def take(text: str) -> None:
@@ -106,6 +116,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = tag.lower()
         if m.group(1):
+            if opened[tag] <= 0:
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 own = nodes[stack[depth]].tag
                 if own == tag:
@@ -136,10 +148,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         silent = tag in SILENT or nodes[stack[-1]].silent
         nodes.append(Node(tag, stack[-1], names, attributes.get("data-label"), silent))
         if tag in RAW:
-            end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(f"</{tag}", re.I).search(page, at)
+            at = (page.find(">", end.end()) + 1 or n) if end else n
         elif not m.group(3).rstrip().endswith("/") or tag in BLOCKS:
             stack.append(len(nodes) - 1)
+            opened[tag] += 1
+        if tag == "html" and nodes[-1].mark is not None:
+            nodes[0].mark = nodes[-1].mark
     close_block()
     return nodes, blocks
 
@@ -155,7 +170,9 @@ def evidence(nodes: list[Node]) -> list[list[str]]:
         linked[nodes[i].up] += linked[i]
     out = []
     for i, x in enumerate(nodes):
-        own = [f"t {x.tag}", *(f"c {w}" for w in x.names)]
+        # Each page has one root, html and body: their tags say nothing that their ties do not.
+        tag = [] if x.tag in ("html", "body") else ["t alone"] * (len(nodes) == 1) if not i else [f"t {x.tag}"]
+        own = [*tag, *(f"c {w}" for w in x.names)]
         if x.words:
             own += [f"n {bucket(x.words)}", f"e {x.last if x.last in '.!?:' else '-'}"]
         if chars[i]:
@@ -172,11 +189,14 @@ def states(nodes: list[Node]) -> list[int]:
 
 
 class TreeModel:
-    """counts: (kind, key, state or two states, n). Kinds: f evidence, y states, p parent and child states by the child's tag."""
+    """counts: (kind, key, state or two states, n). Kinds: f evidence, y states, r states of roots, p parent and child states by the child's tag."""
 
     def __init__(self, counts: list[tuple[str, str, str, int]]):
         table = {(k, key, s): n for k, key, s, n in counts}
         total = [table.get(("y", "", str(s)), 0) + 1 for s in (0, 1)]
+        roots = [table.get(("r", "", str(s)), 0) + 1 for s in (0, 1)]
+        #: How likely a page's root is content: text that stands in no region of its own.
+        self.root = roots[1] / sum(roots)
         seen = {key for k, key, _, _ in counts if k == "f"}
         self.log = {key: tuple(math.log((table.get(("f", key, str(s)), 0) + 0.3) / (total[s] + 0.6)) for s in (0, 1)) for key in seen}
         tags = {key for k, key, _, _ in counts if k == "p"}
@@ -218,7 +238,7 @@ class TreeModel:
             up0[j], up1[j] = a0 / s, a1 / s
         out = [0.0] * n
         down = [(1.0, 1.0)] * n
-        down[0] = (1.0, 0.02)
+        down[0] = (1 - self.root, self.root)
         for i in range(n):
             if i:
                 j = nodes[i].up
@@ -247,6 +267,7 @@ def page_counts(page: str) -> Counter:
     out: Counter = Counter()
     nodes, _ = parse(page)
     y = states(nodes)
+    out["r", "", str(y[0])] += 1
     for i, features in enumerate(evidence(nodes)):
         out["y", "", str(y[i])] += 1
         for f in features:
@@ -256,8 +277,9 @@ def page_counts(page: str) -> Counter:
     return out
 
 
-def train(pages: DataFrame, column: str = "html", max_features: int = 20_000) -> TreeModel:
-    """Counts over a table of labelled pages; the most frequent max_features of them come to the driver."""
+def train(pages: DataFrame, column: str = "html") -> TreeModel:
+    """Counts over a table of labelled pages. All counts come to the driver: one for each tag, name and size class in the labelled pages,
+    which are a set of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +289,7 @@ def train(pages: DataFrame, column: str = "html", max_features: int = 20_000) ->
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in total], pa.string()) for i in range(3)] + [pa.array(list(total.values()), pa.int64())], ["kind", "key", "state", "n"])
 
     counted = pages.select(column).mapInArrow(run, "kind string, key string, state string, n long").groupBy("kind", "key", "state").agg(F.sum("n").alias("n"))
-    return TreeModel([(r["kind"], r["key"], r["state"], r["n"]) for r in counted.orderBy(F.desc("n"), "kind", "key", "state").limit(max_features).collect()])
+    return TreeModel([(r["kind"], r["key"], r["state"], r["n"]) for r in counted.orderBy("kind", "key", "state").collect()])
 
 
 #: Region kinds of the generated pages: tags, and words for class or id. Fixed by what such regions are called on the web.
@@ -342,6 +364,16 @@ def labelled_pages(n: int = 600, seed: int = 17) -> list[str]:
             whole = f'<{tag} data-label="1"{attribute(CONTENT[1], 0.3)}>{main}{"".join(inside[-1:])}</{tag}>'
         before = [region(k) for k in ("header", "menu", "notice", "advert") if rng.random() < 0.6]
         after = [region(k) for k in ("sidebar", "comments", "share", "form", "advert", "notice", "footer") if rng.random() < 0.45]
+        own = rng.random()
+        if own < 0.04:
+            out.append("<!--data-label=1-->" + rng.choice([sentences(rng.randint(1, 9)), words(1, 30)]))
+            continue
+        if own < 0.16:  # text in the page itself, without an element around it
+            if rng.random() < 0.3:
+                before, after = [], []
+            page = "".join(before) + rng.choice([main, sentences(rng.randint(1, 9)), "<br>".join(sentences(2) for _ in range(4))]) + "".join(after)
+            out.append(f'<!DOCTYPE html><html data-label="1"><head data-label="0"><title>{words(1, 8)}</title></head><body>{page}</body></html>')
+            continue
         page = "".join(before) + whole + "".join(after)
         if rng.random() < 0.3:
             page = f'<div data-label="0"{attribute("wrapper container outer site page layout", 0.8)}>{page}</div>'
@@ -350,9 +382,27 @@ def labelled_pages(n: int = 600, seed: int = 17) -> list[str]:
     return out
 
 
+LANDMARKS = {"article": "1", "nav": "0", "footer": "0", "aside": "0", "form": "0"}
+
+
+def landmark_labels(page: str) -> str | None:
+    """The page with its landmark elements marked; None if it doesn't say where its article is. Its <html> is marked as no content."""
+    if not re.search(r"<article[\s>]", page, re.I):
+        return None
+    marked = re.sub(r"<(article|nav|footer|aside|form)(?=[\s>])", lambda m: f'{m.group()} data-label="{LANDMARKS[m.group(1).lower()]}"', page, flags=re.I)
+    return re.sub(r"<html(?=[\s>])", '<html data-label="0"', marked, count=1, flags=re.I)
+
+
+def by_landmarks(pages: DataFrame, most: int = 200, longest: int = 200_000) -> DataFrame:
+    """html: a sample of at most `most` labelled pages of at most `longest` characters, those with the least hash."""
+    own = pages.select(F.col("html").cast("string").alias("html")).where(F.length("html") <= longest).where(F.col("html").rlike(r"(?i)<article[\s>]"))
+    sample = [r["html"] for r in own.orderBy(F.xxhash64("html")).limit(most).collect()]
+    return pages.sparkSession.createDataFrame([(landmark_labels(x),) for x in sample], "html string")
+
+
 def extract_text(pages: DataFrame, model: TreeModel, rows: int = 200) -> DataFrame:
     """page_id, url, text, n_chars (code points)."""
-    sent = pages.sparkSession.sparkContext.broadcast(model)  # bounded by max_features of train()
+    sent = pages.sparkSession.sparkContext.broadcast(model)  # as large as the set of labelled pages made it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -367,5 +417,6 @@ def extract_text(pages: DataFrame, model: TreeModel, rows: int = 200) -> DataFra
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
     labelled = spark.createDataFrame([(x,) for x in labelled_pages()], "html string")
-    return extract_text(read_table(spark, sf_dir, "pages"), train(labelled))
+    return extract_text(pages, train(labelled.unionByName(by_landmarks(pages))))
