@@ -3,41 +3,46 @@
 Fingerprints: 64 bits over word shingles, each hashed by XXH64 with seed 42; a bit is set if more than half of
 the hashes have it. Equal fingerprints are one row before any comparison, so copies cost nothing further.
 
-Search goes by shards and a tree in each. The fingerprint's bits fall into bands; under a band's mask, Hamming
-distance is a metric of its own. Seen from any vantage point, two fingerprints that agree in a band have equal
-distances there, so in that metric the shards of a vantage-point tree do not overlap: they are the fingerprints
-with equal bits in the band. (With the full distance as the top metric, three quarters of evenly spread
-fingerprints lie within 4 of any median, and each level would halve a shard but send 1.7 copies of the rest.)
-Within a shard, a vantage-point tree over the full distance is joined with itself: the ball of radius r around a
-vantage point is linked at once, the rest is split at the median distance, and of the two sides only the boundary
-layers that the triangle bound leaves are compared.
-
-64 bits with r + 1 bands: two fingerprints within r agree in one band at least, so the search is exact. That is the
-query's form. A similarity of 0.8 means 10 of 64 bits on the average, up to 14; so few bits neither tell such pairs
-from others nor leave bands of any use. keep_one takes WIDE words of 64 bits, each with hashes of its own, in bands of
-16 bits, and a sixth of all bits as its radius, where the expected similarity is 0.76; it misses pairs and links others
+Search goes by shards and a vantage-point tree in each.
+
+Shards. Of 64 bits in r + 1 bands, two fingerprints within r agree in one band at least. As many low bits of each band as
+make shards of about `shard` fingerprints are compared first; a table of up to 4 * shard fingerprints is one shard. (With
+the full distance as the top level, evenly spread fingerprints lie within 4 of any median so often that each level halves
+a shard but leaves 0.87 of it on the inner side, copies included: the work stays quadratic however many levels there are.)
+
+Trees. Within a shard a vantage-point tree over the full distance is joined with itself: the ball of radius r around a
+vantage point is linked at once, the rest is split at the median distance, and of the two sides only the boundary layers
+that the triangle bound leaves are compared, sorted by distance so that each block meets only its stretch.
+
+Large shards. A shard of more than 8 * shard fingerprints is not one task's work: it is partitioned by the distance from
+a vantage point of its own, the fingerprint of its least node. Parts whose distances differ by more than r can hold no pair; only
+the others meet, each pair of parts in a task of its own, and parts of one distance that are still too large are cut by a hash.
+
+That is the query's form, and it is exact. A similarity of 0.8 means 10 of 64 bits on the average, up to 14; so few bits
+neither tell such pairs from others nor leave bands of any use. keep_one takes WIDE words of 64 bits, each with hashes of its own,
+in bands of 16 bits, and a sixth of all bits as its radius, where the expected similarity is 0.76; it misses pairs and links others
 around that. keep_one_similar, the pipeline's form, decides by the shingle sets themselves (exact Jaccard):
 
 1. A set is sorted by its hashes. Two sets of similarity t share a hash among the first n - ceil(t n) + 1 of each, for
    texts of any length; these hashes are the keys, and only those of two sets or more go on.
-2. Under a key, a sketch of SKETCH words of 64 bits keeps apart what merely shares a passage. Its radius is 90 of 256 bits;
-   a similarity of 0.8 is 39 apart, 48 for the sets where it is most (4 and 5 shingles), so 6.7 standard deviations are left.
-   The links give candidate groups.
+2. Under a key, a sketch of SKETCH words of 64 bits keeps apart what merely shares a passage, by the trees described above. Its radius
+   is 90 of 256 bits; a similarity of 0.8 is 39 apart, 48 for the sets where it is most (4 and 5 shingles), so 6.7 standard
+   deviations are left. The links give candidate groups.
 3. The sets of each candidate group come together, and all pairs in it are counted by an inverted index. What has the
    similarity is linked; components of those links are the groups.
 
-A shard of more than `shard` fingerprints is cut into pieces, and each pair of pieces becomes one task's work,
-so no task holds more than 2 * shard fingerprints. A shard returns its links as a spanning forest, never as all
-pairs (but for shards of up to LEAF fingerprints); components over all shards then take the least label of their
-neighbours until nothing changes. Wide fingerprints and shingle sets are known by a hash of 64 bits. A candidate group of more than `piece`
-shingles is cut into pieces in the same way.
+A shard returns its links as a spanning forest, never as all pairs (but for shards of up to LEAF fingerprints); components over
+all shards then take the least label of their neighbours until nothing changes. Wide fingerprints and shingle sets are known
+by a hash of 64 bits. A candidate group of more than `piece` shingles is cut into pieces that meet in pairs. Copies of one
+text are one row in all of this; they come back by a join that deals the rows of a very frequent text over several tasks.
 
 Nulls: a null or empty text has no words, and fingerprint zero. A null doc_id takes part in linking but is never
-the id of a component, unless all of its ids are null (then null). Repeated rows get equal rows. Extra columns
-are not read; keep_one and keep_one_similar keep them.
+the id of a component, unless all of its ids are null (then null). Repeated rows get equal rows, an empty table gives an
+empty one, texts of any length are taken whole. Extra columns, whatever their names, are not read; keep_one and keep_one_similar keep them.
 """
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -47,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import read_table, stored, text_or_empty
+from seriesforge.llm.common import dropped, hot_join, read_table, stored, text_or_empty
 
 BITS = 64
 #: Words of a wide fingerprint, and bits of its bands.
@@ -139,26 +144,31 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def link(points: np.ndarray, radius: int, forest: Forest, leaf: int = 96) -> None:
-    """points: a row of words each. Joins every two points within the radius, by a vantage-point tree joined with itself."""
+def link(points: np.ndarray, radius: int, forest: Forest, leaf: int = 96, tally: Counter | None = None) -> None:
+    """points: a row of words each. Joins every two points within the radius, by a vantage-point tree joined with itself.
+    tally: counts the splits, and the pairs that were compared and those that the bounds left out."""
+    tally = Counter() if tally is None else tally
     points = points.reshape(len(points), -1)
     stack = [np.arange(len(points))]
     while stack:
         own = stack.pop()
         if len(own) <= leaf:
             if len(own) > 1:
+                tally["compared"] += len(own) * (len(own) - 1) // 2
                 near = apart(points[own], points[own]) <= radius
                 for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
                     forest.union(int(own[i]), own[near[i]].tolist())
             continue
         d = apart(points[own[:1]], points[own])[0]
+        tally["splits"] += 1
         ball = d <= radius
         forest.union(int(own[0]), own[ball].tolist())
         # The ball is one component now: each point beyond it needs one witness in it at most.
         rest, dr = own[~ball], d[~ball]
         inner, di = own[ball], d[ball]
         shell = dr <= 2 * radius
-        cross(points, rest[shell], dr[shell], inner[di > 0], di[di > 0], radius, forest, True)
+        tally["left out"] += int((~shell).sum()) * int((di > 0).sum())
+        cross(points, rest[shell], dr[shell], inner[di > 0], di[di > 0], radius, forest, True, tally)
         if len(rest):
             middle = int(np.median(dr))
             low = dr <= middle
@@ -166,21 +176,24 @@ def link(points: np.ndarray, radius: int, forest: Forest, leaf: int = 96) -> Non
                 low = np.arange(len(rest)) < len(rest) // 2
             a, b = rest[low], rest[~low]
             near_a, near_b = dr[low] + radius >= dr[~low].min(initial=np.iinfo(np.int16).max), dr[~low] <= dr[low].max(initial=0) + radius
-            cross(points, a[near_a], dr[low][near_a], b[near_b], dr[~low][near_b], radius, forest, False)
+            tally["left out"] += len(a) * len(b) - int(near_a.sum()) * int(near_b.sum())
+            cross(points, a[near_a], dr[low][near_a], b[near_b], dr[~low][near_b], radius, forest, False, tally)
             stack += [a, b]
 
 
-def cross(points: np.ndarray, a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray, radius: int, forest: Forest, one: bool) -> None:
+def cross(points: np.ndarray, a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray, radius: int, forest: Forest, one: bool, tally: Counter) -> None:
     """Joins points of a with points of b. Both are met in order of their distance from a vantage point, so that a block of a
     meets only the stretch of b that the triangle bound leaves. one: b is a single component, so one link is enough."""
     if not len(a) or not len(b):
         return
     oa, ob = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
     a, da, b, db = a[oa], da[oa].astype(int), b[ob], db[ob].astype(int)
-    step = max(1, min(len(a), 2_000_000 // len(b)))
+    step = max(1, min(len(a), 64, 2_000_000 // len(b)))
     for at in range(0, len(a), step):
         rows = a[at : at + step]
         lo, hi = np.searchsorted(db, da[at] - radius), np.searchsorted(db, da[min(at + step, len(a)) - 1] + radius, "right")
+        tally["compared"] += len(rows) * max(0, hi - lo)
+        tally["left out"] += len(rows) * (len(b) - max(0, hi - lo))
         if lo >= hi:
             continue
         near = apart(points[rows], points[b[lo:hi]]) <= radius
@@ -189,12 +202,12 @@ def cross(points: np.ndarray, a: np.ndarray, da: np.ndarray, b: np.ndarray, db:
             forest.union(int(rows[i]), found[:1].tolist() if one else found.tolist())
 
 
-def bands_of(words: int, radius: int) -> list[tuple[int, int, int]]:
-    """Word, shift and width of each band."""
+def bands_of(words: int, radius: int, bits: int) -> list[tuple[int, int, int]]:
+    """Word, shift and width of what is compared of each band; no bits: one shard of all."""
     if words > 1:
         return [(k, at, BAND) for k in range(words) for at in range(0, BITS, BAND)]
     edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    return [(0, a, b - a) for a, b in zip(edges, edges[1:])]
+    return [(0, a, min(bits, b - a)) for a, b in zip(edges, edges[1:])] if bits > 0 else [(0, 0, 0)]
 
 
 def links_of(sizes: np.ndarray, node: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,25 +283,35 @@ def dealt(rows: DataFrame, g, by: list[str]) -> DataFrame:
     return rows.withColumn("p", F.explode(partners)).select("*", "p.i", "p.j").drop("p", "g").repartition(*keys).sortWithinPartitions(*keys, "node")
 
 
-def links_in_cells(placed: DataFrame, cell: list[str], words: int, radius: int, shard: int, large: DataFrame) -> DataFrame:
-    """placed: node, fp and the columns of a cell. large: cells of over `shard` nodes with the number of their pieces, g."""
-    rows = placed.join(large, cell, "left").select(*cell, "node", "fp", "g")
-    by = by_shard([*cell, "i", "j"], lambda sizes, part: pairs_of(*links_of(sizes, part.column("node").to_numpy(), flat(part.column("fp")).reshape(-1, words), radius)))
-    return dealt(rows, F.col("g"), cell).mapInArrow(by, "u long, v long")
-
-
-def large_cells(counts: DataFrame, cell: list[str], shard: int) -> DataFrame:
-    """Written, so that Spark knows how few there are when it plans the join."""
-    return stored(counts.where(F.col("n") > shard).select(*cell, F.ceil(F.col("n") / shard).cast("int").alias("g")), "large")
+def links_in_cells(placed: DataFrame, cell: list[str], words: int, radius: int, most: int) -> DataFrame:
+    """placed: node, fp and the columns of a cell. Links within each cell; cells of more than `most` nodes go by parts of one distance."""
+    sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", "node").alias("vantage"))
+    large = stored(sizes.where(F.col("n") > most).drop("n"), "large")  # written, so that Spark knows how few there are
+    far = F.lit(0)
+    for k in range(words):
+        far = far + F.bit_count(F.col("fp")[k].bitwiseXOR(F.col("vantage")[k]))
+    rows = placed.join(large, cell, "left").withColumn("d", F.when(F.col("vantage").isNotNull(), far))
+    parts = rows.where("d is not null").groupBy(*cell, "d").agg(F.count(F.lit(1)).alias("n")).groupBy(*cell).agg(F.collect_list(F.struct("d", F.ceil(F.col("n") / most).cast("int").alias("g"))).alias("parts"))
+    rows = rows.join(stored(parts, "parts"), cell, "left")
+    number = lambda d, s: d.cast("long") * (1 << 32) + s.cast("long")
+    own = number(F.col("d"), F.pmod(F.xxhash64("node"), F.element_at(F.filter("parts", lambda x: x["d"] == F.col("d")), 1)["g"]))
+    met = F.filter("parts", lambda x: F.abs(x["d"] - F.col("d")) <= radius)
+    others = F.flatten(F.transform(met, lambda x: F.transform(F.sequence(F.lit(0), x["g"] - 1), lambda s: number(x["d"], s))))
+    pairs = F.transform(others, lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    keys = [*cell, "i", "j"]
+    rows = rows.select(*cell, "node", "fp", F.explode(F.when(F.col("d").isNull(), alone).otherwise(pairs)).alias("p")).select(*cell, "node", "fp", "p.i", "p.j")
+    by = by_shard(keys, lambda sizes, part: pairs_of(*links_of(sizes, part.column("node").to_numpy(), flat(part.column("fp")).reshape(-1, words), radius)))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(by, "u long, v long")
 
 
 def spanning_links(fps: DataFrame, words: int, radius: int, shard: int) -> DataFrame:
     """fps: node, fp. Gives u, v with u > v: enough links to connect whatever the radius connects in a shard."""
-    cells = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("fp")[k], s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (k, s, w) in enumerate(bands_of(words, radius))])
-    cell = ["band", "value"]
-    counts = fps.select(F.explode(cells).alias("cell")).groupBy("cell.band", "cell.value").agg(F.count(F.lit(1)).alias("n"))
+    n = fps.count()
+    bits = math.ceil(math.log2(n / shard)) if n > 4 * shard else 0
+    cells = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("fp")[k], s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (k, s, w) in enumerate(bands_of(words, radius, bits))])
     placed = fps.select("node", "fp", F.explode(cells).alias("cell")).select("node", "fp", "cell.*")
-    return links_in_cells(placed, cell, words, radius, shard, large_cells(counts, cell, shard))
+    return links_in_cells(placed, ["band", "value"], words, radius, 8 * shard)
 
 
 def thinned(links: DataFrame) -> DataFrame:
@@ -299,42 +322,41 @@ def thinned(links: DataFrame) -> DataFrame:
     return near.select(F.explode(F.concat(F.array(F.struct("u", F.col("m").alias("v"))), moved)).alias("e")).select("e.u", "e.v").distinct()
 
 
-def components(links: DataFrame, least: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, least: DataFrame) -> DataFrame:
     """links: u, v. least: node, label (to be made the least in each component). Gives node, label for the nodes that have links.
 
-    Each round takes the least label of all neighbours and then the label of the node whose label that was; a
-    round's table is written to the shared folder. Stops when no label changed.
+    Each round takes the least root of all neighbours and then the root of that root, so a chain shortens by a factor each time;
+    a round's table is written to the shared folder and the one before it deleted. Ends when no root changed.
     """
     both = stored(links.select(F.col("u").alias("a"), F.col("v").alias("b")).union(links.select("v", "u")).distinct(), "links")
     # Work on node numbers (fingerprints); the wanted label is the least over the component at the end.
-    now = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "round")
-    for _ in range(most_rounds):
-        seen = both.join(now.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        nearer = now.join(seen.select(F.col("a").alias("node"), "r"), "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
+    now = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.lit(None).cast("long").alias("old"), F.least("a", "m").alias("root")), "round")
+    while True:
+        roots = now.select("node", "root")
+        seen = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
+        nearer = roots.join(seen.select(F.col("a").alias("node"), "r"), "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
         jumped = (
-            nearer.join(now.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
+            nearer.join(roots.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
             .select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root"))
         )
         after = stored(jumped, "round")
-        now = after.select("node", "root")
+        dropped(now)
+        now = after
         if after.where("old <> root").isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     labels = now.join(least, "node").groupBy("root").agg(F.min("label").alias("label"))
     return now.join(labels, "root").select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, words: int = 1, shard: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, words: int = 1, shard: int = 2048) -> DataFrame:
     """doc_id, fp, component_id for each row of docs."""
     node = F.col("fp")[0] if words == 1 else F.xxhash64("fp")
     prints = stored(fingerprints(docs, size, words).select("doc_id", "fp", node.alias("node")), "fp")
-    distinct = stored(prints.groupBy("node").agg(F.min("doc_id").alias("label"), F.any_value("fp").alias("fp")), "fps")
+    distinct = stored(prints.groupBy("node").agg(F.min("doc_id").alias("label"), F.any_value("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "fps")
     links = stored(thinned(spanning_links(distinct.select("node", "fp"), words, radius, shard)), "found")
-    labels = distinct.select("node", "label")
-    found = components(links, labels)
-    of = labels.join(found.withColumnRenamed("label", "least"), "node", "left").select("node", F.coalesce("least", "label").alias("component_id"))
-    return prints.join(of, "node").select("doc_id", "fp", "component_id")
+    found = components(links, distinct.select("node", "label"))
+    of = distinct.select("node", "label", "n").join(found.withColumnRenamed("label", "least"), "node", "left").select("node", "n", F.coalesce("least", "label").alias("component_id"))
+    return hot_join(prints, stored(of, "of"), ["node"], "n", ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
@@ -372,13 +394,31 @@ def sketches(docs: DataFrame, size: int, least: float) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, t long, node long, n long, fp array<long>, keys array<long>")
 
 
-def shared_only(sizes: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows in order of key and node: each node of a key once, if the key has another one."""
-    key, node = part.column("key").to_numpy(), part.column("node").to_numpy()
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    fresh &= (np.bincount(of[fresh], minlength=len(sizes)) > 1)[of]
-    return pa.RecordBatch.from_arrays([pa.array(key[fresh]), pa.array(node[fresh])], ["key", "node"])
+def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of key and node: each node of a key once, if the key has another one. Nothing is held but the last row."""
+    last: tuple[int, int] | None = None  # the row before, and whether it is the only node of its key so far
+    lonely = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        if last is not None:
+            key, node = np.append(last[0], key), np.append(last[1], node)
+        same = key[1:] == key[:-1]
+        # Rows that begin a node; the row that came over from the last batch was told already unless it was lonely.
+        fresh = np.concatenate([[last is None or lonely], ~same | (node[1:] != node[:-1])])
+        first = np.concatenate([[True], ~same])
+        group = np.cumsum(first) - 1
+        begins = np.concatenate([[True], ~same | (node[1:] != node[:-1])])
+        nodes = np.bincount(group[begins], minlength=group[-1] + 1)
+        told = fresh & (nodes[group] > 1)
+        if last is not None and not lonely:  # the group went on: it has others
+            told |= fresh & (group == 0)
+        # The last group may go on in the next batch.
+        open_group = group[-1]
+        was_lonely = nodes[open_group] == 1 and (open_group > 0 or last is None or lonely)
+        last, lonely = (key[-1], node[-1]), bool(was_lonely)
+        yield pa.RecordBatch.from_arrays([pa.array(key[told]), pa.array(node[told])], ["key", "node"])
 
 
 def similar(sizes: np.ndarray, node: np.ndarray, edges: np.ndarray, hashes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -433,21 +473,20 @@ def similar_links(docs: DataFrame, of: DataFrame, size: int, least: float, piece
     return dealt(sets.drop("t"), F.col("g"), ["grp"]).mapInArrow(by_shard(["grp", "i", "j"], found), "u long, v long").distinct()
 
 
-def similar_texts(docs: DataFrame, size: int, least: float = 0.8, shard: int = 20_000, piece: int = 2_000_000) -> DataFrame:
+def similar_texts(docs: DataFrame, size: int, least: float = 0.8, shard: int = 2048, piece: int = 2_000_000) -> DataFrame:
     """doc_id, component_id for each row of docs: components of the pairs whose shingle sets have that similarity or more."""
     prints = stored(sketches(docs, size, least), "sketch")
     keyed = prints.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    shared = stored(keyed.mapInArrow(by_shard(["key"], shared_only), "key long, node long"), "shared")
-    distinct = stored(prints.groupBy("node").agg(F.min("doc_id").alias("label"), F.any_value("t").alias("t"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp")), "sets")
-    large = large_cells(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), ["key"], shard)
-    candidates = links_in_cells(shared.join(distinct.select("node", "fp"), "node"), ["key"], SKETCH, SKETCH_RADIUS, shard, large)
-    groups = components(stored(thinned(candidates), "candidates"), distinct.select("node", F.col("node").alias("label")))
+    shared = stored(keyed.mapInArrow(shared_only, "key long, node long"), "shared")
+    distinct = stored(prints.groupBy("node").agg(F.min("doc_id").alias("label"), F.any_value("t").alias("t"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.count(F.lit(1)).alias("rows")), "sets")
+    candidates = stored(thinned(links_in_cells(shared.join(distinct.select("node", "fp"), "node"), ["key"], SKETCH, SKETCH_RADIUS, 8 * shard)), "candidates")
+    dropped(shared)
+    groups = components(candidates, distinct.select("node", F.col("node").alias("label")))
     of = distinct.select("node", "t", "n").join(groups.select("node", F.col("label").alias("grp")), "node")
     links = stored(thinned(similar_links(docs, of, size, least, piece)), "found")
-    labels = distinct.select("node", "label")
-    found = components(links, labels)
-    ids = labels.join(found.withColumnRenamed("label", "least"), "node", "left").select("node", F.coalesce("least", "label").alias("component_id"))
-    return prints.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+    found = components(links, distinct.select("node", "label"))
+    ids = distinct.select("node", "label", "rows").join(found.withColumnRenamed("label", "least"), "node", "left").select("node", "rows", F.coalesce("least", "label").alias("component_id"))
+    return hot_join(prints.select("doc_id", "node"), stored(ids, "of"), ["node"], "rows", ["doc_id"]).select("doc_id", "component_id")
 
 
 def least_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -136,6 +136,60 @@ def test_tree_links_what_pairs_link():
         assert [forest.root(i) for i in range(len(points))] == [want.root(i) for i in range(len(points))]
 
 
+def test_tree_splits_and_leaves_pairs_out():
+    from collections import Counter
+
+    rng, tally = np.random.default_rng(4), Counter()
+    points = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
+    H.link(points, 4, H.Forest(len(points)), tally=tally)
+    assert tally["splits"] > 20 and tally["left out"] > 0.3 * len(points) ** 2 / 2
+    assert tally["compared"] + tally["left out"] < 1.05 * len(points) ** 2 / 2
+
+
+def test_shards_by_bits_and_by_distance_link_what_one_tree_links(spark):
+    """The same links from one shard, from shards of few bits of each band, and from parts by distance of large shards."""
+    rng = np.random.default_rng(11)
+    centres = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    near = [c ^ (np.uint64(1) << rng.integers(0, 64, 30).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 30).astype(np.uint64)) for c in centres]
+    points = np.unique(np.concatenate([rng.integers(0, 1 << 63, 1500).astype(np.uint64), *near]))
+    forest = H.Forest(len(points))
+    for i in range(len(points)):
+        forest.union(i, np.flatnonzero(np.bitwise_count(points ^ points[i]) <= 4).tolist())
+    node = points.view(np.int64)
+    want = {}
+    for i in range(len(points)):
+        want.setdefault(forest.root(i), set()).add(int(node[i]))
+    want = {frozenset(x) for x in want.values() if len(x) > 1}
+    df = spark.createDataFrame([(int(x), [int(x)]) for x in node], "node long, fp array<long>").repartition(5)
+    for shard in (1000, 100, 8, 2):
+        links = H.thinned(H.spanning_links(df, 1, 4, shard))
+        got = {}
+        for r in H.components(links, df.select("node", df.node.alias("label"))).collect():
+            got.setdefault(r.label, set()).add(r.node)
+        assert {frozenset(x) for x in got.values()} == want
+
+
+def test_nodes_of_keys_over_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    rows = sorted((int(k), int(n)) for k, n in zip(rng.integers(0, 40, 300), rng.integers(0, 4, 300))) + [(50, 1), (50, 1), (51, 1), (52, 1), (52, 2)]
+    nodes = {}
+    for k, n in rows:
+        nodes.setdefault(k, set()).add(n)
+    want = sorted((k, n) for k, own in nodes.items() if len(own) > 1 for n in own)
+    for step in (1, 2, 3, 7, 1000):
+        parts = [rows[i : i + step] for i in range(0, len(rows), step)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in p], pa.int64()), pa.array([n for _, n in p], pa.int64())], ["key", "node"]) for p in parts]
+        got = [(k, n) for b in H.shared_only(iter(batches)) for k, n in zip(b.column("key").to_pylist(), b.column("node").to_pylist())]
+        assert sorted(got) == want
+
+
+def test_query_matches_brute_force(spark, fixture_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{fixture_dir}/documents.parquet").collect()]
+    assert sorted(repr(tuple(r)) for r in H.op4_simhash(spark, fixture_dir).collect()) == sorted(map(repr, brute_components(rows, 4)))
+
+
 def wide_components(rows, size=5):
     """By all pairs of the wide fingerprints."""
     fps = [H.fingerprint(r[1] or "", size, H.WIDE) for r in rows]
