@@ -18,11 +18,13 @@ along the same pointers. No suffix is renamed and nothing recurs; time is linear
 A gram with more than `most` different contexts is not put into one task. A window has more than half of what it has
 beyond the gram to one side of it, so the gram grows to that side, its contexts are dealt anew by the longer gram, and
 those whose longer gram occurs once are done. After two such rounds the windows of what is still too many are digested
-(128 bits) and grouped over the cluster. Long texts are read in pieces that overlap by a window; the windows stay the same.
+(128 bits) and grouped over the cluster: a window that stands in more than `most` different contexts has no order of suffixes that
+one task could hold. Long texts are read in pieces that overlap by a window; the windows stay the same. A gram, context or
+window with a great share of all rows is dealt over several tasks.
 
 Nulls: a null text is an empty one. A null doc_id ranks after all others and comes back as null. Rows that share a
 doc_id are documents of their own, in the order of a checksum of their text; equal rows are the same
-document and get the same result. Extra columns are not read.
+document and get the same result. An empty table gives an empty one. Extra columns, whatever their names, are not read.
 """
 
 import hashlib
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import read_table, stored, text_or_empty
+from seriesforge.llm.common import hot_join, read_table, stored, text_or_empty
 
 LAST = (1 << 63) - 1
 PIECE = 1 << 20
@@ -326,7 +328,8 @@ def narrowed(contexts: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
 
     found = stored(contexts.select("doc", "v", "p", "off", "g", "bytes").mapInArrow(run, "h long, doc long, v long, p int, off int, g int, bytes binary"), "narrowed")
-    return found.join(found.groupBy("h").agg(F.count(F.lit(1)).alias("u")).where("u > 1"), "h")
+    several = found.groupBy("h").agg(F.count(F.lit(1)).alias("u")).where("u > 1")
+    return hot_join(found, stored(several.withColumn("k", F.col("u")), "grams"), ["h"], "k", ["doc", "v", "p"])
 
 
 def grouped_windows(contexts: DataFrame, width: int) -> DataFrame:
@@ -346,20 +349,20 @@ def grouped_windows(contexts: DataFrame, width: int) -> DataFrame:
 
     windows = contexts.mapInArrow(run, "doc long, v long, p int, w1 long, w2 long")
     rank = F.struct("doc", "v", "p")
-    several = windows.groupBy("w1", "w2").agg(F.min(rank).alias("least"), F.max(rank).alias("most")).where("least <> most").select("w1", "w2", "least")
-    return windows.join(several, ["w1", "w2"]).where(rank != F.col("least")).select("doc", "v", "p", (F.col("p") + width).alias("e"))
+    several = windows.groupBy("w1", "w2").agg(F.min(rank).alias("least"), F.max(rank).alias("most"), F.count(F.lit(1)).alias("k")).where("least <> most").drop("most")
+    return hot_join(windows, stored(several, "windows"), ["w1", "w2"], "k", ["doc", "v", "p"]).where(rank != F.col("least")).select("doc", "v", "p", (F.col("p") + width).alias("e"))
 
 
 def repeated_spans(docs: DataFrame, width: int, gram: int, most: int) -> DataFrame:
     """docs: doc, v, text. Gives doc, v, p, e: overlapping stretches of bytes that go."""
-    several = stored(scanned(docs, width, gram, False).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "grams")
-    found = stored(scanned(docs, width, gram, True).join(several, "h"), "anchors")
+    several = stored(scanned(docs, width, gram, False).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "grams")
+    found = stored(hot_join(scanned(docs, width, gram, True), several, ["h"], "k", ["doc", "v", "p"]), "anchors")
     rank = F.struct("doc", "v", "p")
-    contexts = stored(found.groupBy("h", "c", "off", "n").agg(F.min(rank).alias("least"), F.max(rank).alias("most")), "contexts")
-    copies = contexts.where("least <> most").select("h", "c", "off", "n", "least")
-    again = found.join(copies, ["h", "c", "off", "n"]).where(rank != F.col("least")).select("doc", "v", "p", (F.col("p") + F.col("n") + (width - 1)).alias("e"))
-    mixed_grams = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("u")).where("u > 1")
-    wanted = contexts.join(mixed_grams, "h").select("h", "u", "off", "n", "least.doc", "least.v", "least.p")
+    contexts = stored(found.groupBy("h", "c", "off", "n").agg(F.min(rank).alias("least"), F.max(rank).alias("most"), F.count(F.lit(1)).alias("k")), "contexts")
+    copies = stored(contexts.where("least <> most").select("h", "c", "off", "n", "least", "k"), "copies")
+    again = hot_join(found, copies, ["h", "c", "off", "n"], "k", ["doc", "v", "p"]).where(rank != F.col("least")).select("doc", "v", "p", (F.col("p") + F.col("n") + (width - 1)).alias("e"))
+    mixed_grams = stored(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("u")).where("u > 1").withColumn("of", F.col("u")), "mixed")
+    wanted = hot_join(contexts, mixed_grams, ["h"], "of", ["off", "n", "c"]).select("h", "u", "off", "n", "least.doc", "least.v", "least.p")
     per_doc = wanted.groupBy("doc", "v").agg(F.collect_list(F.struct("h", "u", "off", "n", "p")).alias("want"))
     names = ["h", "u", "doc", "v", "p", "off", "bytes"]
 

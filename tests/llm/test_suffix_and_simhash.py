@@ -59,6 +59,25 @@ def test_bytes_match_brute_force(messy):
         assert sorted(repr(tuple(r)) for r in found.collect()) == brute_bytes(rows)
 
 
+def test_query_of_bytes_by_brute_force(spark, fixture_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{fixture_dir}/documents.parquet").collect()]
+    assert sorted(repr(tuple(r)) for r in S.op7_suffix_dedup(spark, fixture_dir).collect()) == brute_bytes(rows)
+
+
+def test_hot_contexts_give_the_same(spark, monkeypatch):
+    from functools import partial
+
+    from seriesforge.llm import common
+
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdef ", k=260))
+    rows = [(i, f"{'x' * (i % 7)}{passage[: 120 + i]}{i * 7919} and {passage}") for i in range(60)]
+    monkeypatch.setattr(S, "hot_join", partial(common.hot_join, pieces=7, least=3))
+    for most in (4096, 5):
+        found = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), most=most).drop("kept")
+        assert sorted(repr(tuple(r)) for r in found.collect()) == brute_bytes(rows)
+
+
 def test_bytes_of_random_texts(spark):
     rng = random.Random(3)
     bank = ["".join(rng.choices("abc", k=rng.randint(80, 180))) for _ in range(6)]
