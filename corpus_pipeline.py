@@ -2,13 +2,16 @@
 
 toxicity        documents scored 0.5 or more go
 line_dedup      lines that repeat an earlier line go, and so do lines of 20 code points or more within one edit of an earlier one;
-                documents that lose all their lines go
+                documents that lose all their lines go; n_chars becomes the code points of what is left
 simhash         of each group of near-duplicates (five-word shingles, similarity 0.8) the least doc_id stays
 decontaminate   documents that hold a benchmark item go
-bpe             adds ids, the token ids of the text, and n_tokens
+bpe             adds ids, the token ids of the text, n_tokens, and decoded_sha256, the digest of the text that the ids decode to
 
-All but the last return the columns of documents. Empty texts and null columns pass all stages, but that the empty
-texts are one group of near-duplicates.
+All but the last return the columns of documents. Nulls: null and empty texts, and rows with a null doc_id, pass all stages, but
+that the empty texts are one group of near-duplicates, of which the least doc_id stays. Ties and repeated rows: rows of one doc_id
+stay together or go together, but for lines, where rows that share a doc_id keep what they repeat of each other on the same line.
+An empty table gives an empty one. Texts of any length are taken whole. Extra columns pass through, whatever their names; in the
+last stage those called like one of its three columns, in any case, are replaced.
 """
 
 from collections.abc import Callable
@@ -17,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesforge.llm import bpe, decontaminate, line_dedup, simhash, toxicity
-from seriesforge.llm.common import read_table, stored
+from seriesforge.llm.common import free_name, read_table, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lexicon, weights = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
-    # A column of the documents that has the name of a result is put aside meanwhile.
-    aside = {c: f"_own_{c}" for c in docs.columns if c in ("score", "predicted")}
+    # A column of the documents that has the name of a result, in any case, is put aside meanwhile.
+    aside = {c: free_name(docs, f"_own_{c}") for c in docs.columns if c.lower() in ("score", "predicted")}
     named = docs.withColumnsRenamed(aside)
     kept = toxicity.score_documents(named, lexicon, weights, named.columns).where("predicted = 0").drop("score", "predicted")
     return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
@@ -45,8 +48,10 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    encoded = bpe.encode_column(docs, "text", path or public_tokenizers.path("byte_bpe_50k.json"))
-    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    decoded = free_name(docs, "_decoded")
+    coded = bpe.decode_column(bpe.encode_column(docs, "text", path), "ids", path, decoded)
+    return coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded_sha256", F.sha2(decoded, 256)).drop(decoded)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -57,7 +62,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", bpe_stage),
 ]
 
-#: SQL has no byte-pair encoding and no learned scores; tests compare the stages with brute force.
+#: SQL has no byte-pair encoding and no learned scores; tests/llm/test_pipeline.py compares run() and each stage with brute force.
 ORACLE_SQL = None
 
 
