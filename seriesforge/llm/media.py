@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import dropped, read_table, stored, text_or_empty
+from seriesforge.llm.common import read_table, stored, text_or_empty
 
 MU_LAW, A_LAW, IMA_ADPCM = 7, 6, 0x11
 #: Fixed values of the IMA ADPCM format: how the step index moves by a nibble's magnitude.
@@ -199,17 +199,20 @@ def sound(pcm: bytes | None) -> str:
     return f"n={len(s)};power={power};peak={peak};turns={int(np.count_nonzero(sign[1:] != sign[:-1]))};pcm={zlib.crc32(pcm):08x}"
 
 
-def media_features(df: DataFrame, rows: int = 256) -> DataFrame:
-    """Digests of the stored file in `media` and of the payload in it, and a feature string: codec and rate, and the sound in `pcm`.
-    A row whose file can't be read has null payload fields."""
+def media_digests(df: DataFrame, rows: int = 256) -> DataFrame:
+    """Adds digests of the file in `media` and of the payload in it, and `form`, its codec and rate. A file that can't be read has null
+    payload fields."""
     codecs = {MU_LAW: "mulaw", A_LAW: "alaw", IMA_ADPCM: "adpcm"}
+    new = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "form": "string"}
+    rest = df.drop(*new)
+    schema = rest.select("*", *[F.lit(None).cast(t).alias(c) for c, t in new.items()]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-                for file, pcm in zip(part.column("media").to_pylist(), part.column("pcm").to_pylist()):
+                out: dict[str, list] = {k: [] for k in new}
+                for file in part.column("media").to_pylist():
                     x = unwave(file)
                     payload = x and x[4]
                     out["payload_bytes"].append(None if x is None else len(payload))
@@ -217,17 +220,37 @@ def media_features(df: DataFrame, rows: int = 256) -> DataFrame:
                     out["tail_crc32"].append(None if x is None else zlib.crc32(payload[-64:]))
                     out["media_bytes"].append(None if file is None else len(file))
                     out["media_sha256"].append(None if file is None else hashlib.sha256(file).hexdigest())
-                    out["feature"].append(f"{'none' if x is None else codecs.get(x[0], 'other')};{'rate=' + str(x[2]) if x else ''};{sound(pcm)}")
-                kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *[pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()]], ["doc_id", "n_bytes", *out])
+                    out["form"].append("none;" if x is None else f"{codecs.get(x[0], 'other')};rate={x[2]}")
+                columns = [pa.array(v, pa.int64() if new[k] == "long" else pa.string()) for k, v in out.items()]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *new])
 
-    return df.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rest.mapInArrow(run, schema)
+
+
+def sound_features(df: DataFrame, rows: int = 256) -> DataFrame:
+    """`pcm` and `form` become `feature`."""
+    rest = df.drop("feature")
+    names = [c for c in rest.columns if c not in ("pcm", "form")]
+    schema = rest.select(*names, F.lit(None).cast("string").alias("feature")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                found = [f"{form};{sound(pcm)}" for form, pcm in zip(part.column("form").to_pylist(), part.column("pcm").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(found, pa.string())], [*names, "feature"])
+
+    return rest.mapInArrow(run, schema)
+
+
+def media_features(df: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, digests of `media` and the feature of `pcm`."""
+    return sound_features(media_digests(df.select("doc_id", "n_bytes", "media", "pcm")).drop("media"))
 
 
 def op2_media_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a telephony file in a stored table; read back, decoded and resampled to 8000 samples a second; files and PCM stored
-    side by side, read back and digested."""
-    media = stored(encode_media(read_table(spark, sf_dir, "documents")), "media")
-    decoded = stored(decode_telephony(media, "media", 8000), "pcm")
-    dropped(media)
-    return media_features(decoded)
+    """Each document as a telephony file in a stored table; read back, digested, decoded and resampled to 8000 samples a second; the PCM
+    in a stored table beside the digests, read back for its features."""
+    small = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+    media = stored(encode_media(read_table(spark, sf_dir, "documents")), "media", small)
+    return sound_features(stored(decode_telephony(media_digests(media), "media", 8000).drop("media"), "pcm", small))
