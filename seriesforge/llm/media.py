@@ -251,6 +251,6 @@ def media_features(df: DataFrame) -> DataFrame:
 def op2_media_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a telephony file in a stored table; read back, digested, decoded and resampled to 8000 samples a second; the PCM
     in a stored table beside the digests, read back for its features."""
-    small = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+    small = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(8 << 20)}
     media = stored(encode_media(read_table(spark, sf_dir, "documents")), "media", small)
     return sound_features(stored(decode_telephony(media_digests(media), "media", 8000).drop("media"), "pcm", small))
