@@ -247,8 +247,11 @@ def within_tolerance(a, b, floor: float, relative: float) -> Column:
 # verdicts
 
 
-def classify_state(x, low: float, high: float) -> Column:
-    return F.when(col(x).isNull(), "UNKNOWN").when(col(x) < low, "LOW").when(col(x) > high, "HIGH").otherwise("INTERMEDIATE")
+def classify_state(mag, threshold, half_width) -> Column:
+    """HIGH is brighter than the threshold by more than its half width, LOW fainter; without a half width the threshold itself divides."""
+    as_col = lambda x: F.lit(x) if isinstance(x, int | float) else col(x)
+    away, wide = col(mag) - as_col(threshold), F.coalesce(as_col(half_width), F.lit(0.0))
+    return F.when(away.isNull(), "UNKNOWN").when(away < -wide, "HIGH").when(away > wide, "LOW").otherwise("INTERMEDIATE")
 
 
 def agreement(a, b, sa, sb, bar: float = 3.0) -> Column:
@@ -262,7 +265,7 @@ def allowed_transition(before, after, terminal: list[str]) -> Column:
 
 
 def gate_movement(before, after) -> Column:
-    return F.when(col(before) & col(after), "kept").when(col(before), "left").when(col(after), "entered").otherwise("outside")
+    return F.when(col(before) & col(after), "unchanged_in").when(col(before), "moved_out").when(col(after), "moved_in").otherwise("unchanged_out")
 
 
 def passes_list(x, allowed: list[str] | None = None, denied: list[str] | None = None) -> Column:
