@@ -5,10 +5,12 @@ takes the last right row before it and the first one after it. So no task holds
 beyond the ends of a slice comes from a table with one row for each slice.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesforge.functions.scalars import col
+from seriesforge.functions.scalars import col, separation_deg
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, carry: list[str], how: str = "nearest", strict: bool = False, width: float = 30 * 86400.0) -> DataFrame:
@@ -96,11 +98,32 @@ def ladder(left: DataFrame, key: str, rungs: list[tuple[str, DataFrame]]) -> Dat
 
 
 def keyed_diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """keys, change: appeared, destroyed, content or same, by a full outer join of the keyed tables."""
-    a = before.select(*keys, F.struct(*values).alias("_a"), F.lit(True).alias("_ina"))
-    b = after.select(*keys, F.struct(*values).alias("_b"), F.lit(True).alias("_inb"))
-    change = F.when(F.col("_ina").isNull(), "appeared").when(F.col("_inb").isNull(), "destroyed").when(~F.col("_a").eqNullSafe(F.col("_b")), "content").otherwise("same")
-    return a.join(b, keys, "full").select(*keys, change.alias("change"))
+    """keys, change: appeared, destroyed, content or same, of two keyed tables; NULL keys are equal. One aggregate over both."""
+    both = before.select(*keys, F.struct(*values).alias("_a"), F.lit(None).cast(before.select(F.struct(*values).alias("s")).schema["s"].dataType).alias("_b"), F.lit(0).alias("_side"))
+    both = both.unionByName(after.select(*keys, F.lit(None).cast(before.select(F.struct(*values).alias("s")).schema["s"].dataType).alias("_a"), F.struct(*values).alias("_b"), F.lit(1).alias("_side")))
+    seen = both.groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"), F.min("_side").alias("_first"), F.max("_side").alias("_last"))
+    change = F.when(F.col("_first") == 1, "appeared").when(F.col("_last") == 0, "destroyed").when(~F.col("_a").eqNullSafe(F.col("_b")), "content").otherwise("same")
+    return seen.select(*keys, change.alias("change"))
+
+
+def cone_join(left: DataFrame, right: DataFrame, lra: str, ldec: str, rra: str, rdec: str, tol_deg: float) -> DataFrame:
+    """Pairs within an angle on the sphere, at the poles and over 0/360 too; adds sep in degrees. NULL coordinates match nothing.
+
+    Cells are cubes of the unit sphere as wide as the chord of the angle, so a left row meets its own cell and the 26 around it.
+    """
+    chord = 2 * math.sin(math.radians(min(tol_deg, 180.0)) / 2)
+    wide = max(chord * (1 + 1e-9), 1e-9)
+
+    def cell(ra: str, dec: str) -> list[Column]:
+        a, d = F.radians(F.col(ra)), F.radians(F.col(dec))
+        return [F.floor(x / wide) for x in (F.cos(d) * F.cos(a), F.cos(d) * F.sin(a), F.sin(d))]
+
+    steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijk", (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    near = left.where(F.col(lra).isNotNull() & F.col(ldec).isNotNull()).withColumn("_s", F.explode(steps))
+    near = near.select("*", *[(x + F.col(f"_s.{n}")).alias(f"_{n}") for n, x in zip("ijk", cell(lra, ldec))]).drop("_s")
+    other = right.where(F.col(rra).isNotNull() & F.col(rdec).isNotNull()).select("*", *[x.alias(f"_{n}") for n, x in zip("ijk", cell(rra, rdec))])
+    met = near.join(other, ["_i", "_j", "_k"]).drop("_i", "_j", "_k")
+    return met.withColumn("sep", separation_deg(lra, ldec, rra, rdec)).where(F.col("sep") <= tol_deg)
 
 
 def reconcile(measured: DataFrame, claims: DataFrame, keys: list[str], value: str, claim: str) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesforge.functions.scalars import MAD_TO_SIGMA, col, safe_div
-
-from seriesforge.sources.tables import checkpointed
+from seriesforge.sources.tables import checkpointed, join_on
 
 Z95 = 1.959963984540054
 
@@ -73,11 +72,8 @@ def median_and_mad(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     The groups' medians come back by a join; Spark splits a hot group's rows there, and the final
     percentile keeps counts of distinct values, which partial aggregation combines.
     """
-    first = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(median(x).alias("_m"))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = df.select(*keys, F.col(x).cast("double").alias("_x")).join(first, on)
+    first = df.groupBy(*keys).agg(median(x).alias("_m"))
+    joined = join_on(df.select(*keys, F.col(x).cast("double").alias("_x")), first, keys)
     return joined.groupBy(*keys).agg(
         F.count("_x").alias("n"), F.first("_m").alias("median"), F.when(F.count("_x") >= 2, MAD_TO_SIGMA * median(F.abs(F.col("_x") - F.col("_m")))).alias("mad_sigma")
     )
@@ -86,7 +82,7 @@ def median_and_mad(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 def clipped_stats(df: DataFrame, keys: list[str], x: str, nsigma: float = 4.0) -> DataFrame:
     """keys, n, n_kept, mean, sd over the values within nsigma robust sigmas of their group's median."""
     stats = median_and_mad(df, keys, x).withColumnRenamed("n", "_n")
-    joined = df.join(stats, keys)
+    joined = join_on(df, stats, keys)
     keep = F.abs(F.col(x) - F.col("median")) <= nsigma * F.col("mad_sigma")
     return joined.groupBy(*keys).agg(F.count(x).alias("n"), F.count_if(keep).alias("n_kept"), F.avg(F.when(keep, F.col(x))).alias("mean"), F.stddev_samp(F.when(keep, F.col(x))).alias("sd"))
 
@@ -152,7 +148,7 @@ def otsu(df: DataFrame, keys: list[str], x: str, bins: int = 64) -> DataFrame:
     Rows become bin counts first; what is sorted afterwards is at most `bins` rows for each key.
     """
     span = df.groupBy(*keys).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    joined = df.join(span, keys).where("hi > lo")
+    joined = join_on(df, span, keys).where("hi > lo")
     hist = joined.withColumn("bin", F.least(F.floor((F.col(x) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     every = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins
     w, whole = Window.partitionBy(*keys).orderBy("bin"), Window.partitionBy(*keys)
@@ -192,7 +188,7 @@ def axial_coherence(angle_deg) -> Column:
 def wrapped_median_deg(df: DataFrame, keys: list[str], angle: str) -> DataFrame:
     """Median angle in degrees; where a group spans over 180 degrees, angles below 180 count a turn more."""
     span = df.groupBy(*keys).agg((F.max(angle) - F.min(angle)).alias("_span"))
-    lifted = df.join(span, keys).withColumn("_a", F.when((F.col("_span") > 180) & (F.col(angle) < 180), F.col(angle) + 360).otherwise(F.col(angle)))
+    lifted = join_on(df, span, keys).withColumn("_a", F.when((F.col("_span") > 180) & (F.col(angle) < 180), F.col(angle) + 360).otherwise(F.col(angle)))
     return lifted.groupBy(*keys).agg(F.pmod(median("_a"), F.lit(360.0)).alias("median_deg"))
 
 

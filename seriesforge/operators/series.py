@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions.scalars import safe_div
 from seriesforge.operators.robust import median
+from seriesforge.sources.tables import join_on
 
 
 def sessions(df: DataFrame, keys: list[str], t: str, gap: float, tie: str) -> DataFrame:
@@ -34,7 +35,7 @@ def cadence(df: DataFrame, keys: list[str], t: str, tie: str, low: float = 0.5,
     gaps = df.withColumn("gap", F.col(t) - F.lag(t).over(w))
     first = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(t) - F.min(t)).alias("baseline"), median(F.when(F.col("gap") > 0, F.col("gap"))).alias("median_gap"))
     ok = F.col("gap").between(low * F.col("median_gap"), high * F.col("median_gap"))
-    return gaps.join(first, keys).groupBy(*keys, "n", "baseline", "median_gap").agg(F.avg(F.when(F.col("gap") > 0, ok.cast("double"))).alias("in_band"))
+    return join_on(gaps, first, keys).groupBy(*keys, "n", "baseline", "median_gap").agg(F.avg(F.when(F.col("gap") > 0, ok.cast("double"))).alias("in_band"))
 
 
 def running_median(df: DataFrame, keys: list[str], t: str, tie: str, x: str, half: int, out: str = "running") -> DataFrame:
@@ -59,7 +60,7 @@ def relative_veto(df: DataFrame, x: str, running: str, threshold: float) -> Data
 def without_block_means(df: DataFrame, keys: list[str], x: str, out: str = "residual") -> DataFrame:
     """x less its group's mean, by an aggregate and a join."""
     means = df.groupBy(*keys).agg(F.avg(x).alias("_m"), F.count(x).alias("_n"))
-    return df.join(means, keys).withColumn(out, F.when(F.col("_n") >= 2, F.col(x) - F.col("_m"))).drop("_m", "_n")
+    return join_on(df, means, keys).withColumn(out, F.when(F.col("_n") >= 2, F.col(x) - F.col("_m"))).drop("_m", "_n")
 
 
 def rate_of_change(df: DataFrame, keys: list[str], t: str, tie: str, x: str, out: str = "rate") -> DataFrame:
@@ -77,7 +78,7 @@ def cyclic_shift(df: DataFrame, keys: list[str], t: str, tie: str, x: str, by: i
     w = Window.partitionBy(*keys).orderBy(t, tie)
     numbered = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     moved = numbered.select(*keys, F.pmod(F.col("_i") + by, F.col("_n")).alias("_i"), F.col(x).alias(out))
-    return numbered.join(moved, [*keys, "_i"]).drop("_i", "_n")
+    return join_on(numbered, moved, [*keys, "_i"]).drop("_i", "_n")
 
 
 def allan_ladder(df: DataFrame, keys: list[str], t: str, tie: str, x: str, rungs: list[int], least: int = 4) -> DataFrame:
@@ -152,7 +153,7 @@ def periodogram(df: DataFrame, keys: list[str], t: str, y: str, w: Column | None
 def refine_peak(grid: DataFrame, keys: list[str], step: float) -> DataFrame:
     """keys, f, power of the highest point, moved to the vertex of the parabola through it and its neighbours."""
     best = grid.groupBy(*keys).agg(F.max_by("k", F.struct("power", -F.col("k"))).alias("_k"))
-    near = grid.join(best, keys).where(F.abs(F.col("k") - F.col("_k")) <= 1)
+    near = join_on(grid, best, keys).where(F.abs(F.col("k") - F.col("_k")) <= 1)
     at = lambda d, c="power": F.max(F.when(F.col("k") == F.col("_k") + d, F.col(c)))
     three = near.groupBy(*keys).agg(at(-1).alias("l"), at(0).alias("m"), at(1).alias("r"), at(0, "f").alias("f0"))
     bend = F.col("l") - 2 * F.col("m") + F.col("r")
@@ -182,5 +183,5 @@ def two_way_residual(df: DataFrame, row: str, column: str, x: str, sweeps: int =
     for _ in range(sweeps):
         for k in (row, column):
             means = out.groupBy(k).agg(F.avg("residual").alias("_m"))
-            out = out.join(means, k).withColumn("residual", F.col("residual") - F.col("_m")).drop("_m")
+            out = join_on(out, means, [k]).withColumn("residual", F.col("residual") - F.col("_m")).drop("_m")
     return out

@@ -74,43 +74,74 @@ def pinned_ids(keys: DataFrame, registry: DataFrame, key: str, id_name: str) ->
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """rows and content: a digest that does not depend on the order of rows, so it is one aggregate at any size.
 
-    Fields are joined by separators that texts do not hold, NULL differs from '', and -0.0 equals 0.0.
+    Each field is preceded by its length, so no text can look like two, NULL differs from '', and -0.0 equals 0.0.
     """
 
     def canon(c: str) -> Column:
         x = F.col(c)
         if df.schema[c].dataType.simpleString() in ("double", "float"):
             x = F.when(x == 0, F.lit(0.0)).otherwise(x)
-        return F.coalesce(F.concat(F.lit("\x01"), x.cast("string")), F.lit("\x00"))
+        text = x.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
 
-    digest = F.sha2(F.concat_ws("\x1f", *[canon(c) for c in columns]), 256)
+    digest = F.sha2(F.concat(*[canon(c) for c in columns]), 256)
     part = lambda i: F.sum(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)"))
     return df.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *[F.coalesce(part(i), F.lit(0)).cast("string") for i in range(4)]).alias("content"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most_rounds: int = 50) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node: everything downstream of the seeds along edges (src, dst). A round is a join; rounds are as many as the graph is deep."""
     seen = checkpointed(seeds.select("node").distinct())
     front = seen
-    for _ in range(most_rounds):
+    while not front.isEmpty():
         step = edges.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
         front = checkpointed(step.join(seen, "node", "left_anti"))
-        if front.isEmpty():
-            return seen
         seen = checkpointed(seen.unionByName(front))
-    raise ValueError(f"the graph is deeper than {most_rounds}")
-
-
-def levels(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node, level: one more than the highest level before it; a cycle raises."""
-    out = checkpointed(nodes.select("node", F.lit(0).alias("level")))
-    for _ in range(most_rounds):
-        up = edges.join(out.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("up"))
-        after = checkpointed(out.join(up, "node", "left").select("node", F.col("level").alias("old"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
-        out = after.select("node", "level")
-        if after.where("old <> level").isEmpty():
-            return out
-    raise ValueError("the graph has a cycle")
+    return seen
+
+
+def levels(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """node, level: one more than the highest level before it. Nodes that nothing left leads to are peeled off, a level a round; where
+    none can be, the rest has a cycle, which raises. Edges from unknown nodes don't count. most_rounds: raise on deeper graphs."""
+    left = checkpointed(nodes.select("node").distinct())
+    rest = checkpointed(edges.select("src", "dst").join(left.withColumnRenamed("node", "src"), "src", "left_semi"))
+    out, level = None, 0
+    while not left.isEmpty():
+        free = checkpointed(left.join(rest.select(F.col("dst").alias("node")), "node", "left_anti"))
+        if free.isEmpty() or (most_rounds is not None and level >= most_rounds):
+            raise ValueError("the graph has a cycle" if free.isEmpty() else f"the graph is deeper than {most_rounds}")
+        found = free.select("node", F.lit(level).alias("level"))
+        out = found if out is None else out.unionByName(found)
+        left = checkpointed(left.join(free, "node", "left_anti"))
+        rest = checkpointed(rest.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
+        level += 1
+    return out if out is not None else nodes.select("node", F.lit(0).alias("level"))
+
+
+def unmet(tasks: DataFrame, needs: DataFrame, done: list[str]) -> DataFrame:
+    """task, missing: the needs (task, need) of open tasks (task, status) that are not done, in order; a need that is no task is never done."""
+    state = tasks.select(F.col("task").alias("need"), F.col("status").alias("_s"))
+    waits = needs.join(tasks.where(~F.col("status").isin(done)).select("task"), "task").join(state, "need", "left").where(~F.coalesce(F.col("_s").isin(done), F.lit(False)))
+    return waits.groupBy("task").agg(F.sort_array(F.collect_set("need")).alias("missing"))
+
+
+def next_up(tasks: DataFrame, needs: DataFrame, done: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n open tasks without unmet needs."""
+    return tasks.where(~F.col("status").isin(done)).join(unmet(tasks, needs, done).select("task"), "task", "left_anti").orderBy(*order).limit(n)
+
+
+def rerun_plan(states: DataFrame, depth: DataFrame) -> DataFrame:
+    """stage, position of what is not FRESH, what others depend on first. Few rows: one for each stage."""
+    open_ = states.where("verdict <> 'FRESH'").join(depth.withColumnRenamed("node", "stage"), "stage")
+    return open_.select("stage", F.row_number().over(Window.orderBy("level", "stage")).alias("position"))
+
+
+def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, after raising if a key has several rows."""
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"several rows of one key, such as {twice[0]}")
+    return df
 
 
 def verdicts(stages: DataFrame, recorded: DataFrame, current: DataFrame) -> DataFrame:

@@ -250,7 +250,7 @@ def staleness_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT count(*) AS rows, CAST(sum(CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) AS HUGEINT)) AS VARCHAR) || '-' || CAST(sum(CAST(CAST('0x' || substr(h, 9, 8) AS BIGINT) AS HUGEINT)) AS VARCHAR) || '-' ||
             CAST(sum(CAST(CAST('0x' || substr(h, 17, 8) AS BIGINT) AS HUGEINT)) AS VARCHAR) || '-' || CAST(sum(CAST(CAST('0x' || substr(h, 25, 8) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS content FROM (
-            SELECT sha256(chr(1) || CAST(o_orderkey AS VARCHAR) || chr(31) || chr(1) || o_orderstatus || chr(31) || chr(1) || o_orderpriority) AS h FROM orders)""")
+            SELECT sha256(length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey || length(o_orderstatus) || ':' || o_orderstatus || length(o_orderpriority) || ':' || o_orderpriority) AS h FROM orders)""")
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.fingerprint(read_table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 

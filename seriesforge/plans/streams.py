@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from seriesforge.plans.base import query
-from seriesforge.sources.tables import read_table
+from seriesforge.sources.tables import read_table, shared_dir
 from seriesforge.streaming import sessions as X
 
 
@@ -22,8 +22,7 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file as a stream into additive parts, then their sum."""
     path = f"{sf_dir.rstrip('/')}/events.parquet"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/seriesforge"
-    work = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     # A file source reads a folder; the glob makes one of a single file too.
     stream = spark.readStream.schema(schema).parquet(f"{path}*")

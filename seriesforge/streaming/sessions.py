@@ -1,5 +1,7 @@
 """Structured Streaming forms: gap sessions with a watermark, additive histograms, and latest-wins tables."""
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,11 +24,13 @@ def tumbling_counts(events: DataFrame, key: str, ts: str, width: str, late: str)
 
 
 def append_histogram(stream: DataFrame, key: str, x: str, width: float, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch writes its own partial histogram under its number, so a replayed batch replaces itself."""
+    """Each micro-batch writes its own partial histogram under its checkpoint's name and its number: a replayed batch replaces itself, and a
+    stream that starts anew with another checkpoint adds to what is there."""
+    own = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
         part = batch.groupBy(key, F.floor(F.col(x) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-        part.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        part.write.mode("overwrite").parquet(f"{path}/batch={own}-{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

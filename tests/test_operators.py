@@ -190,3 +190,85 @@ def test_stream_leaves_out_late_rows(spark, tmp_path):
     q = X.session_counts(stream, "user", "ts", "10 minutes", "1 hour").writeStream.format("memory").queryName("sess").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination()
     assert [r.n for r in spark.table("sess").orderBy("start").collect()][:1] == [2]
+
+
+def test_null_keys_stay_in_every_keyed_operator(spark):
+    rows = [(k, float(t), t, float(t * t % 7)) for k in (None, "a") for t in range(12)]
+    df = spark.createDataFrame(rows, "k string, t double, id int, x double")
+    count = lambda d: {r.k for r in d.select("k").distinct().collect()}
+    both = {None, "a"}
+    assert count(T.without_block_means(df, ["k"], "x")) == both and T.without_block_means(df, ["k"], "x").count() == 24
+    assert count(T.cadence(df, ["k"], "t", "id")) == both and T.cyclic_shift(df, ["k"], "t", "id", "x", 2).count() == 24
+    assert count(R.clipped_stats(df, ["k"], "x")) == both and count(R.otsu(df, ["k"], "x")) == both and count(R.wrapped_median_deg(df, ["k"], "x")) == both
+    assert T.two_way_residual(df, "k", "id", "x").count() == 24
+    grid = df.select("k", F.col("id").alias("k2"), F.col("x").alias("power")).withColumnsRenamed({"k2": "f"}).withColumn("n", F.col("f"))
+    assert count(T.refine_peak(grid.select("k", F.col("n").alias("j"), "f", "power").withColumnsRenamed({"k": "key", "j": "k"}).withColumnRenamed("key", "star"), ["star"], 1.0).withColumnRenamed("star", "k")) == both
+
+
+def test_difference_of_tables_with_null_keys(spark):
+    a = spark.createDataFrame([(None, 1), ("x", 2), ("y", None)], "k string, v int")
+    b = spark.createDataFrame([(None, 1), ("x", 3), ("z", None)], "k string, v int")
+    assert {r.k: r.change for r in J.keyed_diff(a, b, ["k"], ["v"]).collect()} == {None: "same", "x": "content", "y": "destroyed", "z": "appeared"}
+
+
+def test_cone_join_at_the_pole_and_over_zero(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, float(r), float(d)) for i, (r, d) in enumerate(zip(rng.uniform(0, 360, 300), rng.choice([-89.5, 0.0, 89.7, 45.0], 300) + rng.uniform(-0.4, 0.3, 300)))]
+    rows += [(900, 359.9, 0.0), (901, 0.1, 0.0), (902, None, 0.0)]
+    a = spark.createDataFrame(rows, "i int, ra double, dec double")
+    b = a.withColumnsRenamed({"i": "j", "ra": "ra2", "dec": "dec2"})
+    got = {(r.i, r.j) for r in J.cone_join(a, b, "ra", "dec", "ra2", "dec2", 0.5).collect()}
+    unit = lambda r, d: np.array([math.cos(math.radians(d)) * math.cos(math.radians(r)), math.cos(math.radians(d)) * math.sin(math.radians(r)), math.sin(math.radians(d))])
+    known = [(i, unit(r, d)) for i, r, d in rows if r is not None]
+    want = {(i, j) for i, u in known for j, v in known if np.linalg.norm(u - v) <= 2 * math.sin(math.radians(0.5) / 2)}
+    assert got == want and (900, 901) in got
+
+
+def test_fingerprint_has_no_look_alikes(spark):
+    f = lambda *r: W.fingerprint(spark.createDataFrame([r], "a string, b string"), ["a", "b"]).first().content
+    assert len({f("a\x1f\x01b", "c"), f("a", "b\x1f\x01c"), f("a1:b", "c"), f("a", "1:bc"), f(None, ""), f("", None), f("~", "~")}) == 7
+
+
+def test_deep_chains_and_cycles(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "src int, dst int")
+    nodes = spark.range(61).select(F.col("id").cast("int").alias("node"))
+    assert {r.node: r.level for r in W.levels(nodes, chain).collect()} == {i: i for i in range(61)}
+    with pytest.raises(ValueError, match="cycle"):
+        W.levels(nodes, chain.union(spark.createDataFrame([(60, 30)], "src int, dst int")))
+
+
+def test_tasks(spark):
+    tasks = spark.createDataFrame([("a", "done"), ("b", "open"), ("c", "open"), ("d", "redo")], "task string, status string")
+    needs = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "x"), ("a", "b")], "task string, need string")
+    assert {r.task: r.missing for r in W.unmet(tasks, needs, ["done"]).collect()} == {"c": ["b"], "d": ["x"]}
+    assert [r.task for r in W.next_up(tasks, needs, ["done"], ["task"], 5).collect()] == ["b"]
+    states = spark.createDataFrame([("a", "FRESH"), ("b", "STALE"), ("c", "MISSING")], "stage string, verdict string")
+    depth = spark.createDataFrame([("a", 0), ("b", 2), ("c", 1)], "node string, level int")
+    assert [(r.stage, r.position) for r in W.rerun_plan(states, depth).orderBy("position").collect()] == [("c", 1), ("b", 2)]
+    with pytest.raises(ValueError):
+        W.assert_unique(tasks.union(tasks), ["task"])
+
+
+def test_table_set(spark, tmp_path):
+    from seriesforge.sources.tables import TableSet
+
+    old, new = TableSet(spark, str(tmp_path / "old")), TableSet(spark, str(tmp_path / "new"), protected=("raw",))
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "i int, s string")
+    old.create("t", rows)
+    old.create("u", rows)
+    with pytest.raises(ValueError):
+        old.create("t", rows)
+    with pytest.raises(ValueError):
+        new.swap("raw", rows)
+    with pytest.raises(KeyError):
+        new.read("t")
+    new.swap("t", rows.where("i = 1"))
+    assert new.carry(old, ["v"]) == ["u"] and new.names() == ["t", "u"] and new.read("t").count() == 1
+    new.delete("u", "s = 'a'")
+    new.update("u", "s is null", {"s": "'none'", "i": "i + 10"})
+    new.add_column("u", "n", "long", "i * 2")
+    new.rename("u", "w")
+    assert sorted(map(tuple, new.read("w").collect())) == [(3, "c", 6), (12, "none", 24)] and new.names() == ["t", "w"]
+    assert len(list((tmp_path / "new" / "w").glob("version-*"))) == 1
+    (tmp_path / "new" / "t" / "version-half").mkdir()  # a rebuild that died
+    assert new.read("t").count() == 1
