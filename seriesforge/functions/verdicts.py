@@ -94,7 +94,7 @@ def nights_of(utc_nights, nights) -> Column:
 def run_scope(utc_nights, nights) -> Column:
     """First night, and the last one if there are several: its day alone in the same month."""
     parts = nights_of(utc_nights, nights)
-    first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
+    first, last = F.get(parts, F.lit(0)), F.try_element_at(parts, F.lit(-1))
     return case((F.size(parts) == 0, ""), (F.size(parts) == 1, first), ((F.substring(first, 1, 7) == F.substring(last, 1, 7)) & (F.length(last) >= 10), F.concat(first, F.lit("+"), F.substring(last, 9, 2))), other=F.concat(first, F.lit("+"), last))
 
 

@@ -142,6 +142,16 @@ def kaplan_meier(df: DataFrame, keys: list[str], t: str, event: Column) -> DataF
     return risk.withColumn("survival", F.when(dead == 1, 0.0).otherwise(F.exp(log))).select(*keys, t, "at_risk", "events", "survival")
 
 
+def survival_median(steps: DataFrame, keys: list[str], t: str) -> DataFrame:
+    """keys, median: of kaplan_meier's rows the first time at which half or less are left; NULL where it is never reached."""
+    return steps.groupBy(*keys).agg(F.min(F.when(F.col("survival") <= 0.5, F.col(t))).alias("median"))
+
+
+def phase_coverage(phase, bins: int) -> Column:
+    """Share of the phase bins with a row."""
+    return F.countDistinct(F.floor(col(phase) * bins)) / bins
+
+
 def otsu(df: DataFrame, keys: list[str], x: str, bins: int = 64) -> DataFrame:
     """keys, threshold: the split of a histogram of equal bins with the greatest variance between both sides.
 
