@@ -59,8 +59,8 @@ def hot_join(rows: DataFrame, found: DataFrame, on: list[str], count: str, by: l
     """
     per = max(least, int(found.agg(F.sum(count)).first()[0] or 0) // pieces)
     hot = F.broadcast(found.where(F.col(count) > per).select(*on, F.ceil(F.col(count) / per).cast("long").alias("_g")))
-    dealt = rows.join(hot, on, "left").withColumn("_s", F.pmod(F.xxhash64(*by), F.coalesce("_g", F.lit(1)))).drop("_g")
-    copies = found.join(hot, on, "left").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_g", F.lit(1).cast("long")) - 1))).drop("_g", count)
+    dealt = rows.join(hot, on, "left").withColumn("_s", F.when(F.col("_g").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*by), F.col("_g")))).drop("_g")
+    copies = found.join(hot, on, "left").withColumn("_s", F.explode(F.when(F.col("_g").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))).drop("_g", count)
     return dealt.join(copies, [*on, "_s"]).drop("_s")
 
 
