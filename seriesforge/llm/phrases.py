@@ -132,7 +132,7 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(2, -1).T.copy().view("<u2").ravel(), dtype=np.int64)
 
 
-def sketch(rows: DataFrame, least: int, bits: int, portion: int = 16_000_000) -> DataFrame:
+def sketch(rows: DataFrame, least: int, bits: int, portion: int = 4_000_000) -> DataFrame:
     """row, block, set: one bit for each cell of the merged sketch that counted `least` or more phrases."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def folded(blocks: DataFrame, bits: int, most_bits: int) -> list[np.ndarray]:
     return out
 
 
-def frequent(rows: DataFrame, least: int = 30, most_bits: int = 28, portion: int = 16_000_000) -> DataFrame:
+def frequent(rows: DataFrame, least: int = 30, most_bits: int = 28, portion: int = 4_000_000) -> DataFrame:
     """lang, phrase, f: all phrases of 1 to 4 words with their exact counts, where these reach `least`; and for each lang a row without phrase, whose f counts its words."""
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(16, math.ceil(math.log2(max(1, chars / 4))))
@@ -250,7 +250,7 @@ def ranked(rows: DataFrame, most: int, deal: int = 64) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(w())).where(F.col("rank") <= most)
 
 
-def collocations(docs: DataFrame, least: int = 30, share: int = 80, most: int = 2000, most_bits: int = 28, portion: int = 16_000_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, share: int = 80, most: int = 2000, most_bits: int = 28, portion: int = 4_000_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score."""
     counts = stored(frequent(rows_of(docs), least, most_bits, portion), "phrase-counts")
     candidates = stored(scored(counts.where("phrase is not null")), "phrase-scores")
