@@ -4,17 +4,19 @@ A byte is eight binary decisions. Each decision has its own tree of contexts, th
 node estimates its bit by Krichevsky and Trofimov from its two counts, and a node's weighted probability of what it saw is half
 its own estimate and half the product of its children's. Sums of logarithms make that additive, so the tree is built by levels:
 
-1. `bundles` reads the texts in bundles of about `bundle_bytes` and gives each bundle's distinct byte strings of depth + 1
-   bytes with their training counts, and its distinct words with theirs (these for the base score).
-2. `top_levels` counts the strings over all bundles, gives each group of contexts that agree in their last three bytes to one
-   task, which builds their nodes from the deepest up to depth three, and sums what they found to the levels above.
-3. `string_scores` gives each distinct string its probability: mixed from the deepest node to the root, where a node weighs its
+1. `bundles` reads the texts in bundles of about `bundle_bytes` and packs each bundle's distinct byte strings of depth + 1
+   bytes with their training counts, and its distinct words with theirs (these for the base score), dealt over shards by a hash.
+   There are as many shards as bundles, so a shard holds about as much as a bundle at any size of the corpus.
+2. `distinct_strings` adds the counts up shard by shard. A string is in a shard once for each bundle that has it.
+3. `top_levels` deals the distinct strings by the last three bytes of their contexts, so that each task has whole subtrees; it
+   builds their nodes from the deepest up to depth three and sums what they found to the levels above. Contexts that agree in
+   three bytes have at most 256 ** (depth - 2) strings between them, however large the corpus is.
+4. `string_values` gives each distinct string its probability: mixed from the deepest node to the root, where a node weighs its
    own estimate against its children's by what both made of the training bytes.
-4. `scored` hands each bundle its strings' and words' values and adds them up text by text.
+5. `answers` hands these back shard by shard to the bundles, `scored` adds them up text by text.
 
-Tables that grow with the corpus are only joined or grouped by keys. Broadcast are the levels above three: at most 65,793
-contexts of 255 nodes whatever the input (16 bytes each; some 30,000 nodes on text). A group of step 2 or 3 holds at most
-256 ** (depth - 2) strings a bundle; tasks read them in order and keep one portion at a time.
+Tables that grow with the corpus are only grouped by keys, packed, and each is written. Broadcast are the levels above three: at
+most 65,793 contexts of 255 nodes whatever the input (24 bytes each; some 30,000 nodes on text).
 
 The text that is modelled is the canonical form of the tokens: A-Z in lower case, each word followed by one space, and a line
 feed as the end. It stands for the sequence of tokens, no more and no less, so its probability can be compared with that of
@@ -131,32 +133,66 @@ def string_counts(data: np.ndarray, lengths: np.ndarray, learn: np.ndarray, dept
     return merge()
 
 
-BUNDLE = "bundle long, kind int, ids array<long>, held array<boolean>, sizes array<long>, data binary, string long, word binary, train long"
+PACKED = "bundle long, kind int, shard int, ids array<long>, held array<boolean>, sizes array<long>, a binary, b binary"
+TEXTS, STRINGS, WORDS = range(3)
 
 
-def bundles(docs: DataFrame, depth: int, bundle_bytes: int) -> DataFrame:
-    """Rows of three kinds: 0 a bundle's texts, packed; 1 its distinct strings; 2 its distinct words, both with training counts. Store it: bundles
-    get their numbers at random."""
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers, as compressed steps; best if they are in order or small."""
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
-    def pack(ids: list, held: list, texts: list) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bundle", pa.int64()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("string", pa.int64()), ("word", pa.binary()), ("train", pa.int64())])
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
+
+
+def table(schema: str, **columns: list) -> pa.Table:
+    """Columns by name, NULL where not given."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    n = len(next(iter(columns.values())))
+    return pa.table({c: pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(n, kinds[k]) for c, k in (x.split(" ") for x in schema.split(", "))})
+
+
+def in_shards(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard with the places that belong to it, in order."""
+    order = np.argsort(shard, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]])) if len(shard) else np.zeros(0, int)
+    for part in np.split(order, at[1:]) if len(shard) else ():
+        yield int(shard[part[0]]), part
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> U(29)) * U(0x9E3779B97F4A7C15)
+    return x ^ x >> U(32)
+
+
+def string_shards(strings: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed(strings) % U(shards)).astype(np.int64)
+
+
+def word_shards(words: list[bytes], shards: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % shards
+
+
+def bundles(docs: DataFrame, depth: int, bundle_bytes: int, shards: int) -> DataFrame:
+    """Rows of three kinds: a bundle's texts; its distinct strings in a shard; its distinct words in a shard, both with training counts. Store it:
+    bundles get their numbers at random."""
+
+    def pack(ids: list, held: list, texts: list) -> pa.Table:
         number = int.from_bytes(np.random.bytes(7), "little")
         data, ends, sizes = canonical(texts)
+        texts.clear()
         learn = ~np.array(held, bool)
-        rows = lambda n, **c: pa.RecordBatch.from_arrays([c[f.name] if f.name in c else pa.nulls(n, f.type) for f in schema], schema=schema)
-        same = lambda n, v, t: pa.array(np.full(n, v), t)
-        one = lambda v, t: pa.array([v], pa.list_(t))
-        yield rows(1, bundle=same(1, number, pa.int64()), kind=same(1, 0, pa.int32()), ids=one(ids, pa.int64()), held=one(held, pa.bool_()), sizes=one(sizes, pa.int64()), data=pa.array([zlib.compress(data.tobytes(), 1)], pa.binary()))
         strings, n = string_counts(data, sizes, learn, depth)
-        for at in range(0, len(strings), 100_000):
-            s = strings[at : at + 100_000]
-            yield rows(len(s), bundle=same(len(s), number, pa.int64()), kind=same(len(s), 1, pa.int32()), string=pa.array(s.astype(np.int64)), train=pa.array(n[at : at + len(s)]))
+        rows = [(STRINGS, k, packed(strings[at]), packed(n[at])) for k, at in in_shards(string_shards(strings, shards))]
         word, names = words_in(data, ends)
-        text = np.searchsorted(np.cumsum(sizes), ends, side="left")
-        n = np.bincount(word, learn[text], len(names)).astype(np.int64)
-        for at in range(0, len(names), 100_000):
-            w = names[at : at + 100_000].cast(pa.binary())
-            yield rows(len(w), bundle=same(len(w), number, pa.int64()), kind=same(len(w), 2, pa.int32()), word=w, train=pa.array(n[at : at + len(w)]))
+        names = names.to_pylist()
+        n = np.bincount(word, learn[np.searchsorted(np.cumsum(sizes), ends, side="left")], len(names)).astype(np.int64)
+        rows += [(WORDS, k, zlib.compress(b"".join(names[i] for i in at), 1), packed(n[at])) for k, at in in_shards(word_shards(names, shards))]
+        kind, shard, a, b = (list(c) for c in zip((TEXTS, None, zlib.compress(data.tobytes(), 1), None), *rows))
+        none = [None] * len(rows)
+        return table(PACKED, bundle=[number] * len(kind), kind=kind, shard=shard, ids=[ids, *none], held=[held, *none], sizes=[sizes.tolist(), *none], a=a, b=b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, texts, size = [], [], [], 0
@@ -167,13 +203,13 @@ def bundles(docs: DataFrame, depth: int, bundle_bytes: int) -> DataFrame:
                 texts.append(t.as_py())
                 size += len(texts[-1])
                 if size >= bundle_bytes:
-                    yield from pack(ids, held, texts)
+                    yield from pack(ids, held, texts).to_batches(64)
                     ids, held, texts, size = [], [], [], 0
         if texts:
-            yield from pack(ids, held, texts)
+            yield from pack(ids, held, texts).to_batches(64)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(run, BUNDLE)
+    return rows.mapInArrow(run, PACKED)
 
 
 # ---- the tree
@@ -248,39 +284,40 @@ def upper(keys: np.ndarray, log: np.ndarray) -> np.ndarray:
     return summed(keys >> U(16) << U(8) | keys & U(255), log)[1]
 
 
-def by_groups(batches: Iterator[pa.RecordBatch], depth: int, least: int = 500_000) -> Iterator[list[np.ndarray]]:
-    """Columns of rows in order of `string`, cut only where the three last bytes of the context change."""
-    kept: list[list[np.ndarray]] = []
-    size, shift = 0, U(8 * (depth + 1 - SHARED))
-    for batch in batches:
-        kept.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        size += batch.num_rows
-        if size >= least:
-            whole = [np.concatenate(c) for c in zip(*kept)]
-            group = whole[0].astype(U) >> shift
-            cut = int(np.searchsorted(group, group[-1]))
-            if cut:
-                yield [c[:cut] for c in whole]
-            kept, size = [[c[cut:] for c in whole]], len(group) - cut
-    if size:
-        yield [np.concatenate(c) for c in zip(*kept)]
+DISTINCT = "shard int, part int, strings binary, train binary"
+
 
+def distinct_strings(blobs: DataFrame, depth: int, shards: int) -> DataFrame:
+    """Each shard's distinct strings with their training counts over all bundles, dealt to parts that hold whole subtrees."""
 
-def grouped(rows: DataFrame, depth: int) -> DataFrame:
-    return rows.repartition(F.shiftrightunsigned("string", 8 * (depth + 1 - SHARED))).sortWithinPartitions("string")
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        strings, train = summed(*(np.concatenate([unpacked(b) for b in rows[c].to_pylist()]) for c in ("a", "b")))
+        part = string_shards(strings.astype(U) >> U(8 * (depth + 1 - SHARED)), shards)
+        out = [(k, packed(strings[at]), packed(train[at])) for k, at in in_shards(part)]
+        return table(DISTINCT, shard=[key[0].as_py()] * len(out), part=[o[0] for o in out], strings=[o[1] for o in out], train=[o[2] for o in out])
 
+    return blobs.groupBy("shard").applyInArrow(add, DISTINCT)
 
-def top_levels(strings: DataFrame, depth: int) -> dict[int, Level]:
-    """Levels 0 to 2 of the tree over all bundles' strings (string, train)."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for string, train in by_groups(batches, depth):
-            level = levels(string.astype(U), train.astype(np.int64), depth, SHARED)[SHARED]
-            keys, log, n0, n1 = summed(level.keys >> U(16) << U(8) | level.keys & U(255), level.log, level.n0, level.n1)
-            yield pa.RecordBatch.from_pydict({"node": keys.astype(np.int64), "log": log, "n0": n0, "n1": n1})
+def part_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A part's strings in order, and their counts."""
+    strings, train = (np.concatenate([unpacked(b) for b in rows[c].to_pylist()]) for c in ("strings", "train"))
+    order = np.argsort(strings)
+    return strings[order].astype(U), train[order]
 
-    counts = strings.groupBy("string").agg(F.sum("train").alias("train")).where("train > 0")
-    nodes = grouped(counts, depth).mapInArrow(build, "node long, log double, n0 long, n1 long")
+
+def top_levels(distinct: DataFrame, depth: int) -> dict[int, Level]:
+    """Levels 0 to 2 of the tree."""
+
+    def build(rows: pa.Table) -> pa.Table:
+        strings, train = part_of(rows)
+        if not (train > 0).any():
+            return table("node long, log double, n0 long, n1 long", node=[])
+        level = levels(strings[train > 0], train[train > 0], depth, SHARED)[SHARED]
+        keys, log, n0, n1 = summed(level.keys >> U(16) << U(8) | level.keys & U(255), level.log, level.n0, level.n1)
+        return pa.table({"node": keys.astype(np.int64), "log": log, "n0": n0, "n1": n1})
+
+    nodes = distinct.groupBy("part").applyInArrow(build, "node long, log double, n0 long, n1 long")
     # At most 65,536 contexts of 255 nodes come to the driver; each is one row by now.
     top = nodes.groupBy("node").agg(F.sum("log").alias("log"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().sort_by("node")
     keys, log, n0, n1 = (top[c].to_numpy() for c in ("node", "log", "n0", "n1"))
@@ -302,27 +339,54 @@ def log10_probabilities(strings: np.ndarray, deep: dict[int, Level], top: dict[i
     return out
 
 
-def string_scores(strings: DataFrame, top: dict[int, Level], depth: int) -> DataFrame:
-    """bundle, string, value: log10 of the probability of each distinct string of each bundle (string, bundle, train)."""
-    shared = strings.sparkSession.sparkContext.broadcast({d: (v.keys, v.one, v.weight) for d, v in top.items()})
+def string_values(distinct: DataFrame, top: dict[int, Level], depth: int, shards: int) -> DataFrame:
+    """shard, strings, values: log10 of the probability of each distinct string, handed back to its shard."""
+    shared = distinct.sparkSession.sparkContext.broadcast(top)
     nothing = {d: Level(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), None) for d in range(depth + 1)}
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        upper_levels = {}
-        for d, (keys, one, weight) in shared.value.items():
-            upper_levels[d] = Level.__new__(Level)
-            upper_levels[d].keys, upper_levels[d].one, upper_levels[d].weight = keys, one, weight
-        for string, bundle, train in by_groups(batches, depth):
-            string, bundle, train = string.astype(U), bundle, train.astype(np.int64)
-            at = np.flatnonzero(np.concatenate([[True], string[1:] != string[:-1]]))
-            distinct, n = string[at], np.add.reduceat(train, at)
-            deep = levels(distinct[n > 0], n[n > 0], depth, SHARED) if (n > 0).any() else nothing
-            value = np.repeat(log10_probabilities(distinct, deep, upper_levels, depth), np.diff(np.append(at, len(string))))
-            for lo in range(0, len(string), 100_000):
-                part = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_pydict({"bundle": bundle[part], "string": string[part].astype(np.int64), "value": value[part]})
+    def score(rows: pa.Table) -> pa.Table:
+        strings, train = part_of(rows)
+        deep = levels(strings[train > 0], train[train > 0], depth, SHARED) if (train > 0).any() else nothing
+        values = log10_probabilities(strings, deep, shared.value, depth)
+        out = [(k, packed(strings[at]), values[at].tobytes()) for k, at in in_shards(string_shards(strings, shards))]
+        return table(VALUES, shard=[o[0] for o in out], strings=[o[1] for o in out], values=[o[2] for o in out])
+
+    return distinct.groupBy("part").applyInArrow(score, VALUES)
+
+
+VALUES = "shard int, strings binary, values binary"
+ANSWER = "bundle long, kind int, shard int, a binary, b binary, known long, total long"
+
+
+def string_answers(blobs: DataFrame, values: DataFrame) -> DataFrame:
+    """Each bundle's strings of each shard with their values."""
+
+    def hand_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, v = np.concatenate([unpacked(b) for b in right["strings"].to_pylist()]), np.concatenate([np.frombuffer(b, float) for b in right["values"].to_pylist()])
+        order = np.argsort(keys)
+        keys, v = keys[order], v[order]
+        b = [v[np.searchsorted(keys, unpacked(a))].tobytes() for a in left["a"].to_pylist()]
+        return table(ANSWER, bundle=left["bundle"].to_pylist(), kind=[STRINGS] * len(b), shard=left["shard"].to_pylist(), a=left["a"].to_pylist(), b=b)
+
+    small = blobs.select("bundle", "shard", "a")
+    return small.groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(hand_back, ANSWER)
+
+
+def word_answers(blobs: DataFrame) -> DataFrame:
+    """The training count over all bundles of each bundle's words of each shard; a shard's first row has its known words and their total."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        words = [zlib.decompress(a).split(b" ")[:-1] for a in rows["a"].to_pylist()]
+        sizes = np.cumsum([len(w) for w in words])
+        each = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
+        total = np.zeros(len(each.dictionary), np.int64)
+        at = each.indices.to_numpy()
+        np.add.at(total, at, np.concatenate([unpacked(b) for b in rows["b"].to_pylist()]))
+        b = [packed(x) for x in np.split(total[at], sizes[:-1])]
+        rest = [0] * (len(b) - 1)
+        return table(ANSWER, bundle=rows["bundle"].to_pylist(), kind=[WORDS] * len(b), shard=rows["shard"].to_pylist(), b=b, known=[int((total > 0).sum()), *rest], total=[int(total.sum()), *rest])
 
-    return grouped(strings.select("string", "bundle", "train"), depth).mapInArrow(score, "bundle long, string long, value double")
+    return blobs.select("bundle", "shard", "a", "b").groupBy("shard").applyInArrow(add, ANSWER)
 
 
 # ---- scores of texts
@@ -331,23 +395,26 @@ def string_scores(strings: DataFrame, top: dict[int, Level], depth: int) -> Data
 RESULT = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double"
 
 
-def scored(texts: DataFrame, answers: DataFrame, ends: int, depth: int) -> DataFrame:
-    """One row for each text from its bundle and the bundle's answers (string and value, or word and its training count)."""
+def scored(texts: DataFrame, answers: DataFrame, ends: int, depth: int, shards: int) -> DataFrame:
+    """One row for each text from its bundle and the bundle's answers."""
 
-    def add_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {c: left[c][0].as_py() for c in ("ids", "held", "sizes", "data")}
-        sizes, data = np.array(row["sizes"], np.int64), np.frombuffer(zlib.decompress(row["data"]), np.uint8)
-        of_strings, of_words = right.filter(pc.is_valid(right["string"])), right.filter(pc.is_valid(right["word"]))
-        keys = of_strings["string"].to_numpy().astype(U)
+    def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = {c: left[c][0].as_py() for c in ("ids", "held", "sizes", "a")}
+        sizes, data = np.array(row["sizes"], np.int64), np.frombuffer(zlib.decompress(row["a"]), np.uint8)
+        of_strings, of_words = (right.filter(pc.equal(right["kind"], k)) for k in (STRINGS, WORDS))
+        keys = np.concatenate([unpacked(a) for a in of_strings["a"].to_pylist()]).astype(U)
+        values = np.concatenate([np.frombuffer(b, float) for b in of_strings["b"].to_pylist()])
         order = np.argsort(keys)
-        keys, values = keys[order], of_strings["value"].to_numpy()[order]
+        keys, values = keys[order], values[order]
         score = np.zeros(len(sizes))
         for code, text in strings_of(data, sizes, depth):
             score += np.bincount(text, values[np.searchsorted(keys, code)], len(sizes))
         found = np.flatnonzero(data == 32) + 1  # a space in the canonical form is the end of a word
         word, names = words_in(data, found)
-        count = dict(zip(of_words["word"].to_pylist(), of_words["total"].to_pylist()))
-        c = np.array([count[w] for w in names.to_pylist()], np.int64)
+        names = names.to_pylist()
+        totals, c = dict(zip(of_words["shard"].to_pylist(), of_words["b"].to_pylist())), np.zeros(len(names), np.int64)
+        for k, at in in_shards(word_shards(names, shards)):
+            c[at] = unpacked(totals[k])
         text = np.searchsorted(np.cumsum(sizes), found, side="left")
         add = lambda v: np.bincount(text, v[word], len(sizes))
         return pa.table({
@@ -359,27 +426,26 @@ def scored(texts: DataFrame, answers: DataFrame, ends: int, depth: int) -> DataF
     return texts.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(add_up, RESULT)
 
 
-def context_tree_scores(docs: DataFrame, depth: int = 5, bundle_bytes: int = 32_000_000) -> DataFrame:
+def context_tree_scores(docs: DataFrame, depth: int = 5, bundle_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, held_out, n_bytes (of the canonical text), n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     depth is 3 to 6: a string must fit into 56 bits.
     """
     if not SHARED <= depth <= 6:
         raise ValueError("depth must be 3 to 6")
-    packed = stored(bundles(docs, depth, bundle_bytes), "ctw-bundles")
-    strings = packed.where("kind = 1").select("bundle", "string", "train")
-    top = top_levels(strings, depth)
-    by_word = "(PARTITION BY word)"
-    words = packed.where("kind = 2").select("bundle", "word", F.expr(f"sum(train) OVER {by_word}").alias("total"), F.expr("row_number() OVER (PARTITION BY word ORDER BY bundle) = 1").alias("first"))
-    words = stored(words, "ctw-words")
-    texts = packed.where("kind = 0").select("bundle", "ids", "held", "sizes", "data")
-    known = words.where("first").agg(F.count_if(F.col("total") > 0).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
+    size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
+    shards = max(1, math.ceil(size / bundle_bytes))
+    blobs = stored(bundles(docs, depth, bundle_bytes, shards), "ctw-bundles", {"compression": "none"})
+    of_strings = blobs.where(F.col("kind") == STRINGS)
+    distinct = stored(distinct_strings(of_strings, depth, shards), "ctw-strings", {"compression": "none"})
+    words = stored(word_answers(blobs.where(F.col("kind") == WORDS)), "ctw-words", {"compression": "none"})
+    texts = blobs.where(F.col("kind") == TEXTS).select("bundle", "ids", "held", "sizes", "a")
+    known = words.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
     ends = texts.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)).alias("n")).first()["n"]
     n, v = known["n"] + ends, known["v"] + (ends > 0)
-    answers = string_scores(strings, top, depth).select("bundle", "string", "value", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("total"))
-    answers = answers.unionByName(words.select("bundle", F.lit(None).cast("long").alias("string"), F.lit(None).cast("double").alias("value"), "word", "total"))
-    out = stored(scored(texts, answers, ends, depth), "ctw-scores")
-    dropped(packed, words)
+    values = string_values(distinct, top_levels(distinct, depth), depth, shards)
+    out = stored(scored(texts, string_answers(of_strings, values).unionByName(words), ends, depth, shards), "ctw-scores")
+    dropped(blobs, distinct, words)
     base = F.col("base") - F.col("n_tokens") * math.log10(n + 0.1 * (v + 1))
     return out.select("doc_id", "held_out", "n_bytes", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"))
 
