@@ -2,7 +2,7 @@
 
 1. `sketch` hashes every phrase of 1 to 4 words of every text to one cell in each row of a count-min sketch. A cell stops
    counting at `least`, as nothing else is asked of it. The sketch has about as many cells as there are characters / 4, so it
-   grows with the corpus; it is merged block by block (65,536 cells) in Spark and exists nowhere as a whole. What comes out is
+   grows with the corpus; it is merged block by block (2 ** 24 cells at most) in Spark and exists nowhere as a whole. What comes out is
    one bit a cell, whether it reached `least`. Beyond `most_bits` cells these bits are folded by OR, so what is broadcast for
    the second pass has a fixed bound (two rows of 32 MB); folding, like a collision, only lets more phrases through.
 2. `frequent` reads the texts again and counts exactly, as strings, the phrases whose cells are set in every row. An estimate
@@ -30,7 +30,6 @@ from seriesforge.llm.common import hot_join, read_table, stored, text_or_empty
 
 LONGEST = 4
 ROWS = 2
-BLOCK = 65_536
 #: Within a text: 0 for a byte of a word, 1 between words of one piece, 2 between pieces.
 KIND = np.zeros(256, np.uint8)
 KIND[[32, 9]] = 1
@@ -124,16 +123,22 @@ def rows_of(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
 
 def packed(offsets: np.ndarray) -> bytes:
     """Sorted offsets of a block, as compressed steps."""
-    steps = np.diff(offsets, prepend=offsets.dtype.type(0)).astype("<u2")
-    return zlib.compress(steps.view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+    steps = np.diff(offsets.astype("<i4"), prepend=np.int32(0))
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(2, -1).T.copy().view("<u2").ravel(), dtype=np.int64)
+    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel(), dtype=np.int64)
 
 
-def sketch(rows: DataFrame, least: int, bits: int, portion: int = 4_000_000) -> DataFrame:
+def block_bits(bits: int) -> int:
+    """Cells of a block: a 64th of the sketch, 2 ** 24 at most. So there are 64 blocks, and more only where a task could not hold one."""
+    return max(6, min(24, bits - 6))
+
+
+def sketch(rows: DataFrame, least: int, bits: int, portion: int) -> DataFrame:
     """row, block, set: one bit for each cell of the merged sketch that counted `least` or more phrases."""
+    width = block_bits(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, groups, names in portions(batches, portion):
@@ -142,37 +147,38 @@ def sketch(rows: DataFrame, least: int, bits: int, portion: int = 4_000_000) ->
                 c = np.sort(cells(h, row, bits))
                 # A cell keeps at most `least` of a portion.
                 c = c[~np.concatenate([np.zeros(min(least, len(c)), bool), c[least:] == c[: len(c) - least]])] if len(c) > least else c
-                block = (c // U(BLOCK)).astype(np.int64)
+                block = (c >> U(width)).astype(np.int64)
                 at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(c) else np.zeros(0, int)
-                offsets = (c % U(BLOCK)).astype(np.uint16)
+                parts = np.split((c & U((1 << width) - 1)).astype(np.int32), at[1:]) if len(c) else []
                 for lo in range(0, len(at), 1000):
-                    part = at[lo : lo + 1000]
-                    blobs = [packed(o) for o in np.split(offsets[part[0] : at[lo + 1000] if lo + 1000 < len(at) else len(c)], part[1:] - part[0])]
-                    yield pa.RecordBatch.from_pydict({"row": pa.array(np.full(len(part), row), pa.int32()), "block": block[part], "cells": pa.array(blobs, pa.binary())})
+                    own = at[lo : lo + 1000]
+                    yield pa.RecordBatch.from_pydict({"row": pa.array(np.full(len(own), row), pa.int32()), "block": block[own], "cells": pa.array([packed(o) for o in parts[lo : lo + 1000]], pa.binary())})
 
-    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BLOCK, np.int64)
+    def merge(key: tuple, parts: pa.Table) -> pa.Table:
+        total = np.zeros(1 << width, np.uint32)
         for blob in parts["cells"]:
-            total += np.bincount(unpacked(blob), minlength=BLOCK)
-        return pd.DataFrame({"row": [key[0]], "block": [key[1]], "set": [np.packbits(total >= least).tobytes()]})
+            offsets = unpacked(blob.as_py())
+            at = np.flatnonzero(np.concatenate([[True], offsets[1:] != offsets[:-1]]))
+            total[offsets[at]] += np.diff(np.append(at, len(offsets))).astype(np.uint32)
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": [key[1].as_py()], "set": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
 
     counted = rows.mapInArrow(count, "row int, block long, cells binary")
-    return counted.groupBy("row", "block").applyInPandas(merge, "row int, block long, set binary")
+    return counted.groupBy("row", "block").applyInArrow(merge, "row int, block long, set binary")
 
 
 def folded(blocks: DataFrame, bits: int, most_bits: int) -> list[np.ndarray]:
     """The rows of the sketch as bits, at most 2 ** most_bits each: blocks that fall together are joined by OR in Spark."""
-    width = 1 << min(bits, most_bits)
+    width, step = 1 << min(bits, most_bits), 1 << block_bits(bits)
 
     def either(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"row": [key[0]], "fold": [key[1]], "set": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in parts["set"]]).tobytes()]})
 
-    small = blocks.withColumn("fold", F.col("block") % max(1, width // BLOCK))
+    small = blocks.withColumn("fold", F.col("block") % (width // step))
     if bits > most_bits:
         small = small.groupBy("row", "fold").applyInPandas(either, "row int, fold long, set binary")
-    out = [np.zeros(max(width, BLOCK) // 8, np.uint8) for _ in range(ROWS)]
+    out = [np.zeros(width // 8, np.uint8) for _ in range(ROWS)]
     for r in small.select("row", "fold", "set").toLocalIterator():
-        out[r["row"]][r["fold"] * (BLOCK // 8) : (r["fold"] + 1) * (BLOCK // 8)] = np.frombuffer(r["set"], np.uint8)
+        out[r["row"]][r["fold"] * (step // 8) : (r["fold"] + 1) * (step // 8)] = np.frombuffer(r["set"], np.uint8)
     return out
 
 
