@@ -76,7 +76,7 @@ def words_in(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return found.indices.to_numpy(), found.dictionary
 
 
-def strings_of(data: np.ndarray, lengths: np.ndarray, depth: int, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def strings_of(data: np.ndarray, lengths: np.ndarray, depth: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of texts: the string of each byte of the canonical texts with their end (its context, last byte first, then the byte
     itself, as one number) and the number of the text. Longer texts come in pieces."""
     starts = np.cumsum(lengths) - lengths
@@ -128,7 +128,7 @@ def string_counts(data: np.ndarray, lengths: np.ndarray, learn: np.ndarray, dept
         key = marked[at]
         new = np.concatenate([[True], (key[1:] ^ key[:-1]) > 1]) if len(key) else np.zeros(0, bool)
         parts.append((key[new] >> U(1), np.add.reduceat(n * (key & U(1)).astype(np.int64), np.flatnonzero(new))))
-        if len(parts) >= 4:
+        if len(parts) >= 6:
             parts = [merge()]
     return merge()
 
