@@ -23,7 +23,7 @@ import html as entities
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,10 +48,10 @@ SCOPES = frozenset("html body div section article aside main nav header footer t
 
 
 class Node:
-    __slots__ = ("tag", "up", "names", "mark", "words", "chars", "linked", "last", "silent")
+    __slots__ = ("tag", "up", "names", "mark", "words", "chars", "linked", "last", "silent", "block")
 
-    def __init__(self, tag: str, up: int, names: tuple[str, ...] = (), mark: str | None = None, silent: bool = False):
-        self.tag, self.up, self.names, self.mark, self.silent = tag, up, names, mark, silent
+    def __init__(self, tag: str, up: int, names: tuple[str, ...] = (), mark: str | None = None, silent: bool = False, block: int = 0):
+        self.tag, self.up, self.names, self.mark, self.silent, self.block = tag, up, names, mark, silent, block
         self.words = self.chars = self.linked = 0
         self.last = ""
 
@@ -60,31 +60,30 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Elements in document order, parents first, and blocks of text in page order with the block element they belong to."""
     nodes, blocks = [Node("#root", -1)], []
     stack, held = [0], []
-    opened: Counter = Counter()
+    # Where in the stack the open elements of each tag and the open scopes are, so that no tag walks the stack.
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    scopes = [0]
     if m := ROOT_MARK.match(page):
         nodes[0].mark = m.group(1)
     at = 0
 
-    def block_of() -> int:
-        for i in reversed(stack):
-            if nodes[i].tag in BLOCKS or not i:
-                return i
-        return 0
-
     def close_block() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                i = block_of()
+                i = nodes[stack[-1]].block
                 node = nodes[i]
                 node.words += text.count(" ") + 1
                 node.last = text[-1]
                 blocks.append((i, text))
 
     def end_to(depth: int) -> None:
-        opened.subtract(nodes[i].tag for i in stack[depth:])
-        del stack[depth:]
+        while len(stack) > depth:
+            own = nodes[stack.pop()].tag
+            places[own].pop()
+            if own in SCOPES:
+                scopes.pop()
 
     def take(text: str) -> None:
         top = nodes[stack[-1]]
@@ -116,29 +115,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = tag.lower()
         if m.group(1):
-            if opened[tag] <= 0:
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                own = nodes[stack[depth]].tag
-                if own == tag:
-                    if tag in BLOCKS:
-                        close_block()
-                    end_to(depth)
-                    break
-                if own in SCOPES and tag not in SCOPES:
-                    break
+            # Formatting ends within its container only.
+            if places[tag] and (tag in SCOPES or places[tag][-1] > scopes[-1]):
+                if tag in BLOCKS:
+                    close_block()
+                end_to(places[tag][-1])
             continue
         if tag in BLOCKS:
             close_block()
             # A block ends an open paragraph; formatting inside it ends with it.
             wanted = ENDS.get(tag, set()) | ({"p"} if tag not in ("html", "body") else set())
-            for depth in range(len(stack) - 1, 0, -1):
-                own = nodes[stack[depth]].tag
-                if own in wanted:
-                    end_to(depth)
-                    break
-                if own in SCOPES:
-                    break
+            depth = max((places[t][-1] for t in wanted if places[t]), default=0)
+            if depth and depth >= scopes[-1]:
+                end_to(depth)
         if tag == "br":
             take(" ")
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m.group(3))} if m.group(3).strip() else {}
@@ -146,13 +135,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         names = tuple(sorted({w.lower() for k in ("class", "id", "role") if k in attributes for w in NAME.findall(attributes[k])}))
         silent = tag in SILENT or nodes[stack[-1]].silent
-        nodes.append(Node(tag, stack[-1], names, attributes.get("data-label"), silent))
+        nodes.append(Node(tag, stack[-1], names, attributes.get("data-label"), silent, len(nodes) if tag in BLOCKS else nodes[stack[-1]].block))
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(page, at)
             at = (page.find(">", end.end()) + 1 or n) if end else n
         elif not m.group(3).rstrip().endswith("/") or tag in BLOCKS:
+            places[tag].append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
             stack.append(len(nodes) - 1)
-            opened[tag] += 1
         if tag == "html" and nodes[-1].mark is not None:
             nodes[0].mark = nodes[-1].mark
     close_block()
@@ -382,14 +373,27 @@ def labelled_pages(n: int = 600, seed: int = 17) -> list[str]:
     return out
 
 
-LANDMARKS = {"article": "1", "nav": "0", "footer": "0", "aside": "0", "form": "0"}
+ASIDE = frozenset("nav footer aside form".split())
 
 
 def landmark_labels(page: str) -> str | None:
-    """The page with its landmark elements marked; None if it doesn't say where its article is. Its <html> is marked as no content."""
+    """The page with its landmark elements marked; None if it doesn't say where its article is. Its <html> is marked as no content.
+
+    Only an outermost <article> outside of the other landmarks is content: one within another is a comment on it or a teaser."""
     if not re.search(r"<article[\s>]", page, re.I):
         return None
-    marked = re.sub(r"<(article|nav|footer|aside|form)(?=[\s>])", lambda m: f'{m.group()} data-label="{LANDMARKS[m.group(1).lower()]}"', page, flags=re.I)
+    deep = {"article": 0, "aside": 0}
+
+    def mark(m: re.Match) -> str:
+        tag = m.group(2).lower()
+        kind = "aside" if tag in ASIDE else "article"
+        if m.group(1):
+            deep[kind] = max(0, deep[kind] - 1)
+            return m.group()
+        deep[kind] += 1
+        return f'{m.group()} data-label="{int(kind == "article" and deep == {"article": 1, "aside": 0})}"'
+
+    marked = re.sub(r"<(/?)(article|nav|footer|aside|form)(?=[\s>])", mark, page, flags=re.I)
     return re.sub(r"<html(?=[\s>])", '<html data-label="0"', marked, count=1, flags=re.I)
 
 

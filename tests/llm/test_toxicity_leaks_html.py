@@ -221,6 +221,67 @@ def test_broken_pages_take_linear_time(spark):
     assert time.time() - began < 30
 
 
+def test_unclosed_elements_take_linear_time(spark):
+    import time
+
+    own = model(spark)
+    shapes = ["<h2>x" * 100_000, "<dd>x" * 100_000, "<pre>x" * 100_000, "<span>" * 100_000 + "<p>x" * 100_000, "<b><div>" + "<i>" * 50_000 + "</b>x" * 50_000, "<td>x" * 100_000, "<li><b>x" * 50_000]
+    for page in shapes:
+        began = time.process_time()
+        X.parse(page)
+        assert time.process_time() - began < 6, page[:20]
+    assert own.text(shapes[0]).count("x") in (0, 100_000)
+
+
+def test_stack_places_give_the_same_tree_as_walking_the_stack():
+    """The walk that the places replace, on random tag soup."""
+    import random
+
+    tags = "div p b i span h2 li ul td tr table a dd dl article".split()
+    for seed in range(300):
+        rng = random.Random(seed)
+        page = "".join(rng.choice(["<{0}>", "</{0}>", "<{0}>t", "t</{0}>"]).format(rng.choice(tags)) for _ in range(60))
+        nodes = [("#root", -1)]
+        at = [0]
+        for end, tag in __import__("re").findall(r"<(/?)(\w+)>", page):
+            if end:
+                for depth in range(len(at) - 1, 0, -1):
+                    own = nodes[at[depth]][0]
+                    if own == tag:
+                        del at[depth:]
+                        break
+                    if own in X.SCOPES and tag not in X.SCOPES:
+                        break
+                continue
+            if tag in X.BLOCKS:
+                ends = X.ENDS.get(tag, set()) | {"p"}
+                for depth in range(len(at) - 1, 0, -1):
+                    own = nodes[at[depth]][0]
+                    if own in ends:
+                        del at[depth:]
+                        break
+                    if own in X.SCOPES:
+                        break
+            nodes.append((tag, at[-1]))
+            at.append(len(nodes) - 1)
+        found, blocks = X.parse(page)
+        assert [(x.tag, x.up) for x in found] == nodes
+        for i, _ in blocks:
+            assert i == 0 or found[i].tag in X.BLOCKS
+
+
+def test_only_the_outermost_article_is_labelled_content():
+    page = "<html><nav><article>menu</article></nav><article>main<article class=comment>c</article></article><aside><article>t</article></aside></html>"
+    nodes, blocks = X.parse(X.landmark_labels(page))
+    y = X.states(nodes)
+    assert [t for i, t in blocks if y[i]] == ["main"]
+
+
+def test_query_on_empty_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert X.op10_html_text(spark, str(tmp_path)).count() == 0
+
+
 def test_held_out_landmarks(spark):
     """Trained on 100 real pages labelled by their landmarks and on the generated ones, tested on the other real pages."""
     import os
