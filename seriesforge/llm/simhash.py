@@ -5,8 +5,10 @@ the hashes have it. Equal fingerprints are one row before any comparison, so cop
 
 Search goes by shards and a vantage-point tree in each.
 
-Shards. Of 64 bits in r + 1 bands, two fingerprints within r agree in one band at least. As many low bits of each band as
-make shards of about `shard` fingerprints are compared first; a table of up to 4 * shard fingerprints is one shard. (With
+Shards. Of 64 bits in p pieces, two fingerprints within r agree in p - r pieces at least; each choice of so many is a key. As many
+low bits of its pieces as make shards of about `shard` fingerprints are compared first; a table of up to 4 * shard fingerprints
+is one shard. p is the least that gives enough bits: with shards of 2,048 and r = 4, 5 keys up to 8 million distinct
+fingerprints, 15 up to 2 billion, 35 up to 270 billion, 70 beyond, so a shard doesn't grow with the table. (With
 the full distance as the top level, evenly spread fingerprints lie within 4 of any median so often that each level halves
 a shard but leaves 0.87 of it on the inner side, copies included: the work stays quadratic however many levels there are.)
 
@@ -44,12 +46,12 @@ empty one, texts of any length are taken whole. Extra columns, whatever their na
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesforge.llm.common import dropped, hot_join, read_table, stored, text_or_empty
@@ -202,12 +204,37 @@ def cross(points: np.ndarray, a: np.ndarray, da: np.ndarray, b: np.ndarray, db:
             forest.union(int(rows[i]), found[:1].tolist() if one else found.tolist())
 
 
-def bands_of(words: int, radius: int, bits: int) -> list[tuple[int, int, int]]:
-    """Word, shift and width of what is compared of each band; no bits: one shard of all."""
+def bands_of(words: int, radius: int, bits: int) -> list[list[tuple[int, int, int]]]:
+    """For each key, the pieces (word, shift, width) that make it; no bits: one shard of all.
+
+    Of p pieces p - radius agree at least, so each choice of so many is a key. p is the least that gives keys of `bits` bits: for a
+    radius of 4, 5 keys of up to 12 bits, 15 of up to 20, 35 of up to 27, 70 of up to 32.
+    """
     if words > 1:
-        return [(k, at, BAND) for k in range(words) for at in range(0, BITS, BAND)]
-    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    return [(0, a, min(bits, b - a)) for a, b in zip(edges, edges[1:])] if bits > 0 else [(0, 0, 0)]
+        return [[(k, at, BAND)] for k in range(words) for at in range(0, BITS, BAND)]
+    if bits <= 0:
+        return [[(0, 0, 0)]]
+    for p in range(radius + 1, BITS + 1):
+        edges = [BITS * i // p for i in range(p + 1)]
+        if (p - radius) * (BITS // p) >= bits or p == 2 * radius:
+            break
+    out = []
+    for chosen in combinations(range(p), p - radius):
+        left, key = bits, []
+        for k, i in enumerate(chosen):
+            width = min(edges[i + 1] - edges[i], -(-left // (len(chosen) - k)))
+            key.append((0, edges[i], width))
+            left -= width
+        out.append(key)
+    return out
+
+
+def key_of(pieces: list[tuple[int, int, int]]) -> Column:
+    """The bits of the pieces as one number."""
+    value = F.lit(0).cast("long")
+    for k, at, width in pieces:
+        value = F.shiftleft(value, width).bitwiseOR(F.shiftrightunsigned(F.col("fp")[k], at).bitwiseAND(F.lit((1 << width) - 1)))
+    return value
 
 
 def links_of(sizes: np.ndarray, node: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -305,11 +332,13 @@ def links_in_cells(placed: DataFrame, cell: list[str], words: int, radius: int,
     return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(by, "u long, v long")
 
 
-def spanning_links(fps: DataFrame, words: int, radius: int, shard: int) -> DataFrame:
-    """fps: node, fp. Gives u, v with u > v: enough links to connect whatever the radius connects in a shard."""
-    n = fps.count()
-    bits = math.ceil(math.log2(n / shard)) if n > 4 * shard else 0
-    cells = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("fp")[k], s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (k, s, w) in enumerate(bands_of(words, radius, bits))])
+def spanning_links(fps: DataFrame, words: int, radius: int, shard: int, bits: int | None = None) -> DataFrame:
+    """fps: node, fp. Gives u, v with u > v: enough links to connect whatever the radius connects in a shard. bits: of a key; by default just
+    enough for shards of the size `shard`."""
+    if bits is None:
+        n = fps.count()
+        bits = math.ceil(math.log2(n / shard)) if n > 4 * shard else 0
+    cells = F.array(*[F.struct(F.lit(i).alias("band"), key_of(pieces).alias("value")) for i, pieces in enumerate(bands_of(words, radius, bits))])
     placed = fps.select("node", "fp", F.explode(cells).alias("cell")).select("node", "fp", "cell.*")
     return links_in_cells(placed, ["band", "value"], words, radius, 8 * shard)
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -180,14 +181,28 @@ def test_shards_by_bits_and_by_distance_link_what_one_tree_links(spark):
         want.setdefault(forest.root(i), set()).add(int(node[i]))
     want = {frozenset(x) for x in want.values() if len(x) > 1}
     df = spark.createDataFrame([(int(x), [int(x)]) for x in node], "node long, fp array<long>").repartition(5)
-    for shard in (1000, 100, 8, 2):
-        links = H.thinned(H.spanning_links(df, 1, 4, shard))
+    for shard, bits in ((1000, None), (100, None), (8, None), (2, None), (1000, 13), (1000, 20), (1000, 26), (1000, 32)):
+        links = H.thinned(H.spanning_links(df, 1, 4, shard, bits))
         got = {}
         for r in H.components(links, df.select("node", df.node.alias("label"))).collect():
             got.setdefault(r.label, set()).add(r.node)
         assert {frozenset(x) for x in got.values()} == want
 
 
+@pytest.mark.parametrize("bits,keys", [(1, 5), (12, 5), (13, 15), (20, 15), (21, 35), (27, 35), (28, 70), (32, 70)])
+def test_two_fingerprints_within_the_radius_share_a_key_of_any_length(bits, keys):
+    rng = np.random.default_rng(bits)
+    found = H.bands_of(1, 4, bits)
+    assert len(found) == keys and all(sum(w for _, _, w in k) == bits for k in found)
+    value = lambda x, key: tuple(int(x) >> at & ((1 << w) - 1) for _, at, w in key)
+    for _ in range(300):
+        a = int(rng.integers(0, 1 << 63))
+        b = a
+        for i in rng.choice(64, rng.integers(0, 5), replace=False):
+            b ^= 1 << int(i)
+        assert any(value(a, k) == value(b, k) for k in found)
+
+
 def test_nodes_of_keys_over_batches():
     import pyarrow as pa
 
