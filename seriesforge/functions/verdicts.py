@@ -1,4 +1,5 @@
-"""Verdict ladders as column expressions. NULL stands for what was not measured; NaN never reaches a ladder (see scalars.finite).
+"""Verdict ladders as column expressions. NULL stands for what was not measured, and NaN counts as NULL: Spark would rank it above all numbers.
+Where a rung asks whether a value was measured at all, an infinity counts as NULL too.
 
 Thresholds and labels are fixed values of the survey's rules; each can be overridden where it is a parameter.
 """
@@ -6,7 +7,7 @@ Thresholds and labels are fixed values of the survey's rules; each can be overri
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seriesforge.functions.scalars import col, safe_div, strip_compression, basename_of
+from seriesforge.functions.scalars import basename_of, col, finite, safe_div, strip_compression
 
 
 def case(*rungs: tuple[Column, object], other=None) -> Column:
@@ -17,6 +18,11 @@ def case(*rungs: tuple[Column, object], other=None) -> Column:
     return out
 
 
+def real(x) -> Column:
+    """The number, with NaN as NULL."""
+    return F.nanvl(col(x).cast("double"), F.lit(None).cast("double"))
+
+
 # files and frames
 
 
@@ -50,9 +56,13 @@ def gap_spec(kind, key, n_raw, wanted) -> Column:
 
 
 def compact_seconds(x) -> Column:
-    """'240s', '0.1s', '?s': at most six significant digits, without trailing zeros."""
-    text = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", col(x).cast("double")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(col(x).isNull(), "?s").otherwise(F.concat(text, F.lit("s")))
+    """'240s', '0.1s', '?s': six significant digits without trailing zeros, with an exponent below 0.0001 and from 1000000 on."""
+    v = finite(x)
+    short = F.format_string("%.5e", v)
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    power = F.split_part(short, F.lit("e"), F.lit(2)).cast("int")
+    text = F.when(power.between(-4, 5), bare(short.cast("decimal(38,12)").cast("string"))).otherwise(F.concat(bare(F.split_part(short, F.lit("e"), F.lit(1))), F.lit("e"), F.split_part(short, F.lit("e"), F.lit(2))))
+    return F.when(v.isNull(), "?s").otherwise(F.concat(text, F.lit("s")))
 
 
 def exposure_token(name) -> Column:
@@ -62,7 +72,7 @@ def exposure_token(name) -> Column:
 
 def effective_exposure(header, name) -> Column:
     """The name's token where the header is missing, not positive, or off by more than a fifth of the larger."""
-    h, token = col(header), exposure_token(name)
+    h, token = real(header), exposure_token(name)
     off = F.abs(h - token) > 0.2 * F.greatest(h, token)
     return case((h.isNull() | (h <= 0), F.coalesce(token, h)), ((token > 0) & off, token), other=h)
 
@@ -107,11 +117,11 @@ def is_stackpro(mode) -> Column:
 
 
 def mid_method(mode, jd, exposure_s) -> Column:
-    return case((col(jd).isNull(), "no_jd"), (col(exposure_s).isNull() | (col(exposure_s) <= 0), "exptime_nonpos_start_used"), (is_stackpro(mode), "stackpro_sum_midpoint_half_exptime"), other="start_plus_half_exptime")
+    return case((finite(jd).isNull(), "no_jd"), (finite(exposure_s).isNull() | (col(exposure_s) <= 0), "exptime_nonpos_start_used"), (is_stackpro(mode), "stackpro_sum_midpoint_half_exptime"), other="start_plus_half_exptime")
 
 
 def mid_jd(jd, exposure_s) -> Column:
-    return col(jd) + F.when(col(exposure_s) > 0, col(exposure_s) / 2 / 86400).otherwise(0.0)
+    return col(jd) + F.when(finite(exposure_s) > 0, col(exposure_s) / 2 / 86400).otherwise(0.0)
 
 
 def worst_mid_error_s(mode) -> Column:
@@ -120,8 +130,8 @@ def worst_mid_error_s(mode) -> Column:
 
 def qc_flags(error, exposure, airmass, jd, ra, target, offset_deg) -> Column:
     named = {
-        "header_error": F.trim(col(error)) != "", "exptime_nonpos": col(exposure) <= 0, "airmass_garbage": (col(airmass) < 1) | (col(airmass) > 10), "no_jd": col(jd).isNull(),
-        "no_coords": col(ra).isNull(), "blank_target": col(target).isNull(), "pointing_gt1deg": col(offset_deg) > 1,
+        "header_error": F.trim(col(error)) != "", "exptime_nonpos": real(exposure) <= 0, "airmass_garbage": (real(airmass) < 1) | (real(airmass) > 10), "no_jd": real(jd).isNull(),
+        "no_coords": real(ra).isNull(), "blank_target": col(target).isNull(), "pointing_gt1deg": real(offset_deg) > 1,
     }
     return F.concat_ws(",", *[F.when(p, F.lit(n)) for n, p in named.items()])
 
@@ -141,7 +151,7 @@ def is_window(naxis1, naxis2, least: float) -> Column:
 def geometry_verdict(naxis1, naxis2, aperture_px, radii: float = 6.0) -> Column:
     """'ok', or why an aperture and its sky do not fit into the frame."""
     return case(
-        (col(naxis1).isNull() | col(naxis2).isNull(), "dimensions unknown"), (col(aperture_px).isNull() | (col(aperture_px) <= 0), "no aperture"),
+        (col(naxis1).isNull() | col(naxis2).isNull(), "dimensions unknown"), (finite(aperture_px).isNull() | (col(aperture_px) <= 0), "no aperture"),
         (F.least(col(naxis1), col(naxis2)) < radii * col(aperture_px), "does not fit"), other="ok",
     )
 
@@ -168,15 +178,15 @@ def beats_chance(n_match, chance, factor: float = 10.0, least: int = 8) -> Colum
 
 def is_saturated(peak, background, veto) -> Column:
     """Without a measured veto nothing is called saturated."""
-    return F.coalesce(col(peak) + col(background) >= col(veto), F.lit(False))
+    return F.coalesce(real(peak) + real(background) >= real(veto), F.lit(False))
 
 
 def applied_veto(veto, dark_median) -> Column:
-    return col(veto) - F.coalesce(col(dark_median), F.lit(0.0))
+    return real(veto) - F.coalesce(real(dark_median), F.lit(0.0))
 
 
 def reduced_veto(veto, flat, dark, pedestal) -> Column:
-    return F.when(col(flat) > 0, (col(veto) - col(dark)) / col(flat) + col(pedestal))
+    return F.when(real(flat) > 0, (real(veto) - real(dark)) / col(flat) + real(pedestal))
 
 
 def veto_level(clip, fraction: float = 0.92, step: int = 100) -> Column:
@@ -193,13 +203,14 @@ def screen(clip, fraction: float) -> Column:
 
 
 def position_quality(offset_px, has_wcs, most: float = 6.0) -> Column:
-    return case((~F.coalesce(col(has_wcs), F.lit(False)), "bound"), (col(offset_px) <= most, "wcs"), other="wcs_off")
+    return case((~F.coalesce(col(has_wcs), F.lit(False)), "bound"), (real(offset_px) <= most, "wcs"), other="wcs_off")
 
 
 def saturation_class(peak, quality, suspect, reject) -> Column:
     """Where the position is not known the peak is an upper bound: only 'under the screen' can be concluded."""
-    known = case((col(peak) >= col(reject), "rejected"), (col(peak) >= col(suspect), "suspect"), other="clean")
-    return case((col(peak).isNull(), "undetermined"), (col(quality) == "wcs", known), (col(peak) < col(suspect), "bounded_clean"), other="undetermined")
+    high = real(peak)
+    known = case((high >= col(reject), "rejected"), (high >= col(suspect), "suspect"), other="clean")
+    return case((high.isNull(), "undetermined"), (col(quality) == "wcs", known), (high < col(suspect), "bounded_clean"), other="undetermined")
 
 
 def band_role(band, broad: list[str], narrow: list[str]) -> Column:
@@ -221,19 +232,19 @@ def is_direct_image(verdict) -> Column:
 
 
 def strength(trace_px, width, least: float = 0.15) -> Column:
-    share = safe_div(col(trace_px), col(width))
+    share = finite(safe_div(real(trace_px), real(width)))
     return case((share.isNull(), "n/a"), (share >= least, "high"), other="ambiguous")
 
 
 def solution_sane(scale, n_matched, rms, low, high, least: int, most_rms: float) -> Column:
-    return F.coalesce(col(scale).between(col(low), col(high)) & (col(n_matched) >= least) & (col(rms) <= most_rms), F.lit(False))
+    return F.coalesce(real(scale).between(real(low), real(high)) & (col(n_matched) >= least) & (real(rms) <= most_rms), F.lit(False))
 
 
 def diagnose(n_sources, n_stars, elongation, saturated, bright_px) -> Column:
     """The first cause that the image's statistics show; what is left is unexplained."""
     return case(
-        (col(n_sources).isNull(), "unreadable"), (col(bright_px) > 6.0, "defocused"), (col(n_stars).isNull() | (col(n_stars) < 15) | (col(bright_px) < 0.9), "starved"),
-        (col(elongation) > 1.8, "trailing"), (col(saturated) > 0.02, "saturated"), other="unexplained",
+        (col(n_sources).isNull(), "unreadable"), (real(bright_px) > 6.0, "defocused"), (col(n_stars).isNull() | (col(n_stars) < 15) | (real(bright_px) < 0.9), "starved"),
+        (real(elongation) > 1.8, "trailing"), (real(saturated) > 0.02, "saturated"), other="unexplained",
     )
 
 
@@ -257,22 +268,22 @@ def check_verdict(n_check, least: int = 3) -> Column:
 
 
 def night_state(mag, baseline, quiet: float = 0.6, burst: float = 1.0) -> Column:
-    rise = col(baseline) - col(mag)
+    rise = finite(baseline) - finite(mag)
     return case((rise.isNull(), "UNKNOWN"), (rise >= burst, "OUTBURST"), (rise <= quiet, "QUIESCENT"), other="ELEVATED")
 
 
 def colour_position(colour, low, high, p05, p95) -> Column:
-    return case((col(colour).isNull() | col(low).isNull(), "unknown"), (col(colour).between(col(p05), col(p95)), "inside-core"), (col(colour).between(col(low), col(high)), "inside-span"), other="extrapolated")
+    return case((finite(colour).isNull() | finite(low).isNull(), "unknown"), (col(colour).between(real(p05), real(p95)), "inside-core"), (col(colour).between(real(low), real(high)), "inside-span"), other="extrapolated")
 
 
 def colour_reach_error(colour, low, high, slope, slope_error) -> Column:
-    reach = F.greatest(col(colour) - col(high), col(low) - col(colour), F.lit(0.0))
-    return F.when(col(colour).isNotNull() & col(low).isNotNull(), (F.abs(col(slope)) + F.abs(col(slope_error))) * reach)
+    reach = F.greatest(finite(colour) - real(high), real(low) - finite(colour), F.lit(0.0))
+    return F.when(finite(colour).isNotNull() & finite(low).isNotNull(), (F.abs(real(slope)) + F.abs(real(slope_error))) * reach)
 
 
 def block_verdict(n_tie, n_check, check_rms, converged) -> Column:
     return case(
-        ((col(n_tie) < 8) | ~col(converged), "UNTIED"), ((col(n_check) < 4) | col(check_rms).isNull(), "TIED-UNVERIFIED"),
+        ((col(n_tie) < 8) | ~col(converged), "UNTIED"), ((col(n_check) < 4) | finite(check_rms).isNull(), "TIED-UNVERIFIED"),
         (col(check_rms) <= 0.01, "TIED-STRETCH"), (col(check_rms) <= 0.02, "TIED-GOAL"), other="TIED-ABOVE-GOAL",
     )
 
@@ -282,16 +293,18 @@ def goal_verdict(n_tied, n_met, n_series) -> Column:
 
 
 def range_check(mag, low, high, tolerance: float) -> Column:
-    gap = F.greatest(col(low) - col(mag), col(mag) - col(high))
-    return case((gap.isNull() | col(mag).isNull() | col(low).isNull() | col(high).isNull(), "unknown"), (gap <= 0, "inside"), (gap <= tolerance, "near"), other="outside")
+    m, a, b = finite(mag), finite(low), finite(high)
+    gap = F.greatest(a - m, m - b)
+    return case((m.isNull() | a.isNull() | b.isNull(), "unknown"), (gap <= 0, "inside"), (gap <= tolerance, "near"), other="outside")
 
 
 def bright_limit_risk(mag, limit) -> Column:
-    return F.coalesce(col(mag) <= col(limit), F.lit(False))
+    return F.coalesce(real(mag) <= real(limit), F.lit(False))
 
 
 def transmission_label(transmission, clear_mag: float, attenuated_mag: float) -> Column:
-    loss = F.when(col(transmission) > 0, -2.5 * F.log10(F.when(col(transmission) > 0, col(transmission))))
+    t = finite(transmission)
+    loss = F.when(t > 0, -2.5 * F.log10(F.when(t > 0, t)))
     return case((loss >= attenuated_mag, "attenuated"), (F.abs(loss) <= clear_mag, "clear"), other="")
 
 
@@ -300,15 +313,16 @@ def transmission_label(transmission, clear_mag: float, attenuated_mag: float) ->
 
 def detection_call(amplitude, contour, power, threshold, cycles, least_cycles: float = 1.5) -> Column:
     """Two independent tests behind a coverage gate."""
-    by_amplitude, by_power = (col(amplitude) >= col(contour)), (col(power) > col(threshold))
+    by_amplitude, by_power = (finite(amplitude) >= finite(contour)), (finite(power) > finite(threshold))
     return case(
-        (col(cycles) < least_cycles, "AMPLITUDE ONLY"), (by_amplitude.isNull() | by_power.isNull(), "UNTESTED"),
+        (finite(cycles) < least_cycles, "AMPLITUDE ONLY"), (by_amplitude.isNull() | by_power.isNull(), "UNTESTED"),
         (by_amplitude & by_power, "DETECTED"), (by_amplitude | by_power, "MARGINAL"), other="NOT DETECTED",
     )
 
 
 def capability(measured, bar, higher: bool = True) -> Column:
-    ok = (col(measured) >= col(bar)) if higher else (col(measured) <= col(bar))
+    m, b = finite(measured), finite(bar)
+    ok = (m >= b) if higher else (m <= b)
     return case((ok.isNull(), "UNTESTED"), (ok, "SUPPORTED"), other="NOT SUPPORTED")
 
 
@@ -318,19 +332,20 @@ def nights_needed(have, bar, per_season) -> dict[str, Column]:
 
 
 def snr_gate(sigma, amplitude, wanted: float = 5.0) -> dict[str, Column]:
-    ratio = F.when(col(sigma) > 0, col(amplitude) / F.when(col(sigma) > 0, col(sigma)))
-    return {"ratio": ratio, "passes": F.coalesce(ratio >= wanted, F.lit(False)), "margin": F.when(ratio.isNotNull(), col(amplitude) - wanted * col(sigma))}
+    s, a = finite(sigma), finite(amplitude)
+    ratio = F.when(s > 0, a / F.when(s > 0, s))
+    return {"ratio": ratio, "passes": F.coalesce(ratio >= wanted, F.lit(False)), "margin": F.when(ratio.isNotNull(), a - wanted * s)}
 
 
 def agreement_test(value, sigma, published, published_sigma, bar: float = 3.0) -> dict[str, Column]:
     """Deviation in sigmas and whether it is within the bar; a missing sigma counts as none, two missing ones allow no test."""
-    s = F.hypot(F.coalesce(col(sigma), F.lit(0.0)), F.coalesce(col(published_sigma), F.lit(0.0)))
-    deviation = F.when(s > 0, (col(value) - col(published)) / F.when(s > 0, s))
+    s = F.hypot(F.coalesce(finite(sigma), F.lit(0.0)), F.coalesce(finite(published_sigma), F.lit(0.0)))
+    deviation = F.when(s > 0, (finite(value) - finite(published)) / F.when(s > 0, s))
     return {"deviation": deviation, "agrees": F.coalesce(F.abs(deviation) <= bar, F.lit(False))}
 
 
 def family_choice(n_blocks, alias_share, has_prior, decidable: float = 0.20) -> Column:
-    return case((col(alias_share).isNull(), "UNRESOLVED"), (col(alias_share) < decidable, "DATA"), (col(n_blocks) <= 1, "SINGLE-NIGHT"), (~col(has_prior), "UNRESOLVED"), other="PRIOR")
+    return case((finite(alias_share).isNull(), "UNRESOLVED"), (col(alias_share) < decidable, "DATA"), (col(n_blocks) <= 1, "SINGLE-NIGHT"), (~col(has_prior), "UNRESOLVED"), other="PRIOR")
 
 
 def peak_class(peak, true, alias: float = 1.0, tolerance: float = 0.02, orders: int = 3) -> Column:
@@ -344,4 +359,4 @@ def peak_class(peak, true, alias: float = 1.0, tolerance: float = 0.02, orders:
 
 
 def contour_reached(share, wanted: float = 0.9) -> Column:
-    return case((col(share).isNull(), "UNTESTED"), (col(share) >= wanted, "RECOVERED"), other="LOST")
+    return case((finite(share).isNull(), "UNTESTED"), (col(share) >= wanted, "RECOVERED"), other="LOST")

@@ -1,7 +1,6 @@
-"""Fits that iterate within one group: grouped pandas functions, one group a call.
+"""Signals injected into a series: a grouped pandas function, one series a call.
 
-A group is a series of one object or frame, which its instrument bounds; whatever combines groups is a Spark
-aggregate. NULL and NaN rows are left out of a fit; a group with too few rows gives NULLs.
+NULL and NaN rows are left out; a series of fewer than eight rows gives no row.
 """
 
 import zlib
@@ -10,132 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Fixed value: magnitudes that no row's error goes below when it is weighted.
-FLOOR = 0.005
-
-
-def wls(a: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    r = np.sqrt(w)
-    return np.linalg.lstsq(a * r[:, None], y * r, rcond=None)[0]
-
-
-def huber_line(x: np.ndarray, y: np.ndarray, k: float = 1.345, rounds: int = 50) -> tuple[float, float, int]:
-    """Slope, intercept and rounds of a line with Huber weights on residuals in robust sigmas."""
-    a, w = np.column_stack([x, np.ones_like(x)]), np.ones_like(x)
-    beta = wls(a, y, w)
-    for n in range(1, rounds + 1):
-        r = y - a @ beta
-        s = 1.4826 * np.median(np.abs(r - np.median(r)))
-        if s <= 0:
-            break
-        u = np.abs(r) / (k * s)
-        new = wls(a, y, np.where(u <= 1, 1.0, 1 / np.maximum(u, 1e-12)))
-        done = np.allclose(new, beta, rtol=1e-10, atol=1e-12)
-        beta = new
-        if done:
-            break
-    return float(beta[0]), float(beta[1]), n
-
-
-def robust_lines(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """key, n, slope, intercept."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def fit(group: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        d = g[[x, y]].astype(float).replace([np.inf, -np.inf], np.nan).dropna()
-        if len(d) < 3 or d[x].nunique() < 2:
-            return pd.DataFrame({key: [group[0]], "n": [len(d)], "slope": [None], "intercept": [None]})
-        d = d.sort_values([x, y])
-        slope, intercept, _ = huber_line(d[x].to_numpy(), d[y].to_numpy())
-        return pd.DataFrame({key: [group[0]], "n": [len(d)], "slope": [slope], "intercept": [intercept]})
-
-    return df.select(key, x, y).groupBy(key).applyInPandas(fit, f"{key} {kind}, n long, slope double, intercept double")
-
-
-def solve_ensemble(star: np.ndarray, frame: np.ndarray, mag: np.ndarray, sigma: np.ndarray, clip: float = 4.0, passes: int = 2, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """mag = M[star] + Z[frame] by alternating weighted means, frames' zero points of mean zero; after each pass, rows beyond clip times the rms of all residuals go."""
-    keep, w = np.isfinite(mag), 1 / (sigma**2 + FLOOR**2)
-    ns, nf = star.max() + 1, frame.max() + 1
-    M, Z = np.zeros(ns), np.zeros(nf)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        for p in range(passes + 1):
-            s, f, m, v = star[keep], frame[keep], mag[keep], w[keep]
-            ws, wf = np.bincount(s, v, ns), np.bincount(f, v, nf)
-            for _ in range(rounds):
-                M = np.bincount(s, v * (m - Z[f]), ns) / ws
-                new = np.bincount(f, v * (m - M[s]), nf) / wf
-                new -= np.nanmean(new)
-                moved = np.nanmax(np.abs(new - Z))
-                Z = np.where(np.isfinite(new), new, 0.0)
-                if moved < 1e-10:
-                    break
-            if p == passes:
-                break
-            # Of all residuals, not their median: one wild row moves its whole star and frame, which a median-based bound would drop.
-            r = np.abs(mag - M[star] - Z[frame])
-            inside = keep & (r <= clip * np.sqrt(np.mean(r[keep] ** 2)))
-            if inside.sum() == keep.sum():
-                break
-            keep = inside
-        Z = np.where(wf > 0, Z, np.nan)
-        M = np.where(ws > 0, M, np.nan)
-    return M, Z, keep
-
-
-def ensembles(df: DataFrame, series: str, star: str, frame: str, mag: str, sigma: str) -> DataFrame:
-    """series, kind ('star' or 'frame'), id, value, n: one alternating solution for each series."""
-    kind = df.schema[series].dataType.simpleString()
-
-    def fit(group: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        d = g.dropna(subset=[star, frame, mag, sigma]).sort_values([star, frame, mag])
-        d = d[d[sigma] > 0]
-        if d.empty:
-            return pd.DataFrame({series: [], "kind": [], "id": [], "value": [], "n": []})
-        si, sid = pd.factorize(d[star], sort=True)
-        fi, fid = pd.factorize(d[frame], sort=True)
-        M, Z, keep = solve_ensemble(si, fi, d[mag].to_numpy(float), d[sigma].to_numpy(float))
-        n = lambda i, k: np.bincount(i[keep], minlength=k)
-        out = pd.DataFrame({"kind": ["star"] * len(M) + ["frame"] * len(Z), "id": [str(x) for x in [*sid, *fid]], "value": np.concatenate([M, Z]), "n": np.concatenate([n(si, len(M)), n(fi, len(Z))])})
-        out.insert(0, series, group[0])
-        return out
-
-    return df.select(series, star, frame, mag, sigma).groupBy(series).applyInPandas(fit, f"{series} {kind}, kind string, id string, value double, n long")
-
-
-def harmonic_fits(df: DataFrame, key: str, t: str, y: str, period: float, orders: int = 2) -> DataFrame:
-    """key, n, amplitude and phase (cycles) of the first harmonic, residual rms of a Fourier fit of `orders` at a known period."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def fit(group: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        d = g[[t, y]].astype(float).dropna().sort_values([t, y])
-        row = {key: group[0], "n": len(d), "amplitude": None, "phase": None, "rms": None}
-        if len(d) > 2 * orders + 1:
-            a = 2 * np.pi * d[t].to_numpy() / period
-            m = np.column_stack([np.ones(len(d)), *[f(k * a) for k in range(1, orders + 1) for f in (np.cos, np.sin)]])
-            b, rank = (lambda r: (r[0], r[2]))(np.linalg.lstsq(m, d[y].to_numpy(), rcond=None))
-            if rank == m.shape[1]:
-                row |= {"amplitude": float(np.hypot(b[1], b[2])), "phase": float((np.arctan2(b[2], b[1]) / (2 * np.pi)) % 1), "rms": float(np.sqrt(np.mean((d[y].to_numpy() - m @ b) ** 2)))}
-        return pd.DataFrame([row])
-
-    return df.select(key, t, y).groupBy(key).applyInPandas(fit, f"{key} {kind}, n long, amplitude double, phase double, rms double")
-
-
-def greedy_pairs(pairs: DataFrame, group: str, a: str, b: str, dist: str) -> DataFrame:
-    """group, a, b, dist: pairs within the tolerance (from a cell join) taken by increasing distance, each id once."""
-    kinds = {c: pairs.schema[c].dataType.simpleString() for c in (group, a, b)}
-
-    def take(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, keep = set(), set(), []
-        for r in g.sort_values([dist, a, b]).itertuples(index=False):
-            x, y = getattr(r, a), getattr(r, b)
-            if x not in used_a and y not in used_b:
-                used_a.add(x)
-                used_b.add(y)
-                keep.append((key[0], x, y, getattr(r, dist)))
-        return pd.DataFrame(keep, columns=[group, a, b, dist])
-
-    return pairs.select(group, a, b, dist).groupBy(group).applyInPandas(take, f"{group} {kinds[group]}, {a} {kinds[a]}, {b} {kinds[b]}, {dist} double")
-
 
 def injection_recovery(df: DataFrame, key: str, t: str, y: str, period: float, amplitudes: list[float], trials: int = 20) -> DataFrame:
     """key, amplitude, trials, recovered: sinusoids at random phases on the cyclically shifted series; found if the fitted

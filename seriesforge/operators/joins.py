@@ -6,11 +6,13 @@ beyond the ends of a slice comes from a table with one row for each slice.
 """
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesforge.functions.scalars import col, separation_deg
+from seriesforge.sources.tables import checkpointed, join_on
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, carry: list[str], how: str = "nearest", strict: bool = False, width: float = 30 * 86400.0) -> DataFrame:
@@ -137,3 +139,26 @@ def coverage(df: DataFrame, rows: list[str], needs: dict[str, Column], enough: i
     counted = df.groupBy(*rows).agg(*[F.count_if(p).alias(n) for n, p in needs.items()])
     long = counted.select(*rows, F.explode(F.array(*[F.struct(F.lit(n).alias("need"), F.col(n).alias("n")) for n in needs])).alias("c")).select(*rows, "c.*")
     return long.withColumn("status", F.when(col("n") >= enough, "ok").when(col("n") > 0, "partial").otherwise("missing"))
+
+
+def greedy_pairs(pairs: DataFrame, group: str, a: str, b: str, dist: str) -> DataFrame:
+    """group, a, b, dist: pairs taken by increasing distance (ties by a, then b), each id once in its group.
+
+    In rounds: a pair that is the least of both its ends is one that the greedy order takes, whatever else there is. Each round
+    takes all of these and drops the pairs of their ends, so a round is two aggregates, and what is left is written.
+    """
+    left = checkpointed(pairs.select(group, a, b, F.col(dist).cast("double").alias(dist)).dropna(subset=[a, b, dist]))
+    best = F.min(F.struct(dist, a, b)).alias("m")
+    taken: list[DataFrame] = []
+    while True:
+        of_a, of_b = left.groupBy(group, a).agg(best), left.groupBy(group, b).agg(best)
+        mutual = join_on(of_a.select(group, F.col(f"m.{a}").alias(a), F.col(f"m.{b}").alias(b), F.col(f"m.{dist}").alias(dist)), of_b.select(group, b, F.col(f"m.{a}").alias("_a"), F.col(f"m.{dist}").alias("_d")), [group, b])
+        mutual = checkpointed(mutual.where((F.col(a) == F.col("_a")) & (F.col(dist) == F.col("_d"))).drop("_a", "_d"))
+        if mutual.isEmpty():
+            break
+        taken.append(mutual)
+        gone = lambda c: mutual.select(group, c, F.lit(True).alias("_gone"))  # noqa: B023, E731
+        for c in (a, b):
+            left = join_on(left, gone(c), [group, c], "left").where("_gone IS NULL").drop("_gone")
+        left = checkpointed(left)
+    return reduce(DataFrame.unionByName, taken, mutual.limit(0))

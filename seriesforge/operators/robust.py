@@ -5,7 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesforge.functions.scalars import MAD_TO_SIGMA, col, safe_div
+from seriesforge.functions.scalars import MAD_TO_SIGMA, col, finite, safe_div
 from seriesforge.sources.tables import checkpointed, join_on
 
 Z95 = 1.959963984540054
@@ -66,17 +66,40 @@ def line_fit(x, y, w=None) -> dict[str, Column]:
     return {"slope": slope, "intercept": safe_div(sxx * sy - sx * sxy, det), "slope_error": F.sqrt(safe_div(sw, det))}
 
 
+def quantiles(df: DataFrame, keys: list[str], x: str, shares: list[float]) -> DataFrame:
+    """keys, n, q (array): exact quantiles, interpolated as percentile does, of any number of values in any group.
+
+    Equal values are counted first; the distinct ones are ranked in ranges that may split a group, so no task holds a group's
+    values. A range's ranks start after the totals of the ranges before it, of which a group has no more than there are
+    partitions. Groups without values have no row.
+    """
+    v = finite(x)
+    counts = df.select(*keys, v.alias("_q_v")).where("_q_v IS NOT NULL").groupBy(*keys, "_q_v").agg(F.count(F.lit(1)).alias("_q_t"))
+    # Written once, as the ranges of a second evaluation could differ.
+    ranged = checkpointed(counts.repartitionByRange(*keys, "_q_v").withColumn("_q_part", F.spark_partition_id()))
+    below = F.coalesce(F.sum("_q_t").over(Window.partitionBy("_q_part", *keys).orderBy("_q_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_q_s").over(whole.orderBy("_q_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = ranged.groupBy("_q_part", *keys).agg(F.sum("_q_t").alias("_q_s")).select("_q_part", *keys, before.alias("_q_before"), F.sum("_q_s").over(whole).alias("n"))
+    ranked = join_on(ranged.withColumn("_q_below", below), totals, ["_q_part", *keys]).withColumn("_q_lo", F.col("_q_below") + F.col("_q_before")).withColumn("_q_hi", F.col("_q_lo") + F.col("_q_t") - 1)
+
+    def value(share: float) -> Column:
+        at = (F.col("n") - 1) * F.lit(share)
+        low, high = (F.max(F.when(i.between(F.col("_q_lo"), F.col("_q_hi")), F.col("_q_v"))) for i in (F.floor(at), F.ceil(at)))
+        return low + (F.max(at) - F.floor(F.max(at))) * (high - low)
+
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*[value(s) for s in shares]).alias("q"))
+
+
 def median_and_mad(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """keys, n, median, mad_sigma: 1.4826 times the median distance from the median; NULL for one value.
+    """keys, n, median, mad_sigma: 1.4826 times the median distance from the median; NULL for one value. Groups without values have no row.
 
-    The groups' medians come back by a join; Spark splits a hot group's rows there, and the final
-    percentile keeps counts of distinct values, which partial aggregation combines.
+    The groups' medians come back by a join; Spark splits a hot group's rows there.
     """
-    first = df.groupBy(*keys).agg(median(x).alias("_m"))
-    joined = join_on(df.select(*keys, F.col(x).cast("double").alias("_x")), first, keys)
-    return joined.groupBy(*keys).agg(
-        F.count("_x").alias("n"), F.first("_m").alias("median"), F.when(F.count("_x") >= 2, MAD_TO_SIGMA * median(F.abs(F.col("_x") - F.col("_m")))).alias("mad_sigma")
-    )
+    first = quantiles(df, keys, x, [0.5]).select(*keys, F.col("q")[0].alias("median"))
+    away = join_on(df.select(*keys, finite(x).alias("_q_x")), first, keys).select(*keys, F.abs(F.col("_q_x") - F.col("median")).alias("_q_d"))
+    spread = quantiles(away, keys, "_q_d", [0.5]).select(*keys, "n", F.col("q")[0].alias("_q"))
+    return join_on(first, spread, keys).select(*keys, "n", "median", F.when(F.col("n") >= 2, MAD_TO_SIGMA * F.col("_q")).alias("mad_sigma"))
 
 
 def clipped_stats(df: DataFrame, keys: list[str], x: str, nsigma: float = 4.0) -> DataFrame:
@@ -89,7 +112,8 @@ def clipped_stats(df: DataFrame, keys: list[str], x: str, nsigma: float = 4.0) -
 
 def binned_median(df: DataFrame, keys: list[str], x: str, y: str, width: float) -> DataFrame:
     """Median of y in bins of x of fixed width that begin at a multiple of it."""
-    return df.withColumn("bin", F.floor(F.col(x) / width)).groupBy(*keys, "bin").agg(F.count(y).alias("n"), median(y).alias("median"))
+    binned = quantiles(df.withColumn("bin", F.floor(F.col(x) / width)), [*keys, "bin"], y, [0.5])
+    return binned.select(*keys, "bin", "n", F.col("q")[0].alias("median"))
 
 
 def edge_bin(x, edges: list[float]) -> Column:
@@ -105,7 +129,8 @@ def pooled_tail_median(df: DataFrame, x: str, y: str, edges: list[float], least:
     binned = df.withColumn("bin", edge_bin(x, edges)).where("bin is not null")
     sizes = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     full = sizes.where(F.col("n") >= least).agg(F.max("bin").alias("last"))  # one row
-    return binned.join(F.broadcast(full)).withColumn("bin", F.least("bin", F.coalesce(F.col("last") + 1, F.lit(0)))).groupBy("bin").agg(F.count(y).alias("n"), median(y).alias("median"))
+    last = full.first()["last"]
+    return quantiles(binned.withColumn("bin", F.least("bin", F.lit(0 if last is None else last + 1))), ["bin"], y, [0.5]).select("bin", "n", F.col("q")[0].alias("median"))
 
 
 def mann_whitney(df: DataFrame, x: str, is_first: Column) -> DataFrame:

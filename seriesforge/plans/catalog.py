@@ -144,15 +144,15 @@ def asof_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.asof(b, right, ["user_id"], "t", "t", ["event_id"], "forward", strict=True).select("event_id", "before_id", F.col("r_event_id").alias("after_id"))
 
 
-@query("""WITH k AS (SELECT doc_id, md5(text) AS exact, md5(lower(trim(text))) AS norm, md5(substr(text, 1, 60)) AS head FROM documents),
+@query("""WITH k AS (SELECT doc_id, md5(text) AS exact, md5(lower(trim(text))) AS norm, md5(concat_ws('|', lang, source, n_chars)) AS kin FROM documents),
             o AS (SELECT a.doc_id, 0 AS i, 'exact' AS rung, min(b.doc_id) AS partner FROM k a JOIN k b ON a.exact = b.exact AND b.doc_id < a.doc_id GROUP BY 1
             UNION ALL SELECT a.doc_id, 1, 'normalised', min(b.doc_id) FROM k a JOIN k b ON a.norm = b.norm AND b.doc_id < a.doc_id GROUP BY 1
-            UNION ALL SELECT a.doc_id, 2, 'head', min(b.doc_id) FROM k a JOIN k b ON a.head = b.head AND b.doc_id < a.doc_id GROUP BY 1)
+            UNION ALL SELECT a.doc_id, 2, 'columns', min(b.doc_id) FROM k a JOIN k b ON a.kin = b.kin AND b.doc_id < a.doc_id GROUP BY 1)
             SELECT k.doc_id, coalesce(x.rung, 'orphan') AS rung, x.partner FROM k LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM o) x ON k.doc_id = x.doc_id AND x.n = 1""")
 def match_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First rung that finds an earlier document: the same text, the same normalised text, the same beginning."""
+    """First rung that finds an earlier document: the same text, the same normalised text, the same language, source and length."""
     d = read_table(spark, sf_dir, "documents")
-    keys = {"exact": F.md5("text"), "normalised": F.md5(F.lower(F.trim("text"))), "head": F.md5(F.substring("text", 1, 60))}
+    keys = {"exact": F.md5("text"), "normalised": F.md5(F.lower(F.trim("text"))), "columns": F.md5(F.concat_ws("|", "lang", "source", "n_chars"))}
 
     def rung(key) -> DataFrame:
         own = d.select("doc_id", key.alias("k"))

@@ -28,13 +28,26 @@ def header_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("o_orderkey").alias("id"), X.is_compressed("found").alias("compressed"), x.alias("naxis1"), y.alias("naxis2"), X.card("found", "OBJECT").alias("object"), X.card("found", "OBJECT2").alias("behind_end"), F.size("found").alias("cards"))
 
 
-@query("""SELECT event_id, round(CAST(value AS DOUBLE), 6) AS mag, CASE WHEN event_id % 4 = 1 THEN NULL ELSE event_type END AS band FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0""")
+@query("""SELECT event_id, round(CAST(value AS DOUBLE), 6) AS mag, CASE WHEN event_id % 4 = 1 THEN NULL ELSE event_type END AS band, CASE WHEN event_id % 11 = 0 THEN 'flag=2' ELSE '' END AS note FROM events WHERE event_id % 7 <> 0""")
 def delimited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delimited lines written from the events and read again: lines without a number or with a flag go."""
+    """Delimited lines written from the events and read again: lines without a number go, flagged ones stay with a note."""
     e = read_table(spark, sf_dir, "events")
     line = F.concat_ws("@@@", c("event_id").cast("string"), F.when(c("event_id") % 7 == 0, "<15.2").otherwise(c("value").cast("string")), F.when(c("event_id") % 4 == 1, " ").otherwise(c("event_type")), F.when(c("event_id") % 11 == 0, "2").otherwise("0"))
     rows = e.select(X.fields(line, "@@@", ["id", "mag", "band", "flag"]).alias("f")).select("f.*")
-    return X.measured(rows, "mag", "flag").select(c("id").cast("long").alias("event_id"), F.round("mag", 6).alias("mag"), "band")
+    return X.measured(rows, "mag", "flag").select(c("id").cast("long").alias("event_id"), F.round("mag", 6).alias("mag"), "band", "note")
+
+
+@query("""SELECT event_id, round(CAST(value AS DOUBLE), 6) AS mag, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 10 / 100.0 END AS err, event_type AS band, event_type = 'click' OR (event_type <> 'click' AND event_id % 13 = 0) AS is_own, event_id % 3 = 1 AS is_limit FROM events WHERE event_id % 17 <> 5 AND event_id % 19 <> 3""")
+def observation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as rows of an observers' database: own rows by code or comment, limits, rows without a number left out."""
+    e = read_table(spark, sf_dir, "events")
+    i = c("event_id")
+    rows = e.select(
+        F.when(i % 17 == 5, "NaN").otherwise(i.cast("string")).alias("JD"), F.when(i % 19 == 3, "inf").otherwise(c("value").cast("string")).alias("mag"), F.when(i % 9 == 0, "-").otherwise((i % 10 / 100).cast("string")).alias("uncert"), c("event_type").alias("band"),
+        F.when(c("event_type") == "click", " own1 ").otherwise("X").alias("by"), F.when(i % 13 == 0, "taken at Site A, robotic").otherwise(F.lit(None)).alias("comment"), (i % 3).cast("string").alias("fainterThan"),
+    )
+    out = X.observations(rows, ["OWN1"], ["site a"])
+    return out.select(c("jd").cast("long").alias("event_id"), F.round("mag", 6).alias("mag"), "err", "band", "is_own", "is_limit")
 
 
 @query(f"""WITH a AS ({ANGLES}), p AS (SELECT a.vec_id, b.vec_id AS other, degrees(2 * asin(sqrt(least(1, pow(sin(radians(b.dec - a.dec) / 2), 2) + cos(radians(a.dec)) * cos(radians(b.dec)) * pow(sin(radians(b.ra - a.ra) / 2), 2))))) AS sep FROM a JOIN a b ON a.vec_id < b.vec_id)

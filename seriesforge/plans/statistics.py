@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesforge.operators import groupfit as G
-from seriesforge.operators import joins as J
 from seriesforge.operators import robust as R
 from seriesforge.operators import series as T
 from seriesforge.plans.base import query, timed
@@ -244,36 +243,6 @@ def two_way_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.two_way_residual(a, "cell", "m", "x", 1).select("cell", "m", F.round("residual", 4).alias("residual"))
 
 
-@query()
-def robust_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Huber lines by user; tested against known truth."""
-    e = days(spark, sf_dir)
-    return G.robust_lines(e, "user_id", "x", "value")
-
-
-@query()
-def ensemble_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").where("l_extendedprice > 0")
-    cells = li.groupBy("l_returnflag", (F.col("l_suppkey") % 50).alias("star"), F.month("l_shipdate").alias("frame")).agg(F.avg(-2.5 * F.log10("l_extendedprice")).alias("mag"), (1.0857 / F.sqrt(F.count(F.lit(1)))).alias("sigma"))
-    return G.ensembles(cells, "l_returnflag", "star", "frame", "mag", "sigma")
-
-
-@query()
-def harmonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.harmonic_fits(days(spark, sf_dir), "user_id", "x", "value", 1.0)
-
-
-@query()
-def one_to_one_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one pairs within each label, of what a cell join finds."""
-    from seriesforge.plans.catalog import angles
-
-    a = angles(spark, sf_dir)
-    left, right = a.where("vec_id % 2 = 0"), a.where("vec_id % 2 = 1").select(F.col("vec_id").alias("other"), F.col("label").alias("label2"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"))
-    pairs = J.plane_join(left, right, "ra", "dec", "ra2", "dec2", 1.0).where("label = label2")
-    return G.greedy_pairs(pairs, "label", "vec_id", "other", "dist")
-
-
 @query()
 def injected_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.injection_recovery(days(spark, sf_dir), "event_type", "x", "value", 1.0, [5.0, 20.0, 80.0], 10)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.functions.scalars import col
+from seriesforge.functions.scalars import col, finite
 
 
 def fields(line, sep: str, names: list[str]) -> Column:
@@ -21,9 +21,32 @@ def read_delimited(spark: SparkSession, path: str, sep: str, required: list[str]
 
 
 def measured(df: DataFrame, value: str, flag: str | None = None) -> DataFrame:
-    """Rows whose value is a number (cast to double), and whose flag is zero if there is one."""
+    """Rows whose value is a number (cast to double). With a flag column, a row whose flag is neither blank nor zero stays, with the flag in
+    `note`: that something was flagged is another statement than that nobody looked."""
     out = df.withColumn(value, F.col(value).cast("string").try_cast("double")).where(F.col(value).isNotNull() & ~F.isnan(value))
-    return out if flag is None else out.where(F.coalesce(F.col(flag).cast("string").try_cast("double"), F.lit(0.0)) == 0)
+    if flag is None:
+        return out
+    text = F.trim(F.coalesce(F.col(flag).cast("string"), F.lit("")))
+    return out.withColumn("note", F.when(text.isin("", "0"), "").otherwise(F.concat(F.lit(f"{flag}="), text)))
+
+
+def observations(df: DataFrame, own_codes: list[str], own_markers: list[str]) -> DataFrame:
+    """jd, mag, err, band, observer, is_own, is_limit, note of an observers' database with the columns JD, mag, uncert, band, by, comment,
+    fainterThan and obsType, all strings; missing ones count as blank, but for JD and mag, without which this raises.
+
+    Rows whose date or magnitude is no finite number go: nothing is put in their place. A row is one's own by its observer's code or
+    by a marker in its comment, in any case.
+    """
+    if missing := [c for c in ("JD", "mag") if c not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in df.columns else F.lit("")
+    number = lambda c: finite(text(c).try_cast("double"))
+    marked = F.lit(False)
+    for m in own_markers:
+        marked = marked | F.upper(text("comment")).contains(m.upper())
+    own = F.upper(text("by")).isin([c.upper() for c in own_codes]) | marked
+    out = df.select(number("JD").alias("jd"), number("mag").alias("mag"), number("uncert").alias("err"), F.coalesce(F.nullif(text("band"), F.lit("")), F.lit("?")).alias("band"), text("by").alias("observer"), own.alias("is_own"), (text("fainterThan") == "1").alias("is_limit"), text("obsType").alias("note"))
+    return out.where("jd IS NOT NULL AND mag IS NOT NULL")
 
 
 def cards(block, width: int = 80) -> Column:

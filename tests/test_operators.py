@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesforge.functions import scalars as S
+from seriesforge.operators import ensemble as E
+from seriesforge.operators import fitting as L
 from seriesforge.operators import groupfit as G
 from seriesforge.operators import joins as J
 from seriesforge.operators import robust as R
@@ -116,7 +118,7 @@ def test_period_is_found(spark):
     grid = T.periodogram(df, ["star"], "t", "y", None, 1.0, 2.0, 401)
     best = T.refine_peak(grid, ["star"], 1 / 400).first()
     assert abs(best.f - 1.37) < 1e-3 and best.power > 0.99
-    fit = G.harmonic_fits(df, "star", "t", "y", 1 / 1.37, 1).first()
+    fit = L.harmonic_fits(df, "star", "t", "y", 1 / 1.37, 1).first()
     assert abs(fit.amplitude - 2) < 1e-6 and fit.rms < 1e-6
     theta = {r.f: r.theta for r in T.dispersion_theta(df, ["star"], "t", "y", [1.37, 1.6]).collect()}
     assert theta[1.37] < 0.1 < theta[1.6]
@@ -129,7 +131,7 @@ def test_ensemble_recovers_known_truth(spark):
     m, z = rng.normal(15, 1, 20), rng.normal(0, 0.3, 30)
     rows = [("s", i, j, float(m[i] + z[j] + rng.normal(0, 0.005) + (3.0 if (i, j) == (2, 3) else 0)), 0.005) for i in range(20) for j in range(30) if rng.random() > 0.15]
     df = spark.createDataFrame(rows, "series string, star int, frame int, mag double, sigma double")
-    got = G.ensembles(df, "series", "star", "frame", "mag", "sigma").collect()
+    got = E.ensembles(df, "series", "star", "frame", "mag", "sigma").collect()
     zp = {int(r.id): r.value for r in got if r.kind == "frame"}
     d = np.array([zp[j] - z[j] for j in range(30)])
     assert np.std(d) < 0.006
@@ -140,13 +142,13 @@ def test_huber_line(spark):
     y = 2 * x + 1
     y[7] += 500
     df = spark.createDataFrame(pd.DataFrame({"k": 1, "x": x, "y": y}))
-    r = G.robust_lines(df, "k", "x", "y").first()
+    r = L.robust_lines(df, "k", "x", "y").first()
     assert abs(r.slope - 2) < 1e-3 and r.n == 50
 
 
 def test_greedy_pairs(spark):
     df = spark.createDataFrame([("g", 1, 1, 0.1), ("g", 2, 1, 0.05), ("g", 1, 2, 0.3), ("g", 2, 2, 0.06)], "g string, a int, b int, dist double")
-    assert sorted((r.a, r.b) for r in G.greedy_pairs(df, "g", "a", "b", "dist").collect()) == [(1, 2), (2, 1)]
+    assert sorted((r.a, r.b) for r in J.greedy_pairs(df, "g", "a", "b", "dist").collect()) == [(1, 2), (2, 1)]
 
 
 def test_pinned_ids_never_move(spark):

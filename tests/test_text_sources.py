@@ -7,7 +7,7 @@ from seriesforge.sources import text as X
 def test_delimited_file(spark, tmp_path):
     (tmp_path / "a.txt").write_text("JD@@@ mag @@@band@@@flag\n2460000.5@@@12.25@@@V@@@0\n2460001.5@@@<15.2@@@V@@@0\n2460002.5@@@13@@@@@@1\n2460003.5@@@ 14.5 @@@ B@@@\n")
     rows = X.read_delimited(spark, str(tmp_path / "a.txt"), "@@@", ["JD", "mag"])
-    assert [(r.JD, r.mag, r.band) for r in X.measured(rows, "mag", "flag").orderBy("JD").collect()] == [("2460000.5", 12.25, "V"), ("2460003.5", 14.5, "B")]
+    assert [(r.JD, r.mag, r.band, r.note) for r in X.measured(rows, "mag", "flag").orderBy("JD").collect()] == [("2460000.5", 12.25, "V", ""), ("2460002.5", 13.0, None, "flag=1"), ("2460003.5", 14.5, "B", "")]
     with pytest.raises(ValueError, match="uncert"):
         X.read_delimited(spark, str(tmp_path / "a.txt"), "@@@", ["JD", "uncert"])
 
