@@ -2,9 +2,7 @@
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,18 +62,11 @@ def hot_join(rows: DataFrame, found: DataFrame, on: list[str], count: str, by: l
     return dealt.join(copies, [*on, "_s"]).drop("_s")
 
 
-def by_rows(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 500) -> DataFrame:
-    """mapInArrow over slices of at most `rows` rows, so that memory is bounded by a slice. f returns columns by name."""
-    want = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = f(batch.slice(at, rows))
-                if out is not None:
-                    yield pa.RecordBatch.from_pydict({c: out[c] for c in want})
-
-    return df.mapInArrow(run, schema)
+def with_marks(docs: DataFrame, marks: DataFrame, key: str, mark: str) -> DataFrame:
+    """docs with the column `mark` of marks (one row for each `key`) by doc_id. Rows with a null doc_id have none; they stay where they are,
+    as an outer join would send them all to one task."""
+    known = docs.where("doc_id IS NOT NULL").join(marks, F.col("doc_id") == F.col(key), "left").drop(key)
+    return known.unionByName(docs.where("doc_id IS NULL").withColumn(mark, F.lit(None).cast(marks.schema[mark].dataType)))
 
 
 def text_or_empty(name: str = "text") -> Column:

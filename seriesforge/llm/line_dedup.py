@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import free_name, hot_join, read_table, stored
+from seriesforge.llm.common import free_name, hot_join, read_table, stored, with_marks
 
 #: White space; a line of nothing else is blank.
 BLANK = " \t\v\f\r"
@@ -206,7 +206,7 @@ def remove_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without those lines. A document that loses all lines but blank ones goes; texts that lose nothing stay as they are."""
     mark = free_name(docs, "_gone")
     numbers = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias(mark)).withColumnRenamed("doc_id", f"{mark}id")
-    joined = docs.join(numbers, docs["doc_id"] == numbers[f"{mark}id"], "left").drop(f"{mark}id")
+    joined = with_marks(docs, numbers, f"{mark}id", mark)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

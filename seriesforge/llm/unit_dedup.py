@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import free_name, hot_join, read_table, stored
+from seriesforge.llm.common import free_name, hot_join, read_table, stored, with_marks
 
 #: Scripts that are written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Chinese characters.
 LONE = "฀-໿ༀ-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
@@ -125,7 +125,7 @@ def remove_units(docs: DataFrame, gone: DataFrame) -> DataFrame:
     rest = docs.drop("kept").withColumn("text", F.col("text").cast("string"))
     mark = free_name(docs, "_spans")
     spans = gone.groupBy(F.col("doc_id").alias(f"{mark}id")).agg(F.collect_set(F.struct("start", "stop")).alias(mark))
-    joined = rest.join(spans, rest["doc_id"] == spans[f"{mark}id"], "left").drop(f"{mark}id")
+    joined = with_marks(rest, spans, f"{mark}id", mark)
     names, kept_type = rest.columns, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

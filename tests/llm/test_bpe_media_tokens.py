@@ -76,6 +76,16 @@ def test_no_documents(empty):
     assert B.encode_documents(empty, PATH).count() == 0
 
 
+def test_media_of_no_documents(empty):
+    assert M.media_features(M.decode_telephony(M.encode_media(empty), "media", 8000)).count() == 0
+
+
+def test_rollup_query_on_no_documents(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert T.op1_token_rollup(spark, str(tmp_path)).count() == 0
+
+
 def test_media_fields(messy):
     rows = M.media_features(M.decode_telephony(M.encode_media(messy), "media", 8000)).collect()
     assert len(rows) == messy.count()
