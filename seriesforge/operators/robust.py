@@ -66,6 +66,18 @@ def line_fit(x, y, w=None) -> dict[str, Column]:
     return {"slope": slope, "intercept": safe_div(sxx * sy - sx * sxy, det), "slope_error": F.sqrt(safe_div(sw, det))}
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], at: str = "_i", of: str = "_n") -> DataFrame:
+    """df with each row's place in its group (from 0) and the group's size. Rows are placed in ranges that may split a group, and each range starts
+    after the ones before it, so no task orders a whole group. `order` must tell the rows of a group apart."""
+    # Written once, as the ranges of a second evaluation could differ.
+    ranged = checkpointed(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    whole = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_c")).select("_part", *keys, before.alias("_before"), F.sum("_c").over(whole).alias(of))
+    own = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)) - 1
+    return join_on(ranged.withColumn("_own", own), totals, ["_part", *keys]).withColumn(at, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
 def quantiles(df: DataFrame, keys: list[str], x: str, shares: list[float]) -> DataFrame:
     """keys, n, q (array): exact quantiles, interpolated as percentile does, of any number of values in any group.
 

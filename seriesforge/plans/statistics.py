@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.operators import groupfit as G
 from seriesforge.operators import robust as R
 from seriesforge.operators import series as T
 from seriesforge.plans.base import query, timed
@@ -241,8 +240,3 @@ def phase_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_way_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read_table(spark, sf_dir, "lineitem").groupBy(F.concat("l_linestatus", "l_returnflag").alias("cell"), F.month("l_shipdate").alias("m")).agg(F.avg("l_extendedprice").alias("x"))
     return T.two_way_residual(a, "cell", "m", "x", 1).select("cell", "m", F.round("residual", 4).alias("residual"))
-
-
-@query()
-def injected_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.injection_recovery(days(spark, sf_dir), "event_type", "x", "value", 1.0, [5.0, 20.0, 80.0], 10)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from seriesforge.functions import scalars as S
 from seriesforge.operators import ensemble as E
 from seriesforge.operators import fitting as L
-from seriesforge.operators import groupfit as G
 from seriesforge.operators import joins as J
 from seriesforge.operators import robust as R
 from seriesforge.operators import series as T
@@ -122,8 +121,6 @@ def test_period_is_found(spark):
     assert abs(fit.amplitude - 2) < 1e-6 and fit.rms < 1e-6
     theta = {r.f: r.theta for r in T.dispersion_theta(df, ["star"], "t", "y", [1.37, 1.6]).collect()}
     assert theta[1.37] < 0.1 < theta[1.6]
-    found = {r.amplitude: r.recovered for r in G.injection_recovery(df, "star", "t", "y", 0.51, [50.0], 10).collect()}
-    assert found[50.0] == 10
 
 
 def test_ensemble_recovers_known_truth(spark):
