@@ -66,16 +66,37 @@ def line_fit(x, y, w=None) -> dict[str, Column]:
     return {"slope": slope, "intercept": safe_div(sxx * sy - sx * sxy, det), "slope_error": F.sqrt(safe_div(sw, det))}
 
 
+def in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with _part: ranges of (keys, order) that may split a group, so that windows within (_part, keys) never hold a whole hot group. Written, as the
+    ranges of a second evaluation could differ. What lies before a range comes from tables with one row for each range of a group."""
+    return checkpointed(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def running_sum(ranged: DataFrame, keys: list[str], order: list[str], x: Column, out: str, own: bool = True) -> DataFrame:
+    """in_ranges() rows with the sum of x up to each row of its group (`own`: with the row itself). `order` must tell the rows of a group apart."""
+    rows = ranged.withColumn("_r_x", x)
+    before = F.coalesce(F.sum("_r_s").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = rows.groupBy("_part", *keys).agg(F.sum("_r_x").alias("_r_s")).select("_part", *keys, before.alias("_r_before"))
+    inner = F.coalesce(F.sum("_r_x").over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)), F.lit(0))
+    return join_on(rows.withColumn("_r_in", inner), totals, ["_part", *keys]).withColumn(out, F.col("_r_in") + F.col("_r_before")).drop("_r_x", "_r_in", "_r_before")
+
+
+def neighbour(ranged: DataFrame, keys: list[str], order: list[str], columns: list[str], out: str, by: int = -1) -> DataFrame:
+    """in_ranges() rows with the struct `out` of the columns of the row before (by = -1) or after (by = 1) in its group; NULL at its ends. Rows at the
+    ends of a range take theirs from the nearest range of the group."""
+    value = F.struct(*columns)
+    pick, reach = (F.max_by, F.lag) if by < 0 else (F.min_by, F.lead)
+    ends = ranged.groupBy("_part", *keys).agg(pick(value, F.struct(*order)).alias("_r_e"))
+    ends = ends.select("_part", *keys, reach("_r_e").over(Window.partitionBy(*keys).orderBy("_part")).alias("_r_e"))
+    near = reach(value).over(Window.partitionBy("_part", *keys).orderBy(*order))
+    return join_on(ranged.withColumn("_r_near", near), ends, ["_part", *keys]).withColumn(out, F.coalesce("_r_near", "_r_e")).drop("_r_near", "_r_e")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], at: str = "_i", of: str = "_n") -> DataFrame:
-    """df with each row's place in its group (from 0) and the group's size. Rows are placed in ranges that may split a group, and each range starts
-    after the ones before it, so no task orders a whole group. `order` must tell the rows of a group apart."""
-    # Written once, as the ranges of a second evaluation could differ.
-    ranged = checkpointed(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    whole = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("_c").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_c")).select("_part", *keys, before.alias("_before"), F.sum("_c").over(whole).alias(of))
-    own = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)) - 1
-    return join_on(ranged.withColumn("_own", own), totals, ["_part", *keys]).withColumn(at, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+    """df with each row's place in its group (from 0) and the group's size, by ranges. `order` must tell the rows of a group apart."""
+    ranged = in_ranges(df, keys, order)
+    sizes = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias(of))
+    return join_on(running_sum(ranged, keys, order, F.lit(1), at, own=False), sizes, keys).drop("_part")
 
 
 def quantiles(df: DataFrame, keys: list[str], x: str, shares: list[float]) -> DataFrame:

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesforge.functions.scalars import safe_div
-from seriesforge.operators.robust import median
-from seriesforge.sources.tables import join_on
+from seriesforge.operators.robust import in_ranges, median, neighbour, numbered, quantiles, running_sum
+from seriesforge.sources.tables import checkpointed, join_on
 
 
 def sessions(df: DataFrame, keys: list[str], t: str, gap: float, tie: str) -> DataFrame:
     """df with block: a new one begins where the gap to the row before is over `gap` (numeric time)."""
-    w = Window.partitionBy(*keys).orderBy(t, tie)
-    new = (F.col(t) - F.lag(t).over(w) > gap).cast("int")
-    return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = neighbour(in_ranges(df, keys, [t, tie]), keys, [t, tie], [t], "_before")
+    new = F.coalesce((F.col(t) - F.col(f"_before.{t}") > gap).cast("int"), F.lit(0))
+    return running_sum(rows, keys, [t, tie], new, "block").drop("_before", "_part")
 
 
 def block_stats(df: DataFrame, keys: list[str], t: str) -> DataFrame:
@@ -31,11 +31,13 @@ def longest_run(df: DataFrame, keys: list[str], t: str, gap: float, tie: str) ->
 
 def cadence(df: DataFrame, keys: list[str], t: str, tie: str, low: float = 0.5, high: float = 3.0) -> DataFrame:
     """keys, n, baseline, median_gap (of positive gaps), in_band (share of gaps between low and high medians)."""
-    w = Window.partitionBy(*keys).orderBy(t, tie)
-    gaps = df.withColumn("gap", F.col(t) - F.lag(t).over(w))
-    first = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(t) - F.min(t)).alias("baseline"), median(F.when(F.col("gap") > 0, F.col("gap"))).alias("median_gap"))
+    gaps = neighbour(in_ranges(df.select(*keys, t, tie), keys, [t, tie]), keys, [t, tie], [t], "_before").select(*keys, t, (F.col(t) - F.col(f"_before.{t}")).alias("gap"))
+    first = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(t) - F.min(t)).alias("baseline"))
+    positive = gaps.where("gap > 0")
+    middle = quantiles(positive, keys, "gap", [0.5]).select(*keys, F.col("q")[0].alias("median_gap"))
     ok = F.col("gap").between(low * F.col("median_gap"), high * F.col("median_gap"))
-    return join_on(gaps, first, keys).groupBy(*keys, "n", "baseline", "median_gap").agg(F.avg(F.when(F.col("gap") > 0, ok.cast("double"))).alias("in_band"))
+    band = join_on(positive, middle, keys).groupBy(*keys, "median_gap").agg(F.avg(ok.cast("double")).alias("in_band"))
+    return join_on(first, band, keys, "left").select(*keys, "n", "baseline", "median_gap", "in_band")
 
 
 def running_median(df: DataFrame, keys: list[str], t: str, tie: str, x: str, half: int, out: str = "running") -> DataFrame:
@@ -65,31 +67,33 @@ def without_block_means(df: DataFrame, keys: list[str], x: str, out: str = "resi
 
 def rate_of_change(df: DataFrame, keys: list[str], t: str, tie: str, x: str, out: str = "rate") -> DataFrame:
     """Absolute second-order gradient for uneven steps; one-sided at the ends."""
-    w = Window.partitionBy(*keys).orderBy(t, tie)
-    hb, hf = F.col(t) - F.lag(t).over(w), F.lead(t).over(w) - F.col(t)
-    xb, xf, x0 = F.lag(x).over(w), F.lead(x).over(w), F.col(x)
+    order = [t, tie]
+    rows = neighbour(neighbour(in_ranges(df, keys, order), keys, order, [t, x], "_b"), keys, order, [t, x], "_f", 1)
+    hb, hf = F.col(t) - F.col(f"_b.{t}"), F.col(f"_f.{t}") - F.col(t)
+    xb, xf, x0 = F.col(f"_b.{x}"), F.col(f"_f.{x}"), F.col(x)
     inner = safe_div(hb * hb * xf + (hf * hf - hb * hb) * x0 - hf * hf * xb, hb * hf * (hb + hf))
     one = F.coalesce(safe_div(xf - x0, hf), safe_div(x0 - xb, hb))
-    return df.withColumn(out, F.abs(F.when(hb.isNotNull() & hf.isNotNull(), inner).otherwise(one)))
+    return rows.withColumn(out, F.abs(F.when(hb.isNotNull() & hf.isNotNull(), inner).otherwise(one))).drop("_b", "_f", "_part")
 
 
 def cyclic_shift(df: DataFrame, keys: list[str], t: str, tie: str, x: str, by: int, out: str = "rolled") -> DataFrame:
     """x moved by `by` places around each group's ring."""
-    w = Window.partitionBy(*keys).orderBy(t, tie)
-    numbered = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    moved = numbered.select(*keys, F.pmod(F.col("_i") + by, F.col("_n")).alias("_i"), F.col(x).alias(out))
-    return join_on(numbered, moved, [*keys, "_i"]).drop("_i", "_n")
+    placed = checkpointed(numbered(df, keys, [t, tie]))
+    moved = placed.select(*keys, F.pmod(F.col("_i") + by, F.col("_n")).alias("_i"), F.col(x).alias(out))
+    return join_on(placed, moved, [*keys, "_i"]).drop("_i", "_n")
 
 
 def allan_ladder(df: DataFrame, keys: list[str], t: str, tie: str, x: str, rungs: list[int], least: int = 4) -> DataFrame:
     """keys, m, bins, deviation: non-overlapping bins of m values, root of half the mean squared step between full neighbouring bins."""
-    w = Window.partitionBy(*keys).orderBy(t, tie)
-    numbered = df.select(*keys, F.col(x).cast("double").alias("_x"), (F.row_number().over(w) - 1).alias("_i"))
-    exploded = numbered.withColumn("m", F.explode(F.array(*[F.lit(m) for m in rungs]))).withColumn("bin", F.floor(F.col("_i") / F.col("m")))
-    means = exploded.groupBy(*keys, "m", "bin").agg(F.avg("_x").alias("mean"), F.count("_x").alias("n")).where("n = m")
-    wb = Window.partitionBy(*keys, "m").orderBy("bin")
-    steps = means.withColumn("d", F.col("mean") - F.lag("mean").over(wb))
-    return steps.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("bins"), F.sqrt(F.avg(F.col("d") * F.col("d")) / 2).alias("deviation")).where(F.col("bins") >= least)
+    placed = numbered(df.select(*keys, t, tie, F.col(x).cast("double").alias("_x")), keys, [t, tie])
+    exploded = placed.withColumn("m", F.explode(F.array(*[F.lit(m) for m in rungs]))).withColumn("bin", F.floor(F.col("_i") / F.col("m")))
+    means = checkpointed(exploded.groupBy(*keys, "m", "bin").agg(F.avg("_x").alias("mean"), F.count("_x").alias("n")).where("n = m").select(*keys, "m", "bin", "mean"))
+    # A bin meets the full one before it; a bin that is not full is between no two.
+    full = means.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("bins"))
+    ranged = in_ranges(means, [*keys, "m"], ["bin"])
+    steps = neighbour(ranged, [*keys, "m"], ["bin"], ["mean"], "_b").withColumn("d", F.col("mean") - F.col("_b.mean"))
+    spread = steps.groupBy(*keys, "m").agg(F.sqrt(F.avg(F.col("d") * F.col("d")) / 2).alias("deviation"))
+    return join_on(full, spread, [*keys, "m"]).select(*keys, "m", "bins", "deviation").where(F.col("bins") >= least)
 
 
 def structure_function(df: DataFrame, keys: list[str], t: str, x: str, edges: list[float], least: int = 10) -> DataFrame:
