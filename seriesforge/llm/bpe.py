@@ -57,7 +57,7 @@ class Bpe:
     """Reads a tokenizers JSON file of a byte-level BPE model. What it has beyond that (a normalizer, another pre-tokenizer or decoder,
     flags of its added tokens, merges that are ignored) would change the ids, so it raises."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 250_000):
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         check(parts)
