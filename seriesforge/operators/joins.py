@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from seriesforge.functions.scalars import col, separation_deg
 from seriesforge.sources.tables import checkpointed, join_on
 
+#: Joins on cells: rows of a side in one share of a cell, pairs that a task compares on average, most tasks.
+BLOCK, TASK_PAIRS, MOST_TASKS = 2048, 1 << 24, 20_000
+
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, carry: list[str], how: str = "nearest", strict: bool = False, width: float = 30 * 86400.0) -> DataFrame:
     """left with r_<column> of the right row before ('backward'), after ('forward') or nearest to it in time.
@@ -62,13 +65,36 @@ def blank_type(df: DataFrame) -> str:
     return "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema) + ">"
 
 
+def cell_join(left: DataFrame, right: DataFrame, cells: list[str], block: int = BLOCK, task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """An equi-join on cells, all pairs of a cell, dealt out by the pairs it makes and not by the bytes it reads.
+
+    A cell with more than `block` rows on a side is cut into shares of about that many, each of which meets every share of the other side, so no
+    task holds a whole hot cell on either side; its rows are repeated once for each share of the other side. Cells are counted first.
+    """
+    count = lambda df, n: df.groupBy(*cells).agg(F.count(F.lit(1)).alias(n))
+    met = checkpointed(count(left, "_n_l").join(count(right, "_n_r"), cells))
+    pairs = met.agg(F.sum(F.col("_n_l").cast("double") * F.col("_n_r"))).first()[0] or 0.0
+    shares = met.select(*cells, F.ceil(F.col("_n_l") / block).cast("int").alias("_k_l"), F.ceil(F.col("_n_r") / block).cast("int").alias("_k_r")).where("_k_l > 1 OR _k_r > 1")
+    tasks = int(min(MOST_TASKS, max(1, math.ceil(pairs / task_pairs))))
+    # No more hot cells than there are blocks of rows; a written list has a size that the planner knows.
+    shares = checkpointed(shares)
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*df.columns), F.coalesce(f"_k{own}", F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(f"_k{other}", F.lit(1)) - 1))
+        rows = df.join(shares, cells, "left").select(*df.columns, mine.alias(f"_s{own}"), "_k_l", "_k_r").select(*df.columns, f"_s{own}", every.alias(f"_s{other}"))
+        return rows.repartition(tasks, *cells, "_s_l", "_s_r")
+
+    return dealt(left, "_l", "_r").join(dealt(right, "_r", "_l"), [*cells, "_s_l", "_s_r"]).drop("_s_l", "_s_r")
+
+
 def range_join(left: DataFrame, right: DataFrame, left_x: str, right_x: str, tol: float, by: list[str] | None = None) -> DataFrame:
     """Pairs with |left_x - right_x| <= tol, as an equi-join on cells of width tol: a left row meets three cells."""
     by = by or []
     cells = F.explode(F.array(*[F.floor(F.col(left_x) / tol) + i for i in (-1, 0, 1)]))
     a = left.withColumn("_cell", cells)
     b = right.withColumn("_cell", F.floor(F.col(right_x) / tol))
-    return a.join(b, ["_cell", *by]).where(F.abs(F.col(left_x) - F.col(right_x)) <= tol).drop("_cell")
+    return cell_join(a, b, ["_cell", *by]).where(F.abs(F.col(left_x) - F.col(right_x)) <= tol).drop("_cell")
 
 
 def plane_join(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str, tol: float) -> DataFrame:
@@ -76,7 +102,7 @@ def plane_join(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry:
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = left.withColumn("_s", F.explode(steps)).withColumn("_i", F.floor(F.col(lx) / tol) + F.col("_s.i")).withColumn("_j", F.floor(F.col(ly) / tol) + F.col("_s.j")).drop("_s")
     b = right.withColumn("_i", F.floor(F.col(rx) / tol)).withColumn("_j", F.floor(F.col(ry) / tol))
-    return a.join(b, ["_i", "_j"]).withColumn("dist", F.hypot(F.col(lx) - F.col(rx), F.col(ly) - F.col(ry))).where(F.col("dist") <= tol).drop("_i", "_j")
+    return cell_join(a, b, ["_i", "_j"]).withColumn("dist", F.hypot(F.col(lx) - F.col(rx), F.col(ly) - F.col(ry))).where(F.col("dist") <= tol).drop("_i", "_j")
 
 
 def nearest_two(pairs: DataFrame, key: str, order: list[str], carry: str, dist: str = "dist") -> DataFrame:
@@ -124,7 +150,7 @@ def cone_join(left: DataFrame, right: DataFrame, lra: str, ldec: str, rra: str,
     near = left.where(F.col(lra).isNotNull() & F.col(ldec).isNotNull()).withColumn("_s", F.explode(steps))
     near = near.select("*", *[(x + F.col(f"_s.{n}")).alias(f"_{n}") for n, x in zip("ijk", cell(lra, ldec))]).drop("_s")
     other = right.where(F.col(rra).isNotNull() & F.col(rdec).isNotNull()).select("*", *[x.alias(f"_{n}") for n, x in zip("ijk", cell(rra, rdec))])
-    met = near.join(other, ["_i", "_j", "_k"]).drop("_i", "_j", "_k")
+    met = cell_join(near, other, ["_i", "_j", "_k"]).drop("_i", "_j", "_k")
     return met.withColumn("sep", separation_deg(lra, ldec, rra, rdec)).where(F.col("sep") <= tol_deg)
 
 

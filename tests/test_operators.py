@@ -100,6 +100,16 @@ def test_asof_over_slices(spark):
                 assert got[i] == (min(own)[1:] if own else (None, None)), (how, strict, k, t)
 
 
+def test_hot_cells_are_dealt_over_tasks(spark):
+    a = spark.range(301).select(F.col("id").alias("i"), F.lit(7).alias("c")).unionByName(spark.createDataFrame([(900, 8), (901, 9)], "i long, c int"))
+    b = spark.range(250).select(F.col("id").alias("j"), F.lit(7).alias("c")).unionByName(spark.createDataFrame([(900, 8), (902, None)], "j long, c int"))
+    pairs = J.cell_join(a, b, ["c"], block=50, task_pairs=5000).withColumn("p", F.spark_partition_id()).toPandas()
+    assert len(pairs) == 301 * 250 + 1 and not pairs.duplicated(["i", "j"]).any()
+    assert set(map(tuple, pairs[pairs.c != 7][["i", "j"]].values)) == {(900, 900)}
+    assert pairs.groupby("p").size().max() < len(pairs) / 3
+    assert J.cell_join(a.where("false"), b, ["c"]).count() == 0
+
+
 def test_range_join_includes_its_ends(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.5)], "i int, x double")
     b = spark.createDataFrame([(1, 1.5), (2, 0.5), (3, 0.4), (4, -9.0)], "j int, y double")
