@@ -1,7 +1,8 @@
 """Least squares of any number of regressors as sums of products: one aggregate, then a small Cholesky solve as column arithmetic.
 
 Rows never meet in one place: a fit reads its group's sums, which combine before the shuffle, so a group may hold any share of
-all rows. Fits that iterate (clipping, Huber weights, two-way centring) keep a table of coefficients, one row a group, which
+all rows. What comes back to the rows (means, coefficients) is a written table with one row a group: the planner knows its size and sends
+it to the rows; a plan's estimate would be that of the rows, and the join would sort a hot group in one task. Fits that iterate (clipping, Huber weights, two-way centring) keep a table of coefficients, one row a group, which
 each round writes anew and joins back to the rows. Rows with NULL or NaN in any value, or a weight that is not positive, are
 left out; a group with too few rows or dependent regressors gives NULLs; NULL keys make a group of their own; an empty table
 gives an empty one.
@@ -55,14 +56,16 @@ def normal_fit(rows: DataFrame, keys: list[str], k: int, intercept: bool = True,
     `mean` is then the fitted value at `centre`.
     """
     x, w, y = [F.col(f"_x{i}") for i in range(k)], F.col("_w"), F.col("_y")
+    # Numbers only in the aggregates: with an array among them Spark would sort the rows instead of hashing them.
+    own = [f"_c{i}" for i in range(k)]
     if intercept:
-        means = rows.groupBy(*keys).agg(F.array(*[F.sum(w * c) / F.sum(w) for c in x]).alias("_c"), (F.sum(w * y) / F.sum(w)).alias("_my"))
-        rows = join_on(rows, means, keys)
-        x, y = [c - F.col("_c")[i] for i, c in enumerate(x)], y - F.col("_my")
-    centre = [F.first("_c").alias("centre"), F.first("_my").alias("mean")] if intercept else [F.array(*[F.lit(0.0)] * k).alias("centre"), F.lit(0.0).alias("mean")]
+        means = rows.groupBy(*keys).agg(*[(F.sum(w * c) / F.sum(w)).alias(n) for c, n in zip(x, own)], (F.sum(w * y) / F.sum(w)).alias("_my"))
+        rows = join_on(rows, checkpointed(means), keys)
+        x, y = [c - F.col(n) for c, n in zip(x, own)], y - F.col("_my")
+    centre = [*[F.first(n).alias(n) for n in own], F.first("_my").alias("mean")] if intercept else [*[F.lit(0.0).alias(n) for n in own], F.lit(0.0).alias("mean")]
     products = [F.sum(w * x[i] * x[j]).alias(f"_a{i}{j}") for i in range(k) for j in range(i + 1)] + [F.sum(w * x[i] * y).alias(f"_b{i}") for i in range(k)]
     sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("weight"), *centre, F.sum(w * y * y).alias("_yy"), *products, *[c.alias(name) for name, c in (extra or {}).items()])
-    out = solved(sums, k)
+    out = solved(sums, k).withColumn("centre", F.array(*own))
     enough = F.col("n") >= least
     return out.select(*keys, "n", "weight", "centre", "mean", *[F.when(enough, F.col(c)).alias(c) for c in ("beta", "error", "rss")], *(extra or {}))
 
@@ -86,6 +89,7 @@ def plane_fit(df: DataFrame, keys: list[str], x, y, z, least: int = 6, significa
 
 def position_rms(rows: DataFrame, fit: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
     """fit with rms, the distance of the mapped positions from the ones wanted (_u, _v), taken from the rows: sums would cancel in a close fit."""
+    fit = checkpointed(fit)
     away = join_on(rows, fit, keys).groupBy(*keys).agg(F.sqrt(F.avg((x - F.col("_u")) ** 2 + (y - F.col("_v")) ** 2)).alias("rms"))
     return join_on(fit, away, keys, "left")
 
