@@ -9,6 +9,8 @@ from seriesforge.functions.scalars import MAD_TO_SIGMA, col, finite, safe_div
 from seriesforge.sources.tables import checkpointed, join_on
 
 Z95 = 1.959963984540054
+#: Rows of a group that one task may sort.
+SMALL_GROUP = 1 << 17
 
 
 def median(x) -> Column:
@@ -99,45 +101,59 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], at: str = "_i", o
     return join_on(running_sum(ranged, keys, order, F.lit(1), at, own=False), sizes, keys).drop("_part")
 
 
-def quantiles(df: DataFrame, keys: list[str], x: str, shares: list[float]) -> DataFrame:
+def interpolated(shares: list[float], low: Column, high: Column) -> Column:
+    """Array of quantiles of a group whose rows are (_q_v, n) and hold the places low to high."""
+
+    def value(share: float) -> Column:
+        at = (F.col("n") - 1) * F.lit(share)
+        first, last = (F.max(F.when(i.between(low, high), F.col("_q_v"))) for i in (F.floor(at), F.ceil(at)))
+        return first + (F.max(at) - F.floor(F.max(at))) * (last - first)
+
+    return F.array(*[value(s) for s in shares])
+
+
+def quantiles(df: DataFrame, keys: list[str], x: str, shares: list[float], small: bool = False) -> DataFrame:
     """keys, n, q (array): exact quantiles, interpolated as percentile does, of any number of values in any group.
 
     Equal values are counted first; the distinct ones are ranked in ranges that may split a group, so no task holds a group's
     values. A range's ranks start after the totals of the ranges before it, of which a group has no more than there are
-    partitions. Groups without values have no row.
+    partitions; only the ranges that hold a wanted rank are ranked. Groups without values have no row. `small`: the caller knows
+    that no group has more than SMALL_GROUP rows; then each group is sorted as it is.
     """
-    v = finite(x)
-    counts = df.select(*keys, v.alias("_q_v")).where("_q_v IS NOT NULL").groupBy(*keys, "_q_v").agg(F.count(F.lit(1)).alias("_q_t"))
+    values = df.select(*keys, finite(x).alias("_q_v")).where("_q_v IS NOT NULL")
+    if small:
+        placed = values.select("*", (F.row_number().over(Window.partitionBy(*keys).orderBy("_q_v")) - 1).alias("_q_i"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
+        return placed.groupBy(*keys).agg(F.max("n").alias("n"), interpolated(shares, F.col("_q_i"), F.col("_q_i")).alias("q"))
+    counts = values.groupBy(*keys, "_q_v").agg(F.count(F.lit(1)).alias("_q_t"))
     # Written once, as the ranges of a second evaluation could differ.
     ranged = checkpointed(counts.repartitionByRange(*keys, "_q_v").withColumn("_q_part", F.spark_partition_id()))
-    below = F.coalesce(F.sum("_q_t").over(Window.partitionBy("_q_part", *keys).orderBy("_q_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("_q_s").over(whole.orderBy("_q_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = ranged.groupBy("_q_part", *keys).agg(F.sum("_q_t").alias("_q_s")).select("_q_part", *keys, before.alias("_q_before"), F.sum("_q_s").over(whole).alias("n"))
-    ranked = join_on(ranged.withColumn("_q_below", below), totals, ["_q_part", *keys]).withColumn("_q_lo", F.col("_q_below") + F.col("_q_before")).withColumn("_q_hi", F.col("_q_lo") + F.col("_q_t") - 1)
-
-    def value(share: float) -> Column:
+    totals = ranged.groupBy("_q_part", *keys).agg(F.sum("_q_t").alias("_q_s")).select("_q_part", *keys, "_q_s", before.alias("_q_before"), F.sum("_q_s").over(whole).alias("n"))
+    wanted = F.lit(False)
+    for share in shares:
         at = (F.col("n") - 1) * F.lit(share)
-        low, high = (F.max(F.when(i.between(F.col("_q_lo"), F.col("_q_hi")), F.col("_q_v"))) for i in (F.floor(at), F.ceil(at)))
-        return low + (F.max(at) - F.floor(F.max(at))) * (high - low)
-
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*[value(s) for s in shares]).alias("q"))
+        wanted = wanted | ((F.ceil(at) >= F.col("_q_before")) & (F.floor(at) < F.col("_q_before") + F.col("_q_s")))
+    met = join_on(ranged, checkpointed(totals.where(wanted).drop("_q_s")), ["_q_part", *keys])
+    below = F.coalesce(F.sum("_q_t").over(Window.partitionBy("_q_part", *keys).orderBy("_q_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = met.withColumn("_q_lo", below + F.col("_q_before")).withColumn("_q_hi", F.col("_q_lo") + F.col("_q_t") - 1)
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), interpolated(shares, F.col("_q_lo"), F.col("_q_hi")).alias("q"))
 
 
-def median_and_mad(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+def median_and_mad(df: DataFrame, keys: list[str], x: str, small: bool = False) -> DataFrame:
     """keys, n, median, mad_sigma: 1.4826 times the median distance from the median; NULL for one value. Groups without values have no row.
 
-    The groups' medians come back by a join; Spark splits a hot group's rows there.
+    The groups' medians are a written table that comes back by a join: the planner knows its size and sends it to the rows.
     """
-    first = quantiles(df, keys, x, [0.5]).select(*keys, F.col("q")[0].alias("median"))
+    first = checkpointed(quantiles(df, keys, x, [0.5], small).select(*keys, F.col("q")[0].alias("median")))
     away = join_on(df.select(*keys, finite(x).alias("_q_x")), first, keys).select(*keys, F.abs(F.col("_q_x") - F.col("median")).alias("_q_d"))
-    spread = quantiles(away, keys, "_q_d", [0.5]).select(*keys, "n", F.col("q")[0].alias("_q"))
+    spread = quantiles(away, keys, "_q_d", [0.5], small).select(*keys, "n", F.col("q")[0].alias("_q"))
     return join_on(first, spread, keys).select(*keys, "n", "median", F.when(F.col("n") >= 2, MAD_TO_SIGMA * F.col("_q")).alias("mad_sigma"))
 
 
 def clipped_stats(df: DataFrame, keys: list[str], x: str, nsigma: float = 4.0) -> DataFrame:
     """keys, n, n_kept, mean, sd over the values within nsigma robust sigmas of their group's median."""
-    stats = median_and_mad(df, keys, x).withColumnRenamed("n", "_n")
+    stats = checkpointed(median_and_mad(df, keys, x).withColumnRenamed("n", "_n"))
     joined = join_on(df, stats, keys)
     keep = F.abs(F.col(x) - F.col("median")) <= nsigma * F.col("mad_sigma")
     return joined.groupBy(*keys).agg(F.count(x).alias("n"), F.count_if(keep).alias("n_kept"), F.avg(F.when(keep, F.col(x))).alias("mean"), F.stddev_samp(F.when(keep, F.col(x))).alias("sd"))

@@ -1,6 +1,7 @@
 """Edge rules that the driver's tables do not show: NaN and NULL, ties, hot keys, known truths."""
 
 import math
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -110,6 +111,30 @@ def test_hot_cells_are_dealt_over_tasks(spark):
     assert J.cell_join(a.where("false"), b, ["c"]).count() == 0
 
 
+def test_quantiles_by_ranges_and_by_sorted_groups(spark):
+    rng = np.random.default_rng(5)
+    groups = {None: rng.integers(0, 9, 500).astype(float), 1: rng.normal(0, 1, 3001), 2: np.array([4.0, 7.0]), 3: np.array([1.5])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [(1, float("nan")), (4, None)], "k int, x double").repartition(4)
+    for small in (False, True):
+        got = {r.k: r for r in R.quantiles(df, ["k"], "x", [0.0, 0.3, 0.5, 1.0], small).collect()}
+        spread = {r.k: r for r in R.median_and_mad(df, ["k"], "x", small).collect()}
+        assert set(got) == set(spread) == set(groups)
+        for k, x in groups.items():
+            assert got[k].n == len(x) and np.allclose(got[k].q, np.quantile(x, [0.0, 0.3, 0.5, 1.0]))
+            mad = 1.4826 * np.median(np.abs(x - np.median(x)))
+            assert spread[k].median == pytest.approx(np.median(x)) and (spread[k].mad_sigma == pytest.approx(mad, rel=1e-4) if len(x) > 1 else spread[k].mad_sigma is None)
+
+
+def test_medians_come_back_to_hot_groups_without_a_sort(spark):
+    spark.range(3000).select((F.col("id") % 2).alias("k"), *[F.rand(i).alias(c) for i, c in enumerate("xyz")]).write.mode("overwrite").parquet(path := tempfile.mkdtemp() + "/rows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20KB")
+    try:
+        plan = R.median_and_mad(spark.read.parquet(path), ["k"], "x")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_range_join_includes_its_ends(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.5)], "i int, x double")
     b = spark.createDataFrame([(1, 1.5), (2, 0.5), (3, 0.4), (4, -9.0)], "j int, y double")
