@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesforge.functions.scalars import col, finite, safe_div
-from seriesforge.operators.robust import median_and_mad, quantiles
+from seriesforge.operators.robust import SMALL_GROUP, median_and_mad, quantiles
 from seriesforge.sources.tables import checkpointed, join_on
 
 #: Huber's bound in robust sigmas, the bound of clipping, and the significance of a colour-extinction term.
@@ -23,9 +23,11 @@ CLIP = 4.0
 SIGNIFICANT_T = 3.0
 
 
-def usable(df: DataFrame, keys: list[str], xs: list, y, w=None, carry: list[str] = ()) -> DataFrame:
-    """keys, _x0.., _y, _w of the rows that a fit can use."""
+def usable(df: DataFrame, keys: list[str], xs: list, y, w=None, carry: list[str] = (), stored: bool = False) -> DataFrame:
+    """keys, _x0.., _y, _w of the rows that a fit can use. `stored`: as a written table; the values are then worked out once for each row, whereas a
+    filter over them would repeat each expression as often as it is named."""
     rows = df.select(*keys, *carry, *[finite(x).alias(f"_x{i}") for i, x in enumerate(xs)], finite(y).alias("_y"), finite(F.lit(1.0) if w is None else w).alias("_w"))
+    rows = checkpointed(rows) if stored else rows
     return rows.dropna(subset=[*[f"_x{i}" for i in range(len(xs))], "_y", "_w"]).where("_w > 0")
 
 
@@ -135,9 +137,10 @@ def refitted(rows: DataFrame, keys: list[str], k: int, weight: Callable[[Column,
     """normal_fit of usable() rows, then `rounds` more, each with the weights that `weight` makes of a row's residual about the last fit and
     the median and robust sigma of its group's residuals. Stops as soon as no coefficient moves. Each round's coefficients are a written table."""
     fit = checkpointed(normal_fit(rows, keys, k, intercept, least, extra))
+    small = (fit.agg(F.max("n")).first()[0] or 0) <= SMALL_GROUP
     for _ in range(rounds):
         about = join_on(rows, fit.select(*keys, "beta", "centre", "mean"), keys).withColumn("_r", F.col("_y") - predicted(k))
-        scale = median_and_mad(about, keys, "_r")
+        scale = checkpointed(median_and_mad(about, keys, "_r", small))
         again = join_on(about.drop("beta", "centre", "mean"), scale.select(*keys, "median", "mad_sigma"), keys)
         again = again.withColumn("_w", F.col("_w") * weight(F.col("_r"), F.col("median"), F.col("mad_sigma"))).where("_w > 0").drop("_r", "median", "mad_sigma")
         new = checkpointed(normal_fit(again, keys, k, intercept, least, extra))
@@ -161,8 +164,9 @@ def huber_weight(residual: Column, middle: Column, sigma: Column, bound: float =
 def transform_fit(df: DataFrame, keys: list[str], mag_from, mag_to, colour, sigma=None, passes: int = 2) -> DataFrame:
     """keys, n, a, a_err, b, b_err, x_ref, rms, chi2nu of mag_to - mag_from = a + b (colour - x_ref), x_ref the group's median colour;
     after each pass rows beyond 4 robust sigmas go. Errors grow by the root of chi2nu where it is over 1."""
-    error = F.lit(1.0) if sigma is None else finite(sigma)
-    rows = checkpointed(usable(df, keys, [colour], col(mag_to) - col(mag_from), F.when(error > 0, 1 / (error * error))))
+    error = F.lit(1.0) if sigma is None else col(sigma).cast("double")
+    # A NaN or an infinite error gives NaN or 0 here, which usable() leaves out.
+    rows = usable(df, keys, [colour], col(mag_to) - col(mag_from), F.when(error > 0, 1 / (error * error)), stored=True)
     ref = quantiles(rows, keys, "_x0", [0.5]).select(*keys, F.col("q")[0].alias("x_ref"))
     fit = join_on(refitted(rows, keys, 1, clip_weight, passes), ref, keys)
     chi = F.col("rss") / F.greatest(F.col("n") - 2, F.lit(1))
@@ -174,7 +178,7 @@ def transform_fit(df: DataFrame, keys: list[str], mag_from, mag_to, colour, sigm
 
 def robust_lines(df: DataFrame, key: str, x: str, y: str, rounds: int = 30) -> DataFrame:
     """key, n, slope, intercept of lines with Huber weights on residuals in robust sigmas; NULLs for fewer than three rows or one x."""
-    fit = refitted(checkpointed(usable(df, [key], [x], y)), [key], 1, huber_weight, rounds)
+    fit = refitted(usable(df, [key], [x], y, stored=True), [key], 1, huber_weight, rounds)
     b = F.col("beta")[0]
     return fit.select(key, "n", b.alias("slope"), (F.col("mean") - b * F.col("centre")[0]).alias("intercept"))
 

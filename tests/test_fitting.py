@@ -184,3 +184,12 @@ def test_fits_of_hot_groups_sort_and_shuffle_no_rows(spark):
         assert all("SortAggregate" not in p and p.count("SortMergeJoin") <= 1 for p in plans)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_rows_are_worked_out_once_and_bad_errors_leave_them_out(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([("a", float(i), 2.0 * i + 1, 1.0) for i in range(8)] + [("a", 50.0, 0.0, s) for s in (nan, inf, -1.0, 0.0, None)], "k string, x double, y double, s double")
+    rows = L.usable(df, ["k"], ["x"], "y", "s", stored=True)
+    assert "isnan" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    fit = L.transform_fit(df.select("k", "x", "y", "s", F.lit(0.0).alias("zero")), ["k"], "zero", "y", "x", "s").collect()
+    assert [(r.n, round(r.b, 9), r.x_ref) for r in fit] == [(8, 2.0, 3.5)]
