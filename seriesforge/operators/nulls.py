@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions.scalars import finite, safe_div
 from seriesforge.functions.verdicts import peak_class
-from seriesforge.operators.fitting import normal_fit, usable
 from seriesforge.operators.robust import numbered, quantiles
 from seriesforge.operators.series import periodogram
 from seriesforge.sources.tables import checkpointed, join_on
@@ -83,13 +82,18 @@ def alias_confusion(df: DataFrame, keys: list[str], star: str, t: str, tie: str,
 
 def injection_recovery(df: DataFrame, keys: list[str], star: str, t: str, tie: str, y: str, period: float, amplitudes: list[float], trials: int = 20, seed: int = 0) -> DataFrame:
     """keys, amplitude, trials, recovered: sinusoids of a known period put into shifted noise, and how many are fitted with an amplitude within a third
-    of their own. Each trial is a fit of two regressors by its sums."""
-    noise = shifted_trials(df, keys, star, t, tie, y, trials, seed).withColumn("amplitude", F.explode(F.array(*[F.lit(float(a)) for a in amplitudes])))
-    name = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    phase = hashed(seed, *name, F.col("trial").cast("string"), "phase") / float(1 << 32)
+    of their own. Each trial is a fit of two regressors (cosine, sine) by its sums. A sinusoid of that period is a sum of the two, so a fit of
+    noise and sinusoid is the noise's fit and the sinusoid's own terms: the rows are read once, whatever amplitudes there are."""
+    noise = shifted_trials(df, keys, star, t, tie, y, trials, seed)
     turn = 2 * math.pi * F.col("t") / period
-    put = F.col("y") + F.col("amplitude") * F.sin(turn + 2 * math.pi * phase)
-    own = [*keys, "amplitude", "trial"]
-    fit = normal_fit(usable(noise, own, [F.cos(turn), F.sin(turn)], put), own, 2)
-    ok = F.abs(F.hypot(F.col("beta")[0], F.col("beta")[1]) - F.col("amplitude")) <= F.col("amplitude") / 3
+    rows = noise.select(*keys, "trial", F.cos(turn).alias("_c"), F.sin(turn).alias("_s"), "y")
+    sums = rows.groupBy(*keys, "trial").agg(F.count(F.lit(1)).alias("_m"), *[F.covar_pop(a, b).alias(f"_{a[-1]}{b[-1]}") for a, b in (("_c", "_c"), ("_s", "_s"), ("_c", "_s"), ("y", "_c"), ("y", "_s"))])
+    det = F.col("_cc") * F.col("_ss") - F.col("_cs") * F.col("_cs")
+    solid = (F.col("_m") >= 3) & (F.col("_cc") > 0) & (det > 1e-11 * F.col("_cc") * F.col("_ss"))
+    beta = lambda a, b, own: F.when(solid, (F.col(a) * F.col(own) - F.col(b) * F.col("_cs")) / det)
+    name = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    phase = 2 * math.pi * hashed(seed, *name, F.col("trial").cast("string"), "phase") / float(1 << 32)
+    fit = sums.select(*keys, beta("_yc", "_ys", "_ss").alias("_bc"), beta("_ys", "_yc", "_cc").alias("_bs"), phase.alias("_p"), F.explode(F.array(*[F.lit(float(a)) for a in amplitudes])).alias("amplitude"))
+    a = F.col("amplitude")
+    ok = F.abs(F.hypot(F.col("_bc") + a * F.sin("_p"), F.col("_bs") + a * F.cos("_p")) - a) <= a / 3
     return fit.groupBy(*keys, "amplitude").agg(F.count(F.lit(1)).alias("trials"), F.count_if(ok).alias("recovered"))
