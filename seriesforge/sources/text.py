@@ -52,13 +52,22 @@ def observations(df: DataFrame, own_codes: list[str], own_markers: list[str]) ->
 def cards(block, width: int = 80) -> Column:
     """array<struct<key, value>> of a header block: eight characters of a key, '= ', a value and perhaps a comment behind a slash.
     Text values lose their quotes ('' inside stands for one); a card without a value sign is left out, and so is all behind END."""
-    text = col(block)
-    all_ = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / width).cast("int") - 1, F.lit(0))), lambda i: F.substring(text, i * width + 1, F.lit(width)))
-    end = F.coalesce(F.try_element_at(F.filter(F.transform(all_, lambda x, i: F.when(F.rtrim(x) == "END", i)), lambda i: i.isNotNull()), F.lit(1)), F.size(all_))
-    own = F.filter(all_, lambda x, i: (i < end) & (F.substring(x, 9, 2) == "= "))
+    # Each step is bound to a name of a lambda: a column that is named again would be worked out again, and inside a lambda for each card.
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def split(text: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / width).cast("int") - 1, F.lit(0))), lambda i: F.substring(text, i * width + 1, F.lit(width)))
+
+    def upto_end(all_: Column) -> Column:
+        end = F.array_position(F.transform(all_, lambda x: F.rtrim(x)), F.lit("END")).cast("int")
+        return F.slice(all_, F.lit(1), F.when(end > 0, end - 1).otherwise(F.size(all_)))
+
+    own = F.filter(bound(bound(col(block), split), upto_end), lambda x: F.substring(x, 9, 2) == "= ")
 
     def value(x: Column) -> Column:
-        rest = F.trim(F.substring(x, 11, width))
+        return bound(F.trim(F.substring(x, 11, width)), plain)
+
+    def plain(rest: Column) -> Column:
         quoted = F.rtrim(F.replace(F.regexp_extract(rest, r"^'((?:[^']|'')*)'", 1), F.lit("''"), F.lit("'")))
         return F.when(rest.startswith("'"), quoted).otherwise(F.nullif(F.trim(F.split_part(rest, F.lit("/"), F.lit(1))), F.lit("")))
 

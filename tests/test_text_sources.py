@@ -19,3 +19,9 @@ def test_cards(spark):
     x, y = X.geometry("found")
     got = {r.i: (r.x, r.y, r.o) for r in df.select("i", x.alias("x"), y.alias("y"), X.card("found", "OBJECT").alias("o")).collect()}
     assert got[0] == (10, 20, "a/b 'c'") and got[1] == (4096, 2048, None) and got[2] == got[3] == got[4] == (None, None, None)
+
+
+def test_header_blocks_are_cut_once(spark):
+    """Each step of cards() names its input once, so that the block is not worked out again for each card."""
+    plan = spark.range(1).select(X.cards(F.upper(F.concat(F.lit("a"), F.col("id").cast("string")))).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("upper(") == 1
