@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from seriesforge.functions.scalars import col, finite, safe_div
 from seriesforge.operators.robust import quantiles
 from seriesforge.operators.series import refine_peak
-from seriesforge.sources.tables import join_on
+from seriesforge.sources.tables import checkpointed, join_on
+
+#: Draws of a bootstrap that a task makes on average.
+DRAWS = 1 << 17
 
 SUMS = ("yy", "yc", "ys", "cc", "cs", "ss")
 
@@ -50,6 +53,9 @@ def power_of(sums: DataFrame, keys: list[str], low: float, high: float, n: int,
 def multiplicities(nights: DataFrame, keys: list[str], night: str, replicates: int, seed: int = 0) -> DataFrame:
     """keys, night, rep, times: how often each night is drawn in each replicate, as many draws as the key has nights. nights has one row for each."""
     numbered = nights.select(*keys, night, (F.row_number().over(Window.partitionBy(*keys).orderBy(night)) - 1).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
+    # A small table makes many draws: tasks by their number, not by the table's bytes.
+    numbered = checkpointed(numbered)
+    numbered = numbered.repartition(max(1, math.ceil(numbered.count() * replicates / DRAWS)), *keys, "_i")
     # Each night's row makes one draw of each replicate: its own number is the draw's.
     name = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.col("rep").cast("string"), F.col("_i").cast("string"))
     hashed = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long")
@@ -76,6 +82,8 @@ def bootstrapped_ratio(df: DataFrame, keys: list[str], unit: str, top, bottom, r
     """keys, units, ratio, sigma of sum(top) / sum(bottom) with whole units (stars, nights) drawn anew: with top = w z r and bottom = w z z it is
     the error of a one-parameter fit whose rows are not independent within a unit. NULL sigma for fewer than `least_units`."""
     sums = df.select(*keys, unit, finite(top).alias("_a"), finite(bottom).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL").groupBy(*keys, unit).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    # Read three times below; written, the rows are summed once.
+    sums = checkpointed(sums)
     ratio = safe_div(F.sum("_a"), F.sum("_b"))
     drawn = join_on(sums, multiplicities(sums.select(*keys, unit), keys, unit, replicates), [*keys, unit])
     again = drawn.groupBy(*keys, "rep").agg(safe_div(F.sum(F.col("times") * F.col("_a")), F.sum(F.col("times") * F.col("_b"))).alias("_r"))
