@@ -39,7 +39,7 @@ def clipped_pair_variance(df: DataFrame, keys: list[str], d: str, rounds: int =
     limits = None
     for _ in range(rounds):
         kept = rows if limits is None else join_on(rows, limits, keys).where(F.col("_d").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
-        middle = quantiles(kept, keys, "_d", [0.5]).select(*keys, F.col("q")[0].alias("_m"))
+        middle = checkpointed(quantiles(kept, keys, "_d", [0.5]).select(*keys, F.col("q")[0].alias("_m")))
         spread = quantiles(join_on(kept, middle, keys).select(*keys, "_m", F.abs(F.col("_d") - F.col("_m")).alias("_a")), [*keys, "_m"], "_a", [0.5])
         reach = F.when(F.col("q")[0] > 0, bound * MAD_TO_SIGMA * F.col("q")[0]).otherwise(F.lit(math.inf))
         new = spread.select(*keys, (F.col("_m") - reach).alias("_from"), (F.col("_m") + reach).alias("_to"))
@@ -57,14 +57,15 @@ def pair_points(df: DataFrame, keys: list[str], a: str, b: str, bins: int = 12,
     than `least` pixels, before or after clipping, have no row."""
     rows = df.select(*keys, finite(a).alias("_a"), finite(b).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL").select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias("_mean"), (F.col("_a") - F.col("_b")).alias("_diff"))
     rows = checkpointed(rows)
-    span = quantiles(rows, keys, "_mean", [0.01, 0.999]).select(*keys, F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi"))
+    # Tables of one row a group are written, so that they go to the rows and no hot group is sorted for a join.
+    span = checkpointed(quantiles(rows, keys, "_mean", [0.01, 0.999]).select(*keys, F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi")))
     spans = (F.col("_lo") > 0) & (F.col("_hi") > F.col("_lo"))
     # The level that the last edge is at belongs to no bin, as levels above it.
     place = F.when(F.col("_mean") >= F.col("_hi"), bins).otherwise(F.floor(F.log(F.col("_mean") / F.col("_lo")) / F.log(F.col("_hi") / F.col("_lo")) * bins))
     where = F.when(~spans, 0).otherwise(F.when(F.col("_mean") >= F.col("_lo"), F.when(place < bins, place + 1)))
     binned = checkpointed(join_on(rows, span, keys).withColumn("bin", where.cast("int")).where("bin IS NOT NULL").select(*keys, "bin", "_mean", "_diff"))
     own = [*keys, "bin"]
-    levels = quantiles(binned, own, "_mean", [0.5]).where(F.col("n") >= least).select(*own, F.col("q")[0].alias("level"))
+    levels = checkpointed(quantiles(binned, own, "_mean", [0.5]).where(F.col("n") >= least).select(*own, F.col("q")[0].alias("level")))
     var = clipped_pair_variance(join_on(binned, levels.select(*own), own), own, "_diff").where(F.col("n") >= least)
     return join_on(levels, var, own).select(*own, "level", "var", F.col("n").alias("n_pix"))
 
