@@ -30,61 +30,112 @@ from seriesforge.llm.common import free_name, hot_join, read_table, stored, with
 #: Scripts that are written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Chinese characters.
 LONE = "฀-໿ༀ-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
 WORD = re.compile(f"[{LONE}]|[^\\s{LONE}]+")
-ENDS = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 KINDS = ("line", "sentence", "stretch")
 UNIT = "doc_id long, start int, stop int, kind byte, d1 long, d2 long"
+#: Characters that are read at once, so that the arrays over them stay in a processor's cache; one text is never divided.
+BUFFER = 1 << 17
 
+#: Of each code point below 65,536; the others belong to words.
+CLASS = np.zeros(1 << 16, np.uint8)
+IN_SPACE, IN_LONE, IN_STOP, IN_WIDE_STOP = 1, 2, 3, 4
+CLASS[[c for c in range(1 << 16) if chr(c).isspace()]] = IN_SPACE
+for _first, _last in re.findall("(.)-(.)", LONE):
+    CLASS[ord(_first) : ord(_last) + 1] = IN_LONE
+CLASS[[ord(c) for c in ".!?"]], CLASS[[ord(c) for c in "。！？"]] = IN_STOP, IN_WIDE_STOP
 
-def cuts_of(words: list[str], reach: int) -> np.ndarray:
-    """Numbers of the words that a cut follows: local minima of the hashes of two neighbouring words."""
-    if len(words) < 2 * reach + 2:
+
+def lowered(text: str) -> str:
+    """Each word in lower case. A sigma's form depends on what follows, so there the words are taken one by one."""
+    return WORD.sub(lambda m: m[0].lower(), text) if "Σ" in text else text.lower()
+
+
+def cuts_of(c: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
+    """Numbers of the words that a cut follows: local minima of the hashes of two neighbouring words. c, line: of each word."""
+    if len(c) < 2 * reach + 2:
         return np.empty(0, np.int64)
-    c = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
     h = (c[:-1] * np.uint64(0x9E3779B1) + c[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(11)
-    around = np.lib.stride_tricks.sliding_window_view(h, 2 * reach + 1)
-    least = around.min(axis=1)
+    least = h[: len(h) - reach + 1]
+    for i in range(1, reach):
+        least = np.minimum(least, h[i : len(h) - reach + 1 + i])
     own = h[reach : len(h) - reach]
     # Of equal ones none is a cut: where words repeat, no place stands out.
-    return np.flatnonzero((own == least) & ((around == least[:, None]).sum(axis=1) == 1)) + reach
-
-
-def units_of(text: str, min_sentence_words: int, reach: int) -> Iterator[tuple[int, int, int, str]]:
-    """start, stop, number of the kind, normalised unit."""
-    at = 0
-    for line in text.split("\n"):
-        spans = [m.span() for m in WORD.finditer(line)]
-        if spans:
-            words = [line[a:b].lower() for a, b in spans]
-            yield at, at + len(line), 0, " ".join(words)
-            starts = [a for a, _ in spans]
-            if len(words) > min_sentence_words and (ends := [m.span() for m in ENDS.finditer(line)]):
-                first = np.searchsorted(starts, [0] + [b for _, b in ends])
-                last = np.append(first[1:], len(words))
-                for i, j in zip(first.tolist(), last.tolist()):
-                    if j - i >= min_sentence_words and j - i < len(words):
-                        yield at + spans[i][0], at + spans[j - 1][1], 1, " ".join(words[i:j])
-            cuts = cuts_of(words, reach)
-            if len(cuts):
-                edges = [0, *(cuts + 1).tolist(), len(words)]
-                for i, j in zip(edges, edges[1:]):
-                    yield at + spans[i][0], at + spans[j - 1][1], 2, " ".join(words[i:j])
-        at += len(line) + 1
-
-
-def units(docs: DataFrame, min_sentence_words: int, reach: int, rows: int = 200) -> DataFrame:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.int64()]
+    lowest = (own < least[: len(own)]) & (own < least[reach + 1 :])
+    return np.flatnonzero(lowest & (line[: len(own)] == line[2 * reach + 1 :])) + reach
+
+
+def units_of(texts: list[str], min_sentence_words: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Number of the text, start, stop, number of the kind and the halves of the digest of each unit. All texts are taken as one row of characters."""
+    size = np.array([len(t) + 1 for t in texts])
+    begin = np.cumsum(size) - size
+    chars = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le"), np.uint32)
+    kind = CLASS[np.minimum(chars, np.uint32(0xFFFF))]
+    space, lone = kind == IN_SPACE, kind == IN_LONE
+    apart = space | lone  # no word goes on from here
+    first = np.flatnonzero(~space & (lone | np.concatenate([[True], apart[:-1]])))
+    stop = np.flatnonzero(~space & (lone | np.concatenate([apart[1:], [True]]))) + 1
+    n = len(first)
+    if not n:
+        return tuple(np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int8, np.int64, np.int64))
+    breaks = np.flatnonzero(chars == 10)
+    at_line = np.searchsorted(breaks, first)
+    lines = np.flatnonzero(np.concatenate([[True], at_line[1:] != at_line[:-1]]))  # the first word of each line that is not blank
+    after = np.append(lines[1:], n)
+    line = np.repeat(np.arange(len(lines)), after - lines)
+
+    # The words in lower case with one space between them.
+    low = "".join(lowered(t) + "\n" for t in texts)
+    raw = low.encode()
+    data = np.frombuffer(raw, np.uint8)
+    a, b = first, stop
+    if len(low) != len(chars):  # a dotted capital I becomes two characters
+        more = np.cumsum(chars == 0x130)
+        a, b = a + more[a] - (chars[a] == 0x130), b + more[b - 1]
+    if len(raw) != len(low):
+        place = np.flatnonzero((data & 0xC0) != 0x80)
+        a, b = place[a], place[b]
+    length = b - a
+    to = np.cumsum(length + 1) - (length + 1)
+    joined = data[np.repeat(a - to, length + 1) + np.arange(to[-1] + length[-1] + 1)]
+    joined[to + length] = 32
+    words = joined.tobytes()
+
+    edge = np.zeros(n + 1, bool)
+    edge[lines] = True
+    ends = np.flatnonzero((kind[:-1] == IN_STOP) & space[1:] & (chars[1:] != 10) | (kind[:-1] == IN_WIDE_STOP)) + 1
+    edge[np.searchsorted(first, ends)] = True
+    s = np.flatnonzero(edge[:n])
+    e = np.append(s[1:], n)
+    own = (e - s >= min_sentence_words) & (e - s < (after - lines)[line[s]])
+    cuts = cuts_of(np.fromiter(map(zlib.crc32, words[:-1].split(b" ")), np.uint64, n), line, reach)
+    edge[:] = False
+    edge[cuts + 1], edge[lines[line[cuts]]] = True, True
+    p = np.flatnonzero(edge[:n])
+    q = np.minimum(np.append(p[1:], n), after[line[p]])
+
+    i, j = np.concatenate([lines, s[own], p]), np.concatenate([after, e[own], q])
+    before = np.concatenate([[0], breaks + 1])[at_line[lines]]
+    start, end = np.concatenate([before, first[s[own]], first[p]]), np.concatenate([breaks[at_line[lines]], stop[e[own] - 1], stop[q - 1]])
+    digest = xxhash.xxh3_128_digest
+    d = np.frombuffer(b"".join([digest(words[x:y]) for x, y in zip(to[i].tolist(), (to[j - 1] + length[j - 1]).tolist())]), ">u8").astype(np.uint64).reshape(-1, 2)
+    d = (d ^ np.uint64(1 << 63)).view(np.int64)
+    of = np.searchsorted(begin, start, "right") - 1
+    number = np.repeat(np.arange(3, dtype=np.int8), [len(lines), len(s[own]), len(p)])
+    return of, (start - begin[of]).astype(np.int32), (end - begin[of]).astype(np.int32), number, np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1])
+
+
+def units(docs: DataFrame, min_sentence_words: int, reach: int) -> DataFrame:
     names = ["doc_id", "start", "stop", "kind", "d1", "d2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part, out = batch.slice(at, rows), [[] for _ in names]
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    for start, stop, kind, unit in units_of(text, min_sentence_words, reach):
-                        d = xxhash.xxh3_128_intdigest(unit)
-                        for column, value in zip(out, (doc, start, stop, kind, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63))):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
+            docs, texts, size = batch.column("doc_id").to_numpy(), [], 0
+            for k, text in enumerate(batch.column("text")):
+                texts.append(text.as_py())
+                size += len(texts[-1])
+                if size >= BUFFER or k == batch.num_rows - 1:
+                    of, *columns = units_of(texts, min_sentence_words, reach)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (docs[of + (k + 1 - len(texts))], *columns)], names)
+                    texts, size = [], 0
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''").mapInArrow(run, UNIT)
 

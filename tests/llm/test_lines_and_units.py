@@ -1,5 +1,7 @@
 import random
 
+import xxhash
+
 from seriesforge.llm import line_dedup as L
 from seriesforge.llm import unit_dedup as U
 
@@ -204,6 +206,20 @@ def test_query_of_units_matches_brute_force(spark, fixture_dir):
     assert {tuple(r) for r in U.op3_unit_dedup(spark, fixture_dir).collect()} == brute_units(rows)
 
 
+def test_units_of_many_texts_at_once():
+    """Texts read as one row of characters have the units that each has alone: letters that change their length or form, blanks of all kinds."""
+    rng = random.Random(21)
+    letters = "abAB Σσ İı漢字かกั。！？.!? \n\t\x1c\x85\u3000éÉßK🙂Ⱥ,"
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 400))) for _ in range(300)] + ["\n", " ", "a", "İ", "Σ", "no end\n\n", " one  line "]
+    texts += [" ".join("".join(rng.choices("aΣİ漢.", k=3)) for _ in range(60)) for _ in range(60)]
+    texts = [t.replace("。", "。 ").replace("！", "！ ").replace("？", "？ ") for t in texts]  # slow_units looks for them at a word's end only
+    found = list(zip(*[c.tolist() for c in U.units_of(texts, 8, 6)]))
+    signed = lambda x: x - (1 << 63)
+    wanted = {(k, a, b, U.KINDS.index(kind), signed(d >> 64), signed(d & (1 << 64) - 1)) for k, t in enumerate(texts) for a, b, kind, u in slow_units(t) for d in [xxhash.xxh3_128_intdigest(u)]}
+    assert set(found) == wanted and len(found) == len(wanted) and {f[3] for f in found} == {0, 1, 2}
+    assert all(len(c) == 0 for c in U.units_of(["", "\n \n"], 8, 6))
+
+
 def test_passages_set_into_other_text(spark):
     """A passage of 60 words without sentence or line ends, set into other words, has whole stretches in common."""
     rng, rows = random.Random(12), []
