@@ -2,13 +2,14 @@
 
 Which strings can repeat: of the grams of `gram` bytes in a window of `width` bytes, the one with the least hash
 (the leftmost of equal ones) is the window's anchor. Equal windows have equal anchors at equal offsets, so
-windows are compared only under the same anchor. Windows with the same anchor occurrence are one context: a
+windows are compared only under the same anchor (hashes are compared by their upper 40 bits). Windows with the same anchor occurrence are one context: a
 start, a count of windows and the bytes they cover. Anchors whose gram occurs once in the corpus are done after
 one count; for the others
 
 - contexts that occur again as they are go whole, but for the earliest occurrence, and
-- different contexts of one gram are put into a suffix array; equal windows stand side by side there, and all but
-  the earliest go.
+- different contexts of one gram are cut to what each has in common with another one; those that are equal then go whole, but for the
+  earliest, and the others are cut anew. What still differs is put into a suffix array; equal windows stand side by side
+  there, and all but the earliest go.
 
 The suffix array comes from groups of suffixes with equal Lyndon prefixes. Groups are processed from the
 greatest down: each suffix of a group points to its previous smaller suffix, and the suffixes pointed to move to
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,10 @@ from seriesforge.llm.common import hot_join, read_table, stored, text_or_empty
 
 LAST = (1 << 63) - 1
 PIECE = 1 << 20
+#: Bytes that are read at once, so that the arrays over them stay in a processor's cache.
+BUFFER = 1 << 16
+#: Bits of a place in what is read at once.
+PLACE = 24
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -131,17 +137,18 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[
     none = tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     if len(data) < width:
         return none
+    if len(data) >> PLACE:
+        raise ValueError(f"{len(data)} bytes at once")
     h = gram_hashes(data, gram)
     span = width - gram + 1
-    least, place, w = h, np.arange(len(h), dtype=np.int32), 1
+    # The upper bits of the hash, then the place: the least is the leftmost of those with the least upper bits.
+    least, w = h >> np.uint64(PLACE) << np.uint64(PLACE) | np.arange(len(h), dtype=np.uint64), 1
     while 2 * w <= span:
-        take = least[w:] < least[:-w]
-        least, place = np.where(take, least[w:], least[:-w]), np.where(take, place[w:], place[:-w])
+        least = np.minimum(least[:-w], least[w:])
         w *= 2
     if w < span:
-        s = span - w
-        take = least[s:] < least[:-s]
-        place = np.where(take, place[s:], place[:-s])
+        least = np.minimum(least[: -(span - w)], least[span - w :])
+    place = (least & np.uint64((1 << PLACE) - 1)).astype(np.int32)
     starts = np.concatenate([[0], ends[:-1]])
     edge = np.zeros(len(data) + 1, np.int32)  # windows inside one text
     fits = ends - starts >= width
@@ -158,7 +165,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[
 
 
 def pieces(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
-    """Buffers of about PIECE bytes: data, ends, and for each stretch its text's number and where it begins in it."""
+    """Buffers of about BUFFER bytes, or one piece of a text: data, ends, and for each stretch its text's number and where it begins in it."""
     held, ends, of, n = [], [], [], 0
     for k, text in enumerate(texts):
         for a in range(0, max(1, len(text) - width + 1), PIECE):
@@ -167,7 +174,7 @@ def pieces(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndar
             n += len(part)
             ends.append(n)
             of.append((k, a))
-            if n >= PIECE:
+            if n >= BUFFER:
                 yield np.frombuffer(b"".join(held), np.uint8), np.array(ends), of
                 held, ends, of, n = [], [], [], 0
     if held:
@@ -252,35 +259,62 @@ def repeated_windows(texts: list[tuple[bytes, tuple[int, int, int]]], width: int
         yield from (r for r in run if r != least)
 
 
+def told_apart(held: list[tuple], width: int, rounds: int = 8) -> tuple[list[tuple], list[tuple]]:
+    """held: doc, v, p, off, text of one gram's contexts. Gives doc, v, p, e of those that go whole, and what has to be sorted, cut.
+
+    What of a context can repeat reaches as far as it agrees with another one on both sides of the gram. Of contexts that are equal when
+    cut so, each window of a later one repeats the earliest one's at the same place, and that one decides for the rest alike. A gram
+    left with one context has no repeats: windows of one context have their anchor at different offsets.
+    """
+    gone: list[tuple] = []
+    for _ in range(rounds):
+        left, right = reach([r[4][: r[3]][::-1] for r in held]), reach([r[4][r[3] :] for r in held])
+        earliest: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        for (doc, v, p, off, text), x, y in zip(held, left, right):
+            if x + y >= width:
+                key, rank = (x, text[off - x : off + y]), (doc, v, p + off - x)
+                least = earliest.setdefault(key, rank)
+                if least != rank:
+                    earliest[key], (doc, v, p) = min(least, rank), max(least, rank)
+                    gone.append((doc, v, p, p + x + y))
+        size = len(held)
+        held = [(*rank, x, text) for (x, text), rank in earliest.items()]
+        if len(held) < 2:
+            return gone, []
+        if len(held) == size:
+            break
+    return gone, held
+
+
 def sorted_contexts(contexts: DataFrame, width: int, batch_bytes: int = 60_000) -> DataFrame:
     """contexts: h, doc, v, p, off, bytes. Gives doc, v, p, e: stretches of repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[bytes, tuple[int, int, int]]] = []
+        whole: list[tuple[int, int, int, int]] = []
         held: list[tuple] = []
-        out: list[tuple[int, int, int]] = []
         size = 0
 
         def close() -> None:
-            """What of a gram's contexts can repeat: as far as each agrees with another one on both sides of the gram."""
             nonlocal size, held
-            left, right = reach([r[4][: r[3]][::-1] for r in held]), reach([r[4][r[3] :] for r in held])
-            for (doc, v, p, off, text), x, y in zip(held, left, right):
-                if x + y >= width:
-                    waiting.append((text[off - x : off + y], (doc, v, p + off - x)))
-                    size += x + y
+            gone, rest = told_apart(held, width)
+            whole.extend(gone)
+            waiting.extend((text, (doc, v, p)) for doc, v, p, _, text in rest)
+            size += sum(len(r[4]) for r in rest) + 8 * len(gone)
             held = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal waiting, size
-            found = sorted(set(repeated_windows(waiting, width)))
-            waiting, size = [], 0
-            spans: list[list[int]] = []
+            nonlocal waiting, whole, size
+            spans: list[list[int]] = [list(x) for x in whole]
+            found = sorted(set(repeated_windows(waiting, width))) if waiting else []
+            waiting, whole, size = [], [], 0
+            last = [None] * 4
             for doc, v, p in found:
-                if spans and spans[-1][:2] == [doc, v] and spans[-1][3] >= p:
-                    spans[-1][3] = p + width
+                if last[:2] == [doc, v] and last[3] >= p:
+                    last[3] = p + width
                 else:
-                    spans.append([doc, v, p, p + width])
+                    last = [doc, v, p, p + width]
+                    spans.append(last)
             columns = list(zip(*spans)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc", "v", "p", "e"])
 
@@ -388,6 +422,21 @@ def repeated_spans(docs: DataFrame, width: int, gram: int, most: int) -> DataFra
     return again.unionByName(sorted_contexts(few, width)).unionByName(grouped_windows(many, width))
 
 
+def merged(spans: pa.ListArray) -> tuple[list[int], list[int], list[int]]:
+    """spans: a list of (p, e) for each text. Gives where each text's stretches begin among all, and their begins and ends in order; those that
+    overlap or touch are one."""
+    flat, of = pc.list_flatten(spans), pc.list_parent_indices(spans).to_numpy().astype(np.int64)
+    own = of << 32
+    p, e = (own + pc.struct_field(flat, [i]).to_numpy() for i in (0, 1))
+    order = np.argsort(p, kind="stable")
+    p, e, of = p[order], np.maximum.accumulate(e[order]), of[order]
+    new = np.flatnonzero(np.concatenate([[True], p[1:] > e[:-1]])[: len(p)])
+    first = np.searchsorted(of[new], np.arange(len(spans) + 1))
+    last = np.append(new[1:], len(p))[: len(new)] - 1
+    low = (1 << 32) - 1
+    return first.tolist(), (p[new] & low).tolist(), (e[last] & low).tolist()
+
+
 def cut_documents(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, as binary)."""
     per_doc = spans.groupBy("doc", "v").agg(F.collect_set(F.struct("p", "e")).alias("spans"))
@@ -398,14 +447,12 @@ def cut_documents(docs: DataFrame, spans: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 out: list[list] = [[] for _ in names]
-                for doc, text, spans in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                    raw, kept, stop, runs, begin = text.encode(), [], 0, 0, None
-                    for s in sorted((s["p"], s["e"]) for s in spans or ()):
-                        if begin is None or s[0] > stop:  # stretches that touch are one
-                            kept.append(raw[stop : s[0]])
-                            runs, begin, stop = runs + 1, s[0], s[1]
-                        else:
-                            stop = max(stop, s[1])
+                first, begin, end = merged(part.column("spans"))
+                for k, (doc, text) in enumerate(zip(part.column("doc").to_pylist(), part.column("text").to_pylist())):
+                    raw, kept, stop, runs = text.encode(), [], 0, first[k + 1] - first[k]
+                    for i in range(first[k], first[k + 1]):
+                        kept.append(raw[stop : begin[i]])
+                        stop = end[i]
                     kept.append(raw[stop:])
                     left = b"".join(kept)
                     for column, value in zip(out, (doc, len(raw), len(raw) - len(left), runs, hashlib.sha256(left).hexdigest(), left)):

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,6 +32,30 @@ def test_equal_windows_have_equal_anchors():
     assert all(wa[57 + i] == wb[211 + i] for i in range(201))
 
 
+def test_equal_contexts_go_unsorted():
+    """Contexts of one gram: what goes whole and what the sorted rest gives are all repeated windows; two contexts are never sorted."""
+    rng, gram, sorted_ones = random.Random(8), "GRAM-" * 6 + "##", 0
+    side = lambda n: "".join(rng.choices("ab", k=n))
+    for size in (2, 2, 2, 3, 4, 6, 9, 30):
+        lefts, rights = [side(90) for _ in range(2)], [side(90) for _ in range(3)]
+        held = []
+        for k in range(size):
+            left, right = rng.choice(lefts)[rng.randint(0, 40) :], rng.choice(rights)[: rng.randint(40, 90)]
+            left, right = side(rng.randint(0, 9)) + left, right + side(rng.randint(0, 9))
+            held.append((rng.randint(0, 3), k, rng.randint(0, 50), len(left), (left + gram + right).encode()))
+        gone, rest = S.told_apart(held, 100)
+        found = {(d, v, q) for d, v, p, e in gone for q in range(p, e - 99)} | set(S.repeated_windows([(r[4], r[:3]) for r in rest], 100) if rest else ())
+        assert found == set(S.repeated_windows([(r[4], r[:3]) for r in held], 100))
+        assert size > 2 or not rest
+        sorted_ones += len(rest)
+    assert sorted_ones
+
+
+def test_stretches_that_touch_are_one():
+    spans = pa.array([None, [(5, 9), (0, 3), (3, 5)], [], [(7, 8), (1, 2), (1, 6)]], pa.list_(pa.struct([("p", pa.int32()), ("e", pa.int32())])))
+    assert S.merged(spans) == ([0, 0, 1, 1, 3], [0, 1, 7], [9, 6, 8]) and S.merged(spans[1:3]) == ([0, 1, 1], [0], [9]) and S.merged(spans[:1]) == ([0, 0], [], [])
+
+
 def brute_bytes(rows, width=100):
     docs = sorted({((r[0] is None, r[0] or 0), (r[1] or "").encode()) for r in rows}, key=lambda x: (x[0], S_crc(x[1])))
     seen, out = set(), {}
